@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import distinct, frequent, membership, mixing, tokens
+from tidelog.llm import distinct, frequent, garbled, membership, mixing, tokens
 from tidelog.session import cut
 from tidelog.sources.tables import table
 
@@ -84,7 +84,18 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).selection()
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_estimates, p4_cells, p5_found, p5_report, p6_found, p6_top, p7_ids, p8_found, p8_shares, p8_mix)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose text was altered by wrong decoding."""
+    return garbled.find_garbled(tokens.read_documents(spark, d)).documents.select("doc_id")
+
+
+def p9_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The altered documents with their text as it was meant, as far as that can be had."""
+    docs = tokens.read_documents(spark, d)
+    return garbled.repaired(docs, garbled.find_garbled(docs))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_estimates, p4_cells, p5_found, p5_report, p6_found, p6_top, p7_ids, p8_found, p8_shares, p8_mix, p9_found, p9_repaired)}
 
 _CELLS = """
 WITH rows AS (
