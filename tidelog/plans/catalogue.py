@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidelog.plans import problems
+from tidelog.plans import kv, problems, storage
 
-_MODULES = (problems,)
+_MODULES = (kv, storage, problems)
 
 
 def queries() -> dict:
