@@ -42,7 +42,7 @@ def bitmap(bits: DataFrame, m: int) -> np.ndarray:
     if m > BITMAP_BITS:
         raise ValueError(f"a filter of {m} bits is not collected; probe() joins it")
     out = np.zeros((m + 7) // 8, dtype=np.uint8)
-    t = bits.groupBy(F.shiftright("pos", 3).alias("byte")).agg(F.bit_or(F.shiftleft(F.lit(1), (F.col("pos") % 8).cast("int"))).alias("v")).toArrow()
+    t = bits.groupBy(F.shiftright("pos", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(pos % 8 as int))")).alias("v")).toArrow()
     out[t.column("byte").to_numpy()] = t.column("v").to_numpy()
     return out
 

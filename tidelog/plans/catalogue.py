@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidelog.plans import kv, problems, storage
+from tidelog.plans import kv, problems, sketches, storage
 
-_MODULES = (kv, storage, problems)
+_MODULES = (kv, storage, sketches, problems)
 
 
 def queries() -> dict:
