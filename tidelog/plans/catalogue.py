@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidelog.plans import kv, problems, sketches, storage
+from tidelog.plans import kv, problems, sketches, storage, streams
 
-_MODULES = (kv, storage, sketches, problems)
+_MODULES = (kv, storage, sketches, streams, problems)
 
 
 def queries() -> dict:

@@ -13,7 +13,11 @@ from tidelog.operators import cms as K
 
 
 def source(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -> DataFrame:
-    """The log as a stream of its Parquet files; a trigger takes at most files_per_trigger of them."""
+    """The log as a stream of its Parquet files; a trigger takes at most files_per_trigger of them.
+
+    The engine takes a plain path for a folder, so the path is given as a pattern, which may be a file too.
+    """
+    path = f"{path[:-1]}[{path[-1]}]"
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
@@ -72,5 +76,17 @@ def upsert_sink(root: str):
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Run a stream over all that is there and end; a second call goes on from the checkpoint."""
-    stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    """Run a stream over all that is there and end; a second call goes on from the checkpoint.
+
+    Each batch is a folder of its own, so a batch that is run again after a failure replaces itself.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def upsert_once(stream: DataFrame, root: str, checkpoint: str) -> None:
+    """Run a stream of changes into the equality-delete table under root."""
+    stream.writeStream.foreachBatch(upsert_sink(root)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
