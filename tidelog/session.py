@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +24,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     )
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -55,3 +60,27 @@ def cut(df: DataFrame, purpose: str, partition_by: list[str] | None = None) -> D
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per context, by way of the shared folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidelog_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    at = os.path.join(folder, n)
+                    z.write(at, os.path.join("tidelog", os.path.relpath(at, here)))
+    path = shared_path(spark, "code") + "/tidelog.zip"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(packed.getvalue())
+    finally:
+        out.close()
+    sc.addPyFile(path)
+    sc._tidelog_shipped = True
