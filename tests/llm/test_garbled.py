@@ -48,7 +48,7 @@ def test_counts_are_a_model():
 
 def test_posteriors_sum_to_one():
     owner, logs = np.array([0, 0, 1]), np.array([-3.0, -2.0, -1.0])
-    pair, cand, post, _ = G.posteriors(owner, logs, [[0], [5], [0]], np.array([0, 0, 1]), np.array([2, 3, 2]), G.start_prior())
+    pair, cand, post = G.posteriors(owner, logs, np.array([0, 5, 0]), np.array([0, 1, 2]), np.array([0, 0, 1]), np.array([2, 3, 2]), G.start_prior())
     assert np.allclose(np.bincount(pair, post), 1) and len(cand) == 5
 
 

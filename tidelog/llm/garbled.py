@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,13 +111,20 @@ def _multi(b: bytes, e: str) -> str | None:
     return v
 
 
+_STEP = {d: {e: NUMBER[c] for e in [*SINGLE, *MULTI, "utf-8"] if (c := f"{d}>{e}") in NUMBER} for d in [*SINGLE, *MULTI]}
+_STEPS = {a: {b: NUMBER[f"{a}>utf-8 {b}>utf-8"] for b in TWICE} for a in SINGLE}
+
+
 def repairs(token: str) -> dict[str, list[int]]:
     """Each text that the token may have been, with the chains that lead from it to the token."""
     out: dict[str, list[int]] = {}
 
-    def add(v: str | None, chain: str) -> None:
+    def add(v: str | None, chain: int) -> None:
         if v and v != token and not v.isspace():
-            out.setdefault(v, []).append(NUMBER[chain])
+            if v in out:
+                out[v].append(chain)
+            else:
+                out[v] = [chain]
 
     first: dict[str, str] = {}
     read: dict[bytes, list[str]] = {}
@@ -124,7 +132,7 @@ def repairs(token: str) -> dict[str, list[int]]:
         v = _utf8(token, d)
         if v:
             first[d] = v
-            add(v, f"{d}>utf-8")
+            add(v, _STEP[d]["utf-8"])
         try:
             read.setdefault(codecs.charmap_encode(token, "strict", MAP[d])[0], []).append(d)
         except UnicodeEncodeError:
@@ -135,27 +143,27 @@ def repairs(token: str) -> dict[str, list[int]]:
             if v != token and not _C1.search(v):
                 for d in ds:
                     if d != e:
-                        add(v, f"{d}>{e}")
+                        add(v, _STEP[d][e])
         if len(raw) > 1:
             for e in MULTI:
                 v = _multi(raw, e)
                 for d in ds if v else ():
-                    add(v, f"{d}>{e}")
+                    add(v, _STEP[d][e])
     for a, v in first.items():
         if not v.isascii():
             for b in TWICE:
-                add(_utf8(v, b), f"{a}>utf-8 {b}>utf-8")
+                add(_utf8(v, b), _STEPS[a][b])
     if max(token) >= "\u3000":
         for d in MULTI:
             try:
                 raw = token.encode(d)
             except UnicodeEncodeError:
                 continue
-            add(_multi(raw, "utf-8"), f"{d}>utf-8")
+            add(_multi(raw, "utf-8"), _STEP[d]["utf-8"])
             other = MULTI[1 - MULTI.index(d)]
-            add(_multi(raw, other), f"{d}>{other}")
+            add(_multi(raw, other), _STEP[d][other])
             if not any(128 > x >= 64 for x in raw):
-                add(_multi(raw, "cp1251"), f"{d}>cp1251")
+                add(_multi(raw, "cp1251"), _STEP[d]["cp1251"])
     return out
 
 
@@ -173,15 +181,14 @@ def shape(v: str) -> str:
     return v
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every character and end mark of all texts: its text, and the places of its trigram, the two-character
-    context, its bigram, the one-character context and itself in the count table."""
-    joined = "".join(f"\x02\x02{shape(t)}\x03" for t in texts)
+def features(shapes: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every character and end mark of all texts, given by their shapes: its text, and the places of its trigram,
+    the two-character context, its bigram, the one-character context and itself in the count table."""
+    joined = "\x02\x02" + "\x03\x02\x02".join(shapes) + "\x03" if shapes else ""
     c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    # marks inside a text would be taken for ends; they count as spaces
-    ends = np.cumsum([len(shape(t)) + 3 for t in texts])
-    which = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
-    start = np.concatenate([[0], ends[:-1]])
+    ends = np.cumsum([len(t) + 3 for t in shapes], dtype=np.int64)
+    which = np.repeat(np.arange(len(shapes)), np.diff(ends, prepend=0))
+    start = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     at = np.arange(len(c))
     real = at - start[which] >= 2
     p1, p2 = np.roll(c, 1), np.roll(c, 2)
@@ -195,19 +202,19 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return which[real], tri[real], ctx2[real], bi[real], ctx1[real], uni[real]
 
 
-def likelihoods(texts: list[str], counts: np.ndarray) -> np.ndarray:
-    """Log probability of each text under the counts."""
-    which, tri, ctx2, bi, ctx1, uni = features(texts)
+def likelihoods(shapes: list[str], counts: np.ndarray) -> np.ndarray:
+    """Log probability of each text, given by its shape, under the counts."""
+    which, tri, ctx2, bi, ctx1, uni = features(shapes)
     total = counts[TRI + BI :].sum() + UNI
     p = (counts[uni] + 0.5) / total
     p = (counts[bi] + BACK_OFF * p) / (counts[ctx1] + BACK_OFF)
     p = (counts[tri] + BACK_OFF * p) / (counts[ctx2] + BACK_OFF)
-    return np.bincount(which, np.log(p), minlength=len(texts))
+    return np.bincount(which, np.log(p), minlength=len(shapes))
 
 
-def expected_counts(texts: list[str], weights: np.ndarray, into: np.ndarray) -> None:
-    """Add the texts' trigrams, bigrams and characters, by weight."""
-    which, tri, _, bi, _, uni = features(texts)
+def expected_counts(shapes: list[str], weights: np.ndarray, into: np.ndarray) -> None:
+    """Add the trigrams, bigrams and characters of texts, given by their shapes, by weight."""
+    which, tri, _, bi, _, uni = features(shapes)
     w = weights[which]
     for at in (tri, bi, uni):
         into += np.bincount(at, w, minlength=SIZE)
@@ -224,28 +231,25 @@ def start_prior() -> np.ndarray:
     return np.tile(p, (SOURCE_BUCKETS * FIELDS, 1))
 
 
-def posteriors(owner: np.ndarray, logs: np.ndarray, chains: list[list[int]], sf_owner: np.ndarray, sf: np.ndarray, prior: np.ndarray):
-    """Posterior of each candidate of each (token, source and field).
+def posteriors(owner: np.ndarray, logs: np.ndarray, flat: np.ndarray, of: np.ndarray, sf_owner: np.ndarray, sf: np.ndarray, prior: np.ndarray):
+    """Posterior of each candidate of each (token, source and field): pair, candidate and posterior.
 
-    owner: the token of each candidate, ascending; logs: its log likelihood; sf_owner, sf: the
-    (token, source-field) pairs. Returns pair and candidate of each posterior, the posterior, and the log prior.
+    owner: the token of each candidate, ascending; logs: its log likelihood; flat, of: all candidates'
+    chains and the candidates that they belong to; sf_owner, sf: the (token, source-field) pairs.
     """
-    n_c = np.bincount(owner, minlength=owner[-1] + 1 if len(owner) else 0)
-    first = np.concatenate([[0], np.cumsum(n_c)[:-1]]) if len(n_c) else n_c
+    n_c = np.bincount(owner, minlength=owner[-1] + 1)
+    first = np.cumsum(n_c) - n_c
     reps = n_c[sf_owner]
     pair = np.repeat(np.arange(len(sf)), reps)
-    cand = first[sf_owner][pair] + (np.arange(len(pair)) - np.repeat(np.concatenate([[0], np.cumsum(reps)[:-1]]), reps))
+    cand = first[sf_owner][pair] + (np.arange(len(pair)) - np.repeat(np.cumsum(reps) - reps, reps))
     # sum of priors over each candidate's chains
-    flat = np.array([c for cs in chains for c in cs])
-    of = np.repeat(np.arange(len(chains)), [len(cs) for cs in chains])
     used, inverse = np.unique(sf, return_inverse=True)
-    mass = np.stack([np.bincount(of, prior[u][flat], minlength=len(chains)) for u in used]) if len(used) else np.zeros((0, 0))
-    pri = np.log(mass[inverse[pair], cand])
-    s = logs[cand] + pri
+    mass = np.stack([np.bincount(of, prior[u][flat], minlength=len(owner)) for u in used])
+    s = logs[cand] + np.log(mass[inverse[pair], cand])
     top = np.full(len(sf), -np.inf)
     np.maximum.at(top, pair, s)
     e = np.exp(s - top[pair])
-    return pair, cand, e / np.bincount(pair, e, minlength=len(sf))[pair], pri
+    return pair, cand, e / np.bincount(pair, e, minlength=len(sf))[pair]
 
 
 # --- over tables ---
@@ -254,13 +258,13 @@ def posteriors(owner: np.ndarray, logs: np.ndarray, chains: list[list[int]], sf_
 STATS = SIZE + SOURCE_BUCKETS * FIELDS * len(CHAINS)
 #: Natural logs by which a candidate may trail the best one in the first round without being dropped.
 TRAIL = 25.0
-_SPLIT = re.compile("[ \t\r\f\v]+")
+_TOKEN = re.compile("[^ \t\r\f\v]*[^\x00-\x7f][^ \t\r\f\v]*")
 _MARKS = "“”„\"'‚‘’«»‹›().,;:!?¿¡<>[]{}|*_ \xa0\xad"
 _SPACES = re.compile("[\xa0\xad]")
 OCC = "doc_id bigint, line int, sf int, token string, core string, beyond int, prev string, next string"
 HITS = "token string, sf int, repaired string, meant string, chain string, p double, llr double, kind string"
-#: Tokens whose neighbours are kept, to tell an example that is quoted from text.
-SHORT = 12
+#: Characters of tokens and cores that are kept apart, with their neighbours, to tell a quoted example from text.
+SHORT, SHORT_CORE = 12, 4
 
 
 def core(w: str) -> str:
@@ -268,32 +272,36 @@ def core(w: str) -> str:
     return w.strip(_MARKS) or w
 
 
-def _near(w: str) -> str:
-    return _DIGITS.sub("0", _SPACES.split(w)[-1])
+def _near(words: str, last: bool) -> str | None:
+    """The last or first word of what stands beside a token, None if there is none; digits as one."""
+    ws = words.split(None)
+    return _DIGITS.sub("0", ws[-1 if last else 0]) if ws else None
 
 
-def occurrences(text: str) -> list[tuple[int, int, str, str | None, int, str | None, str | None]]:
+def occurrences(text: str) -> Iterator[tuple[int, int, str, str | None, int, str | None, str | None]]:
     """(line, field, token, core, beyond, prev, next) of every token with characters beyond ASCII.
 
     Fields: 0 first line, 2 last line, 1 between; a text of one line is a first line. beyond is the
-    number of such tokens in the line. core and neighbours are given where token or core are short.
+    number of such tokens in the line. core and neighbours are given where the token is short and its
+    core is short too, or has other characters than letters; ^ and $ stand for a line's ends.
     """
-    out = []
     lines = text.split("\n")
+    last = len(lines) - 1
     for i, l in enumerate(lines):
         if l.isascii():
             continue
-        field = 0 if i == 0 else 2 if i == len(lines) - 1 else 1
-        ws = [w for w in _SPLIT.split(l) if w]
-        at = [k for k, w in enumerate(ws) if not w.isascii()]
-        for k in at:
-            w = ws[k]
-            c = core(w) if len(w) <= SHORT else None
-            if c is not None and (len(c) == 1 or not c.isalpha() or len(c) <= 3):
-                out.append((i, field, w, c, len(at), _near(ws[k - 1]) if k else "^", _near(ws[k + 1]) if k + 1 < len(ws) else "$"))
-            else:
-                out.append((i, field, w, c, len(at), None, None))
-    return out
+        field = 0 if i == 0 else 2 if i == last else 1
+        found = list(_TOKEN.finditer(l))
+        beyond = len(found)
+        for m in found:
+            w = m[0]
+            if len(w) <= SHORT:
+                c = w.strip(_MARKS) or w
+                if len(c) <= SHORT_CORE or not c.isalpha():
+                    a, z = m.span()
+                    yield i, field, w, c, beyond, _near(l[max(0, a - 200) : a], True) or "^", _near(l[z : z + 200], False) or "$"
+                    continue
+            yield i, field, w, None, beyond, None, None
 
 
 def bucket(source: str | None) -> int:
@@ -303,17 +311,31 @@ def bucket(source: str | None) -> int:
 
 def _find_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("sf", pa.int32()), ("token", pa.string()), ("core", pa.string()), ("beyond", pa.int32()), ("prev", pa.string()), ("next", pa.string())])
+
+    def flush(columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
     for b in batches:
-        rows = []
+        columns: list[list] = [[] for _ in schema]
+        ids, at_line, sfs, tokens, cores, many, before, after = columns
         for i, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             if text and not text.isascii():
                 s = bucket(source) * FIELDS
-                rows += [(i, line, s + f, *rest) for line, f, *rest in occurrences(text)]
-            if len(rows) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                for line, f, w, c, n, p, q in occurrences(text):
+                    ids.append(i)
+                    at_line.append(line)
+                    sfs.append(s + f)
+                    tokens.append(w)
+                    cores.append(c)
+                    many.append(n)
+                    before.append(p)
+                    after.append(q)
+            if len(ids) > 50_000:
+                yield flush(columns)
+                for c in columns:
+                    c.clear()
+        if ids:
+            yield flush(columns)
 
 
 def _sparse(stats: np.ndarray) -> pa.RecordBatch:
@@ -321,63 +343,88 @@ def _sparse(stats: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(stats[at])], ["place", "weight"])
 
 
+def _flat(a: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Lengths of a list column's lists, and their values one after the other."""
+    return pc.list_value_length(a).to_numpy(zero_copy_only=False).astype(np.int64), pc.list_flatten(a)
+
+
 def _first_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the tokens as they stand."""
     stats = np.zeros(SIZE)
     for b in batches:
         if b.num_rows:
-            n = np.array([sum(x) for x in b.column(2).to_pylist()], dtype=float)
-            expected_counts(b.column(0).to_pylist(), n, stats)
+            many, n = _flat(b.column(2))
+            of = np.repeat(np.arange(b.num_rows), many)
+            expected_counts([shape(t) for t in b.column(0).to_pylist()], np.bincount(of, n.to_numpy(), minlength=b.num_rows), stats)
     yield _sparse(stats)
 
 
 class Block:
-    """The candidates of a batch of types, flat."""
-
-    def __init__(self, tokens: list[str], sfs: list[list[int]], ns: list[list[int]], found: list[list[tuple[str, list[int]]]]):
-        self.tokens = tokens
-        self.texts = [t for tok, c in zip(tokens, found) for t in (tok, *(v for v, _ in c))]
-        self.chains = [cs for c in found for cs in ([IDENTITY], *(x for _, x in c))]
-        sizes = np.array([len(c) + 1 for c in found])
-        self.owner = np.repeat(np.arange(len(tokens)), sizes)
-        self.identity = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self.sf_owner = np.repeat(np.arange(len(tokens)), [len(x) for x in sfs])
-        self.sf = np.array([x for xs in sfs for x in xs])
-        self.n = np.array([x for xs in ns for x in xs], dtype=float)
+    """A batch of types with their candidates, flat; the first candidate of each is the token itself.
+
+    Columns: token, sf list, n list, texts list (token first), shapes list, chains list (all candidates' one
+    after the other), sizes list (how many chains each candidate has).
+    """
+
+    def __init__(self, b: pa.RecordBatch):
+        self.batch = b
+        many, sf = _flat(b.column(1))
+        self.sf = sf.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.n = _flat(b.column(2))[1].to_numpy(zero_copy_only=False).astype(float)
+        self.sf_owner = np.repeat(np.arange(b.num_rows), many)
+        width, shapes = _flat(b.column(4))
+        self.shapes = shapes.to_pylist()
+        self.owner = np.repeat(np.arange(b.num_rows), width)
+        self.identity = np.cumsum(width) - width
+        self.flat = _flat(b.column(5))[1].to_numpy(zero_copy_only=False).astype(np.int64)
+        self.sizes = _flat(b.column(6))[1].to_numpy(zero_copy_only=False).astype(np.int64)
+        self.of = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        control = [bool(_C1.search(t)) for t in b.column(0).to_pylist()]
+        self.control = CONTROL * np.array(control, dtype=float)
 
     def judge(self, counts: np.ndarray, prior: np.ndarray):
-        logs = likelihoods(self.texts, counts)
-        logs[self.identity] -= CONTROL * np.array([bool(_C1.search(t)) for t in self.tokens])
-        return logs, *posteriors(self.owner, logs, self.chains, self.sf_owner, self.sf, prior)[:3]
+        """Log likelihoods; and pair, candidate and posterior of every candidate of every pair."""
+        logs = likelihoods(self.shapes, counts)
+        logs[self.identity] -= self.control
+        return logs, *posteriors(self.owner, logs, self.flat, self.of, self.sf_owner, self.sf, prior)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    for b in batches:
-        if b.num_rows:
-            tokens, sfs, ns, vs, cs = (b.column(i).to_pylist() for i in range(5))
-            yield Block(tokens, sfs, ns, [list(zip(v, c)) for v, c in zip(vs, cs)])
+    return (Block(b) for b in batches if b.num_rows)
+
+
+CANDIDATES = "token string, sf array<int>, n array<bigint>, texts array<string>, shapes array<string>, chains array<int>, sizes array<int>"
 
 
 def _candidates(model):
-    """(token, sf, n, repaired, chains) with the candidates that the first counts leave in the race."""
+    """The types with the candidates that the first counts leave in the race."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, _ = model.value
         for b in batches:
             if not b.num_rows:
                 continue
-            tokens, sfs, ns = (b.column(i).to_pylist() for i in range(3))
+            tokens = b.column(0).to_pylist()
             found = [list(repairs(t).items()) if "�" not in t else [] for t in tokens]
-            x = Block(tokens, sfs, ns, found)
-            logs = likelihoods(x.texts, counts)
+            texts = [v for t, c in zip(tokens, found) for v in (t, *(v for v, _ in c))]
+            shapes = [shape(t) for t in texts]
+            logs = likelihoods(shapes, counts)
+            width = np.array([len(c) + 1 for c in found])
+            owner = np.repeat(np.arange(len(tokens)), width)
             best = np.full(len(tokens), -np.inf)
-            np.maximum.at(best, x.owner, logs)
-            keep = logs > best[x.owner] - TRAIL
-            kept = [[c for c, k in zip(f, keep[i + 1 : i + 1 + len(f)]) if k] for f, i in zip(found, x.identity)]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array([[v for v, _ in k] for k in kept], pa.list_(pa.string())), pa.array([[c for _, c in k] for k in kept], pa.list_(pa.list_(pa.int32())))],
-                ["token", "sf", "n", "repaired", "chains"],
-            )
+            np.maximum.at(best, owner, logs)
+            keep = logs > best[owner] - TRAIL
+            keep[np.cumsum(width) - width] = True
+            out = [[], [], [], []]
+            at = 0
+            for c in found:
+                kept = [k for k in range(len(c) + 1) if keep[at + k]]
+                chains = [c[k - 1][1] if k else [IDENTITY] for k in kept]
+                for column, x in zip(out, ([texts[at + k] for k in kept], [shapes[at + k] for k in kept], [x for cs in chains for x in cs], [len(cs) for cs in chains])):
+                    column.append(x)
+                at += len(c) + 1
+            kinds = [pa.list_(pa.string())] * 2 + [pa.list_(pa.int32())] * 2
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array(x, t) for x, t in zip(out, kinds)]], ["token", "sf", "n", "texts", "shapes", "chains", "sizes"])
 
     return go
 
@@ -391,17 +438,19 @@ def _round(model):
         for x in _blocks(batches):
             _, pair, cand, post = x.judge(counts, prior)
             w = post * x.n[pair]
-            mass = np.bincount(cand, w, minlength=len(x.texts))
+            mass = np.bincount(cand, w, minlength=len(x.shapes))
             some = np.flatnonzero(mass > 1e-3)
-            expected_counts([x.texts[i] for i in some], mass[some], stats[:SIZE])
+            expected_counts([x.shapes[i] for i in some], mass[some], stats[:SIZE])
             live = w > 1e-4
             pair, cand, w = pair[live], cand[live], w[live]
-            many = np.array([len(c) for c in x.chains])[cand]
-            flat = np.array([c for i in cand for c in x.chains[i]])
+            # every chain of every live candidate, by its share of the candidate's prior
+            many = x.sizes[cand]
             of = np.repeat(np.arange(len(cand)), many)
-            share = prior[x.sf[pair][of], flat]
+            start = (np.cumsum(x.sizes) - x.sizes)[cand]
+            chain = x.flat[np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+            share = prior[x.sf[pair][of], chain]
             share = share / np.bincount(of, share, minlength=len(cand))[of] * w[of]
-            np.add.at(stats, SIZE + x.sf[pair][of] * len(CHAINS) + flat, share)
+            stats += np.bincount(SIZE + x.sf[pair][of] * len(CHAINS) + chain, share, minlength=STATS)
         yield _sparse(stats)
 
     return go
@@ -416,26 +465,27 @@ def _verdicts(model):
         types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
         for x in _blocks(batches):
             logs, pair, cand, post = x.judge(counts, prior)
+            tokens, texts = x.batch.column(0).to_pylist(), _flat(x.batch.column(3))[1].to_pylist()
+            start = np.cumsum(x.sizes) - x.sizes
             is_id = np.isin(cand, x.identity)
             clean = np.zeros(len(x.sf))
             clean[pair[is_id]] = post[is_id]
             p, c, q = pair[~is_id], cand[~is_id], post[~is_id]
             order = np.lexsort((-q, p))
             p, c = p[order], c[order]
-            firsts = np.flatnonzero(np.diff(p, prepend=-1)) if len(p) else []
+            firsts = np.flatnonzero(np.diff(p, prepend=-1))
+            gain = logs - logs[x.identity[x.owner]]
+            firsts = firsts[(gain[c[firsts]] > 1) & (1 - clean[p[firsts]] > 1e-4)]
             rows = []
-            for i in firsts:
-                k, j = p[i], c[i]
-                llr = logs[j] - logs[x.identity[x.owner[j]]]
-                if llr > 1 and 1 - clean[k] > 1e-4:
-                    chains = x.chains[j]
-                    token, v = x.tokens[x.sf_owner[k]], x.texts[j]
-                    kind = "form" if BY_FORM[chains].any() or _C1.search(token) else "turn"
-                    top = chains[int(np.argmax(prior[x.sf[k], chains]))]
-                    rows.append((token, x.sf[k], v, core(v) if len(v) <= SHORT else None, CHAINS[top], 1 - clean[k], llr, kind))
+            for k, j in zip(p[firsts], c[firsts]):
+                chains = x.flat[start[j] : start[j] + x.sizes[j]]
+                token, v = tokens[x.sf_owner[k]], texts[j]
+                kind = "form" if BY_FORM[chains].any() or _C1.search(token) else "turn"
+                top = chains[int(np.argmax(prior[x.sf[k], chains]))]
+                rows.append((token, x.sf[k], v, core(v) if len(v) <= SHORT else None, CHAINS[top], 1 - clean[k], gain[j], kind))
             for k, o in enumerate(x.sf_owner):
-                if "�" in x.tokens[o]:
-                    rows.append((x.tokens[o], x.sf[k], None, None, LOST, 1.0, 20.0, LOST))
+                if "�" in tokens[o]:
+                    rows.append((tokens[o], x.sf[k], None, None, LOST, 1.0, 20.0, LOST))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*rows), types)], names)
 
@@ -469,7 +519,7 @@ def learn(occ: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     counts = _gather(types.mapInArrow(_first_counts, "place int, weight double"))[:SIZE]
     prior = start_prior()
     model = sc.broadcast((counts, prior))
-    cands = cut(types.mapInArrow(_candidates(model), "token string, sf array<int>, n array<bigint>, repaired array<string>, chains array<array<int>>"), "candidates")
+    cands = cut(types.mapInArrow(_candidates(model), CANDIDATES), "candidates")
     for _ in range(rounds):
         stats = _gather(cands.mapInArrow(_round(model), "place int, weight double"))
         model.destroy()
