@@ -10,7 +10,7 @@ from tidelog.session import build_session
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[8]", 8, "tests", spark__driver__memory="8g", spark__ui__showConsoleProgress="false")
+    s = build_session("local[8]", 4, "tests", spark__driver__memory="8g", spark__ui__showConsoleProgress="false")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

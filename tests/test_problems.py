@@ -192,6 +192,10 @@ def test_state_in_whatever_order_and_batches(spark, tmp_path, seed):
     got = {(r["store_id"], r["key"]): (r["seq"], bytes(r["value"])) for r in t.read().collect()}
     assert got == STATE
     assert t.read(values=False).count() == len(STATE)
+    t.fold(100)
+    assert {(r["store_id"], r["key"]): (r["seq"], bytes(r["value"])) for r in t.read().collect()} == STATE
+    t.append(log(spark, [(1, 3, "a", 2, 10, False, "gone", b"late")]), 101)  # still older than its delete
+    assert {(r["store_id"], r["key"]): (r["seq"], bytes(r["value"])) for r in t.read().collect()} == STATE
 
 
 def test_state_of_nothing(spark, tmp_path):

@@ -57,3 +57,21 @@ class EqualityDeleteTable:
         i, d = newest.alias("i"), deletes.alias("d")
         later = (F.col("i.store_id") == F.col("d.store_id")) & (F.col("i.key") == F.col("d.key")) & (F.col("d.deleted") > at)
         return i.join(d, later, "left_anti").select(*ENTRY, "r.*")
+
+    def fold(self, batch: int) -> None:
+        """Rewrite all that is there as one batch: live rows, and the newest delete of every key.
+
+        Deletes are kept, for an older insert may still arrive late. The new folders are written
+        before the old ones are removed; a reader between sees both, which gives the same state.
+        """
+        order = F.struct(*SEQUENCE)
+        self.read().write.mode("error").parquet(f"{self.root}/inserts/batch={batch}")
+        newest = self._files("deletes").groupBy(*ENTRY).agg(F.max(order).alias("r")).select(*ENTRY, "r.*")
+        newest.write.mode("error").parquet(f"{self.root}/deletes/batch={batch}")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        for kind in ("inserts", "deletes"):
+            folder = hadoop.Path(f"{self.root}/{kind}")
+            fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for s in fs.listStatus(folder):
+                if s.getPath().getName() != f"batch={batch}":
+                    fs.delete(s.getPath(), True)

@@ -106,7 +106,7 @@ class ChangeCapture:
         # a store without new deliveries keeps its offset
         end_file, end_offset = F.coalesce("to_file", "from_file"), F.when(F.col("to_file").isNull(), F.col("from_offset")).otherwise(F.col("to_offset"))
         plan = both.select(F.lit(batch).cast("bigint").alias("batch_id"), "store_id", "from_file", "from_offset", end_file.alias("to_file"), end_offset.alias("to_offset"))
-        plan.coalesce(1).write.mode("overwrite").parquet(self._at("plans", batch))
+        plan.write.mode("overwrite").parquet(self._at("plans", batch))
         return batch
 
     def run(self, log: DataFrame, batch: int) -> None:

@@ -20,6 +20,8 @@ from tidelog.session import shared_path
 SMALL_BYTES = 16_384
 #: Size that an output file should have.
 TARGET_BYTES = 128 << 20
+#: Bytes that a task reads at most where what it keeps of them is little.
+READ_BYTES = 8 * TARGET_BYTES
 #: What opening a file costs, in bytes that could be read meanwhile.
 OPEN_COST = 4 << 20
 BLOCKS = ("Data", "Index", "Summary", "Filter")
@@ -109,11 +111,12 @@ def multiset(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.concat_ws("/", *both).alias("fingerprint"))
 
 
-def compact(records: DataFrame, destination: str, read_bytes: int, target_bytes: int = TARGET_BYTES) -> tuple[int, int, str]:
+def compact(records: DataFrame, destination: str, kept_bytes: int, read_bytes: int | None = None, target_bytes: int = TARGET_BYTES) -> tuple[int, int, str]:
     """Write records to few files under destination, exactly as often as they come; files, rows, fingerprint.
 
-    The number of files follows from the bytes read and the target, by coalesce, without a shuffle:
-    whole packed splits are put together. The files are first staged beside the destination, read
+    The number of files follows from the bytes that are kept and the target, by coalesce, without a
+    shuffle: whole packed splits are put together, up to READ_BYTES of them where little of the
+    read_bytes is kept. The files are first staged beside the destination, read
     back and compared with the source as a multiset; only then the folder is renamed. A run that
     fails leaves a staging folder and no destination, so it can simply be run again. An existing
     destination is an error. No records give an empty folder with the schema.
@@ -124,7 +127,8 @@ def compact(records: DataFrame, destination: str, read_bytes: int, target_bytes:
         raise FileExistsError(destination)
     staged = f"{destination}.staging"
     before = multiset(records).first()
-    records.coalesce(max(1, math.ceil(read_bytes / target_bytes))).write.mode("overwrite").parquet(staged)
+    files = max(1, math.ceil(kept_bytes / target_bytes), math.ceil((read_bytes or 0) / READ_BYTES))
+    records.coalesce(files).write.mode("overwrite").parquet(staged)
     written = spark.read.schema(records.schema).parquet(staged)
     after = multiset(written).first()
     if tuple(before) != tuple(after):
@@ -143,9 +147,10 @@ def consolidate(spark: SparkSession, listing_path: str, records_path: str, desti
     """
     destination = destination or shared_path(spark, "compacted")
     plan_path = f"{destination}.plan"
-    small_tables(packed_read(spark, listing_path, target_bytes), limit).coalesce(1).write.mode("overwrite").parquet(plan_path)
+    small_tables(packed_read(spark, listing_path, target_bytes), limit).write.mode("overwrite").parquet(plan_path)
     plan = spark.read.schema("store_id bigint, level bigint, table_id bigint, bytes bigint").parquet(plan_path)
     records = packed_read(spark, records_path, target_bytes)
     chosen = lookup_join(records, plan.select(*IDENTITY), IDENTITY, "left_semi")
-    files, rows, fingerprint = compact(chosen.select(*records.columns), destination, listed_files(spark, records_path)[1], target_bytes)
+    kept = plan.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    files, rows, fingerprint = compact(chosen.select(*records.columns), destination, kept, listed_files(spark, records_path)[1], target_bytes)
     return Published(destination, plan, files, rows, fingerprint)

@@ -224,12 +224,54 @@ def merkle_serialize(spark, d):
     return M.serialize(M.tree(_chunks(n, "n_nationkey")))
 
 
+def memtable_sizes(spark, d):
+    """Distinct keys of each run of 1024 log records."""
+    return memtable_flush_runs(spark, d).groupBy("store_id", "run_id").agg(F.count(F.lit(1)).alias("keys"))
+
+
+def memtable_remove(spark, d):
+    """The newest records after the incoming keys are removed for good, without tombstones."""
+    gone = table(spark, d, "incoming_records").where("key IS NOT NULL").select("store_id", "key").distinct()
+    return lww(log(spark, d).drop("value"), BY, ORDER).join(gone, ["store_id", "key"], "left_anti").select("store_id", "key", "seq", "tombstone")
+
+
+def sst_first_records(spark, d):
+    """The first key of each run."""
+    return X.ranges(runs(spark, d)).select(*RUN, F.hex("start_key").alias("key_hex"))
+
+
+def sst_range_scan(spark, d):
+    """Newest user records of a key range over all runs, tombstones kept."""
+    from tidelog.schema import is_reserved
+
+    hit = runs(spark, d).where(F.col("key").between(b"cart:", b"metric:") & ~is_reserved(F.col("key")))
+    return C.newest(hit).select("store_id", F.hex("key").alias("key_hex"), "ts", "tombstone")
+
+
+def wal_differences(spark, d):
+    """Deliveries of a change that differ in content from its first one, time aside."""
+    from pyspark.sql import Window
+
+    rows = log(spark, d).distinct()
+    first = Window.partitionBy("store_id", "seq").orderBy("file_name", "file_offset")
+    same = F.col("key").eqNullSafe(F.first("key").over(first)) & F.col("value").eqNullSafe(F.first("value").over(first)) & F.col("tombstone").eqNullSafe(F.first("tombstone").over(first))
+    return rows.select("store_id", "seq", "file_name", "file_offset", same.alias("same")).where("NOT same").drop("same")
+
+
+def merkle_contains(spark, d):
+    """Nodes of the nations' tree that are also in the tree with one name changed."""
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    changed = n.withColumn("n_name", F.when(F.col("n_nationkey") == 7, "ELSEWHERE").otherwise(F.col("n_name")))
+    got = M.contains(M.tree(_chunks(n, "n_nationkey")), M.tree(_chunks(changed, "n_nationkey")).select("hash"))
+    return got.select(F.lower(F.hex("hash")).alias("hash"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         lsm_merge_runs, lsm_level_read, memtable_flush_runs, sst_record_size, sst_ranges, sst_sparse_index, sst_summary, sst_floor_lookup, sst_point_read, record_checksums, wal_checksums,
         wal_segments, wal_layout, wal_replay, wal_unflushed, compact_size_tiered, compact_size_tiered_tables, compact_leveled, compact_leveled_layout, leveled_overlap, level_budget,
-        space_by_level, dict_build, dict_encode, dict_decode, dict_space, merkle_root, merkle_diff, merkle_serialize,
+        memtable_sizes, memtable_remove, sst_first_records, sst_range_scan, wal_differences, merkle_contains, space_by_level, dict_build, dict_encode, dict_decode, dict_space, merkle_root, merkle_diff, merkle_serialize,
     )
 }
 
@@ -332,3 +374,13 @@ SELECT store_id, CAST(sum({_size_sql()}) AS BIGINT) AS plain, CAST(sum({_size_sq
     "merkle_diff": "SELECT a.level, a.idx, a.h AS a_hash, b.h AS b_hash FROM (" + _merkle_sql(_NATION, "n_nationkey", _NODES) + ") a JOIN (" + _merkle_sql(_CHANGED, "n_nationkey", _NODES) + ") b ON a.level = b.level AND a.idx = b.idx WHERE a.h <> b.h",
     "merkle_serialize": _merkle_sql(_NATION, "n_nationkey", "SELECT row_number() OVER (ORDER BY level DESC, idx) - 1 AS place, lower(hex(h)) AS hash FROM nodes"),
 }
+ORACLE |= {
+    "memtable_sizes": f"SELECT store_id, run_id, count(DISTINCT key) AS keys FROM (SELECT *, (row_number() OVER (PARTITION BY store_id ORDER BY file_name, file_offset) - 1) // {MEMTABLE} AS run_id FROM wal_records WHERE key IS NOT NULL) GROUP BY ALL",
+    "memtable_remove": f"SELECT store_id, key, seq, tombstone FROM ({newest_sql()}) n ANTI JOIN (SELECT DISTINCT store_id, key FROM incoming_records WHERE key IS NOT NULL) i ON i.store_id = n.store_id AND i.key = n.key",
+    "sst_first_records": f"SELECT store_id, level, table_id, hex(min(key)) AS key_hex FROM {_RUNS} GROUP BY ALL",
+    "sst_range_scan": f"SELECT store_id, hex(key) AS key_hex, ts, tombstone FROM ({_NEW_RUN}) WHERE key BETWEEN 'cart:'::BLOB AND 'metric:'::BLOB AND decode(key) <> '__TB_RATE_LIMIT__'",
+    "wal_differences": """SELECT store_id, seq, file_name, file_offset FROM (
+  SELECT *, first_value(key) OVER w IS NOT DISTINCT FROM key AND first_value(value) OVER w IS NOT DISTINCT FROM value AND first_value(tombstone) OVER w IS NOT DISTINCT FROM tombstone AS same
+  FROM (SELECT DISTINCT store_id, seq, file_name, file_offset, key, value, tombstone FROM wal_records) WINDOW w AS (PARTITION BY store_id, seq ORDER BY file_name, file_offset)) WHERE NOT same""",
+    "merkle_contains": "SELECT a.h AS hash FROM (" + _merkle_sql(_NATION, "n_nationkey", _NODES) + ") b JOIN (" + _merkle_sql(_CHANGED, "n_nationkey", _NODES) + ") a ON a.h = b.h",
+}
