@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators.skew import lookup_join
-from tidelog.session import cut
+from tidelog.operators.small_files import packed_read
+from tidelog.session import cut, shared_path
 
 #: Encodings with one byte a character beyond ASCII, in which pages are written or read.
 SINGLE = ["cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "iso8859-2", "iso8859-15", "mac_roman", "cp437", "cp850", "koi8-r"]
@@ -256,6 +257,8 @@ def posteriors(owner: np.ndarray, logs: np.ndarray, flat: np.ndarray, of: np.nda
 
 #: Rows of a model that are sent to the driver at most, by construction: one per place of the count table and per prior.
 STATS = SIZE + SOURCE_BUCKETS * FIELDS * len(CHAINS)
+#: Bytes of a table of types that one task reads.
+SPLIT_BYTES = 4 << 20
 #: Natural logs by which a candidate may trail the best one in the first round without being dropped.
 TRAIL = 25.0
 _TOKEN = re.compile("[^ \t\r\f\v]*[^\x00-\x7f][^ \t\r\f\v]*")
@@ -509,17 +512,24 @@ class Garbled:
     verdicts: DataFrame
 
 
+def _spread(df: DataFrame, purpose: str) -> DataFrame:
+    """df as a table, read in splits of few types, for the work per byte is high."""
+    path = shared_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return packed_read(df.sparkSession, path, target_bytes=SPLIT_BYTES, open_cost=64 << 10)
+
+
 def learn(occ: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """EM over the token types of occ: the verdicts, in a table."""
     spark = occ.sparkSession
     sc = spark.sparkContext
     counted = occ.groupBy("token", "sf").agg(F.count(F.lit(1)).alias("n"))
     types = counted.groupBy("token").agg(F.collect_list(F.struct("sf", "n")).alias("x")).select("token", "x.sf", "x.n")
-    types = cut(types.repartition(max(1, sc.defaultParallelism), "token"), "types")
+    types = _spread(types.repartition(max(1, sc.defaultParallelism), "token"), "types")
     counts = _gather(types.mapInArrow(_first_counts, "place int, weight double"))[:SIZE]
     prior = start_prior()
     model = sc.broadcast((counts, prior))
-    cands = cut(types.mapInArrow(_candidates(model), CANDIDATES), "candidates")
+    cands = _spread(types.mapInArrow(_candidates(model), CANDIDATES), "candidates")
     for _ in range(rounds):
         stats = _gather(cands.mapInArrow(_round(model), "place int, weight double"))
         model.destroy()
