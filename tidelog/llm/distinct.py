@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators.skew import lookup_join
+from tidelog.session import cut
 
 P = 12
 DIMS = ["day", "store_id", "namespace"]
@@ -106,7 +107,8 @@ def mostly_distinct(log: DataFrame, regs: DataFrame, least_rows: int = 30, part:
     est = estimates(cube(regs, DIMS, sets=sets), [*DIMS, "over"], p).where(F.col("rows") >= least_rows)
     edge = F.col("rows") * (a / b)
     doubt = F.col("estimate") * (DOUBT * standard_error(p)) + 3
-    cells = est.withColumn("sure", F.abs(F.col("estimate") - edge) > doubt)
+    # one row a cell; read three times below
+    cells = cut(est.withColumn("sure", F.abs(F.col("estimate") - edge) > doubt), "cells")
     sure = cells.where(F.col("sure") & (F.col("estimate") > edge)).select(*DIMS)
     open_cells = cells.where(~F.col("sure")).select(*DIMS, "over", "rows")
     over = F.explode(F.array(F.lit("000"), F.lit("001")))
