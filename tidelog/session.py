@@ -84,3 +84,10 @@ def ship(spark: SparkSession) -> None:
         out.close()
     sc.addPyFile(path)
     sc._tidelog_shipped = True
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Remove every table that was written to the shared folder; results that still read them are lost."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark).rstrip('/')}/tidelog")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    spark.sparkContext._tidelog_shipped = False
