@@ -106,3 +106,20 @@ def test_nothing_to_find(spark):
     df = spark.createDataFrame([(1, "ascii", "a"), (2, None, None), (3, "", "a")], schema)
     g = G.find_garbled(df)
     assert g.documents.count() == 0 and G.repaired(df, g).count() == 0
+
+
+def test_chain_that_shares_most_letters(spark):
+    """Tokens that the line's chain leaves as they are say nothing about it, and a piece of a line is enough."""
+    docs, _ = corpus()
+    word, other = "l’œuvre cœur œuf Šárka sœur", "même été forêt déjà légère très école première"
+    clean = [(1000 + i, f"{other} {word} {other}", "s1") for i in range(60)]
+    turned = [(2000 + i, f"{other}\n{other} " + wrong(word.replace("’", "'"), "iso8859-15", "cp1252") + f" {other}", "s1") for i in range(3)]
+    g = G.find_garbled(spark.createDataFrame([*docs, *clean, *turned], "doc_id bigint, text string, source string"))
+    found = {r["doc_id"] for r in g.documents.collect()}
+    assert {d[0] for d in turned} <= found and not found & {d[0] for d in clean}
+    assert all("cœur" in r["text"] for r in G.repaired(spark.createDataFrame(turned, "doc_id bigint, text string, source string"), g).where("doc_id >= 2000").collect())
+
+
+def test_best_pieces():
+    best, lo, hi = G.best_pieces(np.array([[-5.0, 0.0], [6.0, 4.0], [0.0, 0.0], [7.0, -9.0]]))
+    assert (lo[0], hi[0], lo[1], hi[1]) == (1, 3, 1, 1) and np.allclose(best, [13 - np.log(6), 4 - np.log(3)])

@@ -50,6 +50,13 @@ TRI, BI, UNI = 1 << 20, 1 << 18, 1 << 16
 SIZE = TRI + BI + UNI
 #: Natural logs by which a C1 control, which no clean text has, speaks against the identity.
 CONTROL = 8.0
+#: Natural logs by which each symbol inside a word, letters of two scripts side by side or four accented letters in a
+#: row speak against a text, and how many such places count.
+ODD, MOST_ODD = 6.0, 2
+#: Log odds before any evidence that a document is altered by a single-byte chain that the priors do not know.
+UNKNOWN = -9.0
+#: Evidence of a token that a chain turns into what no text has, or that the chain's reading cannot have produced.
+AGAINST = -25.0
 #: Weight of the shorter context in the character model.
 BACK_OFF = 4.0
 ROUNDS = 6
@@ -168,6 +175,22 @@ def repairs(token: str) -> dict[str, list[int]]:
     return out
 
 
+_SCRIPTS = ("a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "\u0370-\u03ff", "\u0400-\u052f")
+_SIGNS = "\u00a2-\u00a9\u00ac\u00ae-\u00b1\u00b4\u00b6\u00b8\u00bc-\u00bf\u00a1\u00d7\u00f7\u02c6\u02c7\u02d8-\u02dd\u2021\u2026\u2030\u20ac\u2200-\u22ff\u2500-\u25ff\ufb01\ufb02"
+_ANY = "".join(_SCRIPTS)
+_ODD = re.compile(
+    "|".join(
+        [f"(?<=[{_ANY}])[{_SIGNS}\u00b2\u00b3\u00b9](?=[{_ANY}])", f"(?<![^\\s])[\u00bc-\u00be\u00b2\u00b3\u00b9](?=[a-z]{{2}})", "[\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{4}"]
+        + [f"(?<=[{a}])(?=[{b}])" for a in _SCRIPTS for b in _SCRIPTS if a != b]
+    )
+)
+
+
+def odd(v: str) -> float:
+    """What symbols inside a word, mixed scripts and runs of accents speak against v, in natural logs."""
+    return 0.0 if v.isascii() else ODD * min(MOST_ODD, len(_ODD.findall(v)))
+
+
 _DIGITS = re.compile("[0-9]+")
 
 
@@ -264,7 +287,7 @@ TRAIL = 25.0
 _TOKEN = re.compile("[^ \t\r\f\v]*[^\x00-\x7f][^ \t\r\f\v]*")
 _MARKS = "“”„\"'‚‘’«»‹›().,;:!?¿¡<>[]{}|*_ \xa0\xad"
 _SPACES = re.compile("[\xa0\xad]")
-OCC = "doc_id bigint, line int, sf int, token string, core string, beyond int, prev string, next string"
+OCC = "doc_id bigint, line int, sf int, token string, core string, place int, prev string, next string"
 HITS = "token string, sf int, repaired string, meant string, chain string, p double, llr double, kind string"
 #: Characters of tokens and cores that are kept apart, with their neighbours, to tell a quoted example from text.
 SHORT, SHORT_CORE = 12, 4
@@ -282,10 +305,10 @@ def _near(words: str, last: bool) -> str | None:
 
 
 def occurrences(text: str) -> Iterator[tuple[int, int, str, str | None, int, str | None, str | None]]:
-    """(line, field, token, core, beyond, prev, next) of every token with characters beyond ASCII.
+    """(line, field, token, core, place, prev, next) of every token with characters beyond ASCII.
 
-    Fields: 0 first line, 2 last line, 1 between; a text of one line is a first line. beyond is the
-    number of such tokens in the line. core and neighbours are given where the token is short and its
+    Fields: 0 first line, 2 last line, 1 between; a text of one line is a first line. place is the
+    number of such tokens before it in the line. core and neighbours are given where the token is short and its
     core is short too, or has other characters than letters; ^ and $ stand for a line's ends.
     """
     lines = text.split("\n")
@@ -294,17 +317,15 @@ def occurrences(text: str) -> Iterator[tuple[int, int, str, str | None, int, str
         if l.isascii():
             continue
         field = 0 if i == 0 else 2 if i == last else 1
-        found = list(_TOKEN.finditer(l))
-        beyond = len(found)
-        for m in found:
+        for place, m in enumerate(_TOKEN.finditer(l)):
             w = m[0]
             if len(w) <= SHORT:
                 c = w.strip(_MARKS) or w
                 if len(c) <= SHORT_CORE or not c.isalpha():
                     a, z = m.span()
-                    yield i, field, w, c, beyond, _near(l[max(0, a - 200) : a], True) or "^", _near(l[z : z + 200], False) or "$"
+                    yield i, field, w, c, place, _near(l[max(0, a - 200) : a], True) or "^", _near(l[z : z + 200], False) or "$"
                     continue
-            yield i, field, w, None, beyond, None, None
+            yield i, field, w, None, place, None, None
 
 
 def bucket(source: str | None) -> int:
@@ -313,7 +334,7 @@ def bucket(source: str | None) -> int:
 
 
 def _find_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("sf", pa.int32()), ("token", pa.string()), ("core", pa.string()), ("beyond", pa.int32()), ("prev", pa.string()), ("next", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("sf", pa.int32()), ("token", pa.string()), ("core", pa.string()), ("place", pa.int32()), ("prev", pa.string()), ("next", pa.string())])
 
     def flush(columns: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
@@ -384,10 +405,11 @@ class Block:
         self.of = np.repeat(np.arange(len(self.sizes)), self.sizes)
         control = [bool(_C1.search(t)) for t in b.column(0).to_pylist()]
         self.control = CONTROL * np.array(control, dtype=float)
+        self.odd = np.array([odd(v) for v in _flat(b.column(3))[1].to_pylist()])
 
     def judge(self, counts: np.ndarray, prior: np.ndarray):
         """Log likelihoods; and pair, candidate and posterior of every candidate of every pair."""
-        logs = likelihoods(self.shapes, counts)
+        logs = likelihoods(self.shapes, counts) - self.odd
         logs[self.identity] -= self.control
         return logs, *posteriors(self.owner, logs, self.flat, self.of, self.sf_owner, self.sf, prior)
 
@@ -411,7 +433,7 @@ def _candidates(model):
             found = [list(repairs(t).items()) if "�" not in t else [] for t in tokens]
             texts = [v for t, c in zip(tokens, found) for v in (t, *(v for v, _ in c))]
             shapes = [shape(t) for t in texts]
-            logs = likelihoods(shapes, counts)
+            logs = likelihoods(shapes, counts) - np.array([odd(v) for v in texts])
             width = np.array([len(c) + 1 for c in found])
             owner = np.repeat(np.arange(len(tokens)), width)
             best = np.full(len(tokens), -np.inf)
@@ -478,7 +500,8 @@ def _verdicts(model):
             p, c = p[order], c[order]
             firsts = np.flatnonzero(np.diff(p, prepend=-1))
             gain = logs - logs[x.identity[x.owner]]
-            firsts = firsts[(gain[c[firsts]] > 1) & (1 - clean[p[firsts]] > 1e-4)]
+            # what turns letters into letters is weighed by lines, so it may be unlikely token by token
+            firsts = firsts[(gain[c[firsts]] > 1) & ((1 - clean[p[firsts]] > 1e-4) | ~np.array([BY_FORM[x.flat[start[j] : start[j] + x.sizes[j]]].any() for j in c[firsts]], dtype=bool))]
             rows = []
             for k, j in zip(p[firsts], c[firsts]):
                 chains = x.flat[start[j] : start[j] + x.sizes[j]]
@@ -505,11 +528,12 @@ def _gather(parts: DataFrame) -> np.ndarray:
 
 @dataclass
 class Garbled:
-    """documents: (doc_id, score) of the altered ones; hits: their tokens; verdicts: tokens with their repairs."""
+    """documents: (doc_id, score) of the altered ones; hits: their tokens; verdicts: tokens with their repairs; turned: lines altered by single-byte chains, with repairs."""
 
     documents: DataFrame
     hits: DataFrame
     verdicts: DataFrame
+    turned: DataFrame
 
 
 def _spread(df: DataFrame, purpose: str) -> DataFrame:
@@ -519,8 +543,8 @@ def _spread(df: DataFrame, purpose: str) -> DataFrame:
     return packed_read(df.sparkSession, path, target_bytes=SPLIT_BYTES, open_cost=64 << 10)
 
 
-def learn(occ: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """EM over the token types of occ: the verdicts, in a table."""
+def learn(occ: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """EM over the token types of occ: the verdicts, in a table, and the model: counts and priors."""
     spark = occ.sparkSession
     sc = spark.sparkContext
     counted = occ.groupBy("token", "sf").agg(F.count(F.lit(1)).alias("n"))
@@ -538,33 +562,142 @@ def learn(occ: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         everywhere /= everywhere.sum()
         # a source and field with few tokens leans on all the others
         prior = (got + 50 * everywhere) / (got.sum(1, keepdims=True) + 50)
-        model = sc.broadcast((stats[:SIZE], prior))
+        counts = stats[:SIZE]
+        model = sc.broadcast((counts, prior))
     verdicts = cut(cands.mapInArrow(_verdicts(model), HITS), "verdicts")
     model.destroy()
-    return verdicts
+    return verdicts, (counts, prior)
+
+
+_PAIRS = [(d, e) for d in SINGLE for e in SINGLE if d != e]
+_PAIR_CHAIN = np.array([NUMBER[f"{d}>{e}"] for d, e in _PAIRS])
+TURNED = "doc_id bigint, line int, score double, n_turn bigint, token string, repaired string"
+
+
+def _as_pair(c: str) -> list[str | None]:
+    """The character that each pair of encodings makes of c; None where the reading cannot have produced it."""
+    return [None if (at := TABLE[d].find(c)) < 0 else TABLE[e][at] for d, e in _PAIRS]
+
+
+def weigh(tokens: list[str], counts: np.ndarray, chars: dict[str, list]) -> tuple[list[list[str | None]], np.ndarray]:
+    """Texts and log odds of every token under every pair of encodings; a token that a pair leaves as it is has 0."""
+    texts, forms, shapes, at = [], [], [], {}
+    for t in tokens:
+        beyond = sorted({c for c in t if c > "\x7f"})
+        for c in beyond:
+            if c not in chars:
+                chars[c] = _as_pair(c)
+        row, made = [], {}
+        for k in range(len(_PAIRS)):
+            to = tuple(chars[c][k] for c in beyond)
+            if to not in made:
+                made[to] = None if None in to or any("\x80" <= x <= "\x9f" for x in to) else t.translate({ord(c): x for c, x in zip(beyond, to)})
+            row.append(made[to])
+        texts.append(row)
+        forms.append([v for d in SINGLE if (v := _utf8(t, d))])
+        for v in {t, *forms[-1], *(v for v in row if v is not None)}:
+            if v not in at:
+                at[v] = len(shapes)
+                shapes.append(v)
+    logs = likelihoods([shape(v) for v in shapes], counts) - np.array([odd(v) for v in shapes]) if shapes else np.zeros(0)
+    out = np.full((len(tokens), len(_PAIRS)), AGAINST)
+    for i, (t, row) in enumerate(zip(tokens, texts)):
+        # where UTF-8 shows by its form, the pair has to beat that too
+        base = max([logs[at[t]] - CONTROL * bool(_C1.search(t)), *(logs[at[v]] for v in forms[i])])
+        for k, v in enumerate(row):
+            if v is not None:
+                out[i, k] = 0.0 if v == t else max(AGAINST, logs[at[v]] - base)
+    return texts, out
+
+
+def best_pieces(odds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every column the greatest sum of a run of rows, less the log of the number of runs, and the run's ends.
+
+    Rows of 0 are left as they are by the column's chain: they neither count for nor against it.
+    """
+    n, width = odds.shape
+    best, run, begin = np.zeros(width), np.zeros(width), np.zeros(width, dtype=int)
+    lo, hi = np.zeros(width, dtype=int), np.full(width, -1)
+    for i in range(n):
+        begin = np.where(run > 0, begin, i)
+        run = np.maximum(run, 0) + odds[i]
+        better = run > best
+        best, lo, hi = np.where(better, run, best), np.where(better, begin, lo), np.where(better, i, hi)
+    many = np.maximum(1, (odds != 0).sum(0))
+    return best - np.log(many * (many + 1) / 2), lo, hi
+
+
+def _turned(model):
+    """The lines of documents that are likelier altered by one pair of single-byte encodings, with the repairs.
+
+    The log odds of a line's best piece are summed by pair over the document, in which a token counts once.
+    """
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, prior = model.value
+        chars: dict[str, list] = {}
+        names = ["doc_id", "line", "score", "n_turn", "token", "repaired"]
+        types = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.string(), pa.string()]
+        for b in batches:
+            docs = b.column(1).to_pylist()
+            tokens = sorted({x["token"] for xs in docs for x in xs if "\ufffd" not in x["token"]})
+            texts, odds = weigh(tokens, counts, chars)
+            number = {t: i for i, t in enumerate(tokens)}
+            rows = []
+            for i, xs in zip(b.column(0).to_pylist(), docs):
+                lines: dict[int, list] = {}
+                for x in sorted(xs, key=lambda x: (x["line"], x["place"])):
+                    if x["token"] in number:
+                        lines.setdefault(x["line"], []).append((number[x["token"]], x["sf"]))
+                total, pieces, seen = np.zeros(len(_PAIRS)), {}, set()
+                for l, ts in lines.items():
+                    m = odds[[t for t, _ in ts]]
+                    for r, (t, _) in enumerate(ts):
+                        if t in seen:
+                            m[r] = np.minimum(m[r], 0)
+                        seen.add(t)
+                    value, lo, hi = best_pieces(m)
+                    total += np.maximum(value, 0)
+                    pieces[l] = value, lo, hi
+                if not pieces:
+                    continue
+                sfs = sorted({sf for ts in lines.values() for _, sf in ts})
+                known = np.log(prior[sfs][:, _PAIR_CHAIN]).max(0) - np.log(prior[sfs, IDENTITY]).max()
+                log_odds = total + np.maximum(known, UNKNOWN)
+                k = int(np.argmax(log_odds))
+                if log_odds[k] < 0:
+                    continue
+                score = float(1 / (1 + np.exp(-log_odds[k])))
+                for l, (value, lo, hi) in pieces.items():
+                    ts = [t for t, _ in lines[l]]
+                    if value[k] > 0:
+                        put = [t for t in ts[lo[k] : hi[k] + 1] if odds[t, k] != 0]
+                    else:
+                        put = [t for t in ts if odds[t, k] > 0 and texts[t][k] is not None] if all(odds[t, k] >= 0 for t in ts) else []
+                    for t in sorted(set(put)):
+                        rows.append((i, l, score, len(put), tokens[t], texts[t][k]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*rows), types)], names)
 
+    return go
 
-def _scores(hits: DataFrame) -> DataFrame:
-    """(doc_id, score, lines, most): the evidence of a document's hits.
+
+def _scores(hits: DataFrame, turned: DataFrame) -> DataFrame:
+    """(doc_id, score, lines, most): the evidence of a document's hits, and of its lines in turned.
 
     Tokens that show UTF-8 by their form count alone or, when weak, together. Tokens that may be
-    another encoding's letters count by lines: a line is altered if half of its tokens beyond ASCII
-    speak for it and together outweigh the prior.
+    another encoding's letters count by document and chain: see _turned.
     """
     odds = lambda x: 1 / (1 + F.exp(-x))
-    form, turn, lost = (F.col("kind") == k for k in ("form", "turn", LOST))
-    strong = turn & (F.col("p") >= 0.001)
+    form, lost = (F.col("kind") == k for k in ("form", LOST))
     by_line = hits.groupBy("doc_id", "line").agg(
         F.sum(F.when(form, F.col("llr")).otherwise(0)).alias("form"),
         F.max(F.when(form | lost, F.col("p")).otherwise(0)).alias("p"),
         F.count(F.when(form, 1)).alias("n_form"),
-        F.sum(F.when(strong, F.col("llr")).otherwise(0)).alias("turn"),
-        F.count(F.when(strong, 1)).alias("n_turn"),
-        F.max("beyond").alias("beyond"),
         F.count(F.when((form | lost) & (F.col("p") >= 0.02), 1)).alias("clear"),
     )
-    turned = F.when((F.col("n_turn") > 0) & (2 * F.col("n_turn") >= F.col("beyond")), odds(F.col("turn") - 9)).otherwise(0.0)
-    lines = by_line.withColumn("turned", turned)
+    by_turn = turned.groupBy("doc_id", "line").agg(F.max("score").alias("turned"), F.max("n_turn").alias("n_turn"))
+    lines = by_line.join(by_turn, ["doc_id", "line"], "full").fillna(0)
     hot = F.when(F.col("turned") >= 0.5, F.greatest("clear", "n_turn")).otherwise(F.col("clear"))
     docs = lines.groupBy("doc_id").agg(
         F.max(F.greatest("p", "turned")).alias("one"),
@@ -612,12 +745,19 @@ def find_garbled(docs: DataFrame, rounds: int = ROUNDS) -> Garbled:
     a fixed size. An empty table gives no rows.
     """
     occ = cut(docs.select("doc_id", "source", "text").mapInArrow(_find_occurrences, OCC), "occurrences")
-    verdicts = learn(occ, rounds)
+    verdicts, arrays = learn(occ, rounds)
     # narrow rows of a fixed width, so that a bound on their number is one on their size
     keyed = verdicts.select(F.xxhash64("token").alias("h"), "sf", "p", "llr", "kind", "meant")
-    named = occ.withColumn("h", F.xxhash64("token")).select("doc_id", "line", "sf", "h", "beyond", "prev", "next", "core", F.when(F.length("token") <= SHORT, F.col("token")).alias("token"))
+    named = occ.withColumn("h", F.xxhash64("token")).select("doc_id", "line", "sf", "h", "prev", "next", "core", F.when(F.length("token") <= SHORT, F.col("token")).alias("token"))
     hits = cut(lookup_join(named, keyed, ["h", "sf"], "inner", spread=F.xxhash64("doc_id", "line")), "hits")
-    scores = cut(_scores(hits).where(F.col("score") >= 0.5), "scores")
+    suspects = hits.where(F.col("kind") == "turn").select("doc_id", "line").distinct()
+    # a document's suspect lines: never more than its own text
+    near = lookup_join(occ.select("doc_id", "line", "sf", "place", "token"), suspects, ["doc_id", "line"], "left_semi", spread=F.xxhash64("doc_id", "line"))
+    whole = near.groupBy("doc_id").agg(F.collect_set(F.struct("line", "place", "sf", "token")).alias("x"))
+    model = docs.sparkSession.sparkContext.broadcast(arrays)
+    turned = cut(whole.mapInArrow(_turned(model), TURNED), "turned")
+    model.destroy()
+    scores = cut(_scores(hits, turned).where(F.col("score") >= 0.5), "scores")
     # a few clear tokens in one or two lines may be examples; more than that is no example
     open_docs = scores.where((F.col("lines") <= 2) & (F.col("most") <= 2)).select("doc_id")
     open_hits = cut(hits.join(open_docs, "doc_id", "left_semi"), "open")
@@ -625,10 +765,10 @@ def find_garbled(docs: DataFrame, rounds: int = ROUNDS) -> Garbled:
     quotes = _quoted(clear, occ)
     rest = open_hits.join(quotes, ["doc_id", "line", "token"], "left_anti")
     sure = scores.join(open_docs, "doc_id", "left_anti").select("doc_id", "score")
-    checked = _scores(rest).where(F.col("score") >= 0.5).select("doc_id", "score")
+    checked = _scores(rest, turned.join(open_docs, "doc_id", "left_semi")).where(F.col("score") >= 0.5).select("doc_id", "score")
     found = cut(sure.unionByName(checked), "garbled")
     real = hits.join(quotes, ["doc_id", "line", "token"], "left_anti").join(found.select("doc_id"), "doc_id", "left_semi")
-    return Garbled(found, real, verdicts)
+    return Garbled(found, real, verdicts, turned)
 
 
 def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -650,6 +790,10 @@ def repaired(docs: DataFrame, g: Garbled) -> DataFrame:
     likely = (F.col("p") >= 0.5) | ((F.col("kind") == "form") & (F.col("llr") >= 2))
     sure = g.hits.where(likely & (F.col("kind") != LOST)).select("doc_id", "h", "sf").distinct()
     by = g.verdicts.where(F.col("repaired").isNotNull()).select(F.xxhash64("token").alias("h"), "sf", "token", "repaired")
-    each = sure.join(by, ["h", "sf"]).groupBy("doc_id").agg(F.collect_set(F.struct("token", "repaired")).alias("pairs"))
+    told = sure.join(by, ["h", "sf"]).select("doc_id", "token", "repaired")
+    # the chain of a whole line goes before the likeliest one of a token alone
+    chained = g.turned.where(F.col("repaired").isNotNull()).select("doc_id", "token", "repaired").distinct()
+    told = told.join(chained, ["doc_id", "token"], "left_anti").unionByName(chained)
+    each = told.groupBy("doc_id").agg(F.collect_set(F.struct("token", "repaired")).alias("pairs"))
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(g.documents.select("doc_id"), "doc_id", "left_semi")
     return texts.join(each, "doc_id", "left").select("doc_id", "text", "pairs").mapInArrow(_replace, "doc_id bigint, text string")
