@@ -123,3 +123,16 @@ def test_chain_that_shares_most_letters(spark):
 def test_best_pieces():
     best, lo, hi = G.best_pieces(np.array([[-5.0, 0.0], [6.0, 4.0], [0.0, 0.0], [7.0, -9.0]]))
     assert (lo[0], hi[0], lo[1], hi[1]) == (1, 3, 1, 1) and np.allclose(best, [13 - np.log(6), 4 - np.log(3)])
+
+
+def test_copies_and_lone_letters_are_no_examples(spark):
+    """Copies of a page don't make its damage an example, nor does a lone letter that is a word beside a neighbour."""
+    docs, _ = corpus()
+    dash = [(3000 + i, "Nimtandor bridge\nToday Orlando " + wrong("–") + " Nimtandor again", "s1") for i in range(4)]
+    lone = [(3100, "nous allons " + wrong("à", read="latin-1").replace("\xa0", chr(0xA0)) + " pied", "s1"), (3101, "nous allons " + chr(0xFFFD) + " pied", "s1")]
+    words = [(3200 + i, "nous allons à Paris puis à pied\nil va à Lyon", "s1") for i in range(5)]
+    quoting = [(3300 + i, f"why do I read {wrong(c)} in old exports", "s1") for i, c in enumerate(("ñ", "’", "£"))]
+    rows = [*docs, *dash, *lone, *words, *quoting, (3400, "the glyph " + chr(0xFFFD) + " is drawn by a font", "s1")]
+    found = {r["doc_id"] for r in G.find_garbled(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).documents.collect()}
+    assert {d[0] for d in dash} | {3101} <= found
+    assert not found & {d[0] for d in [*words, *quoting, (3400,)]}

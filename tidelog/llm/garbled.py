@@ -714,17 +714,18 @@ def _quoted(hits: DataFrame, occ: DataFrame) -> DataFrame:
     """(doc_id, line, token) of hits that are examples: a page that speaks of such characters.
 
     An example names what it stands for in the same line; or it is one character alone between words
-    between which that character never stands elsewhere, and either a letter, or lost between
-    ordinary words, or quoted between the same words on several pages.
+    between which that character never stands elsewhere, and either different characters are quoted
+    between the same words, or it is a letter that is no word beside either of them, or it is lost between
+    ordinary words beside neither of which any letter is a word. Copies of a page are no evidence.
     """
     hits = hits.where(F.col("kind") != "turn")
     one = hits.where((F.length("meant") == 1) | (F.col("kind") == LOST)).where(F.col("prev").isNotNull())
     named = hits.where(F.col("meant").isNotNull()).select("doc_id", "line", F.col("meant").alias("core")).distinct()
     there = lookup_join(occ.where(F.col("core").isNotNull()).select("doc_id", "line", "core"), named, ["doc_id", "line", "core"], "left_semi", spread=F.col("doc_id")).distinct()
     pairs = hits.join(there.withColumnRenamed("core", "meant"), ["doc_id", "line", "meant"], "left_semi").select("doc_id", "line", "token")
-    places = one.groupBy("prev", "next").agg(F.countDistinct("doc_id").alias("pages"))
+    places = one.groupBy("prev", "next").agg(F.countDistinct("meant").alias("kinds"))
     alone = occ.where((F.length("core") == 1) & (F.col("core") != "�") & F.col("prev").isNotNull()).select("prev", "next", "core", "doc_id")
-    seen = lookup_join(alone, places.drop("pages"), ["prev", "next"], "left_semi", spread=F.col("doc_id")).select("prev", "next", "core").distinct()
+    seen = lookup_join(alone, places.drop("kinds"), ["prev", "next"], "left_semi", spread=F.col("doc_id")).select("prev", "next", "core").distinct()
     letter = F.col("core").rlike(r"^\p{L}$")
     exact = seen.withColumnRenamed("core", "meant")
     marks = seen.where(~letter).select("prev", "next").distinct()
@@ -732,7 +733,13 @@ def _quoted(hits: DataFrame, occ: DataFrame) -> DataFrame:
     gone = one.where(F.col("kind") == LOST).join(marks, ["prev", "next"], "left_anti").select(*one.columns)
     plain = F.col("prev").rlike("^[a-z]+$") & F.col("next").rlike("^[a-z]+$")
     unseen = lone.unionByName(gone).join(places, ["prev", "next"])
-    example = unseen.where((F.col("pages") > 1) | F.coalesce(F.col("meant").rlike(r"^\p{L}$"), F.lit(False)) | ((F.col("kind") == LOST) & plain & (F.col("core") == "�")))
+    # letters that are words beside one of the neighbours, as a-grave is in French
+    for side in ("prev", "next"):
+        words = lookup_join(alone.where(letter).select(side, "core", "doc_id"), unseen.select(side).distinct(), [side], "left_semi", spread=F.col("doc_id"))
+        unseen = unseen.join(words.groupBy(side).agg(F.collect_set("core").alias(f"words_{side}")), side, "left")
+    words = F.concat(*(F.coalesce(f"words_{side}", F.array().cast("array<string>")) for side in ("prev", "next")))
+    stray = F.coalesce(F.col("meant").rlike(r"^\p{L}$") & ~F.array_contains(words, F.col("meant")), F.lit(False))
+    example = unseen.where((F.col("kinds") > 1) | stray | ((F.col("kind") == LOST) & plain & (F.col("core") == "�") & (F.size(words) == 0)))
     return pairs.unionByName(example.select("doc_id", "line", "token")).distinct()
 
 
