@@ -54,7 +54,7 @@ def stream_token_bucket(spark, d):
 def stream_windows(spark, d):
     """Events of each type in tumbling hours."""
     rows = _stream(spark, d, "events").select(F.col("ts").cast("timestamp").alias("at"), "event_type")
-    got = _ended(spark, T.windowed_counts(rows, "at", "event_type"), "stream-windows", "update")
+    got = _ended(spark, T.windowed_counts(rows, "at", "event_type", late=None), "stream-windows", "update")
     return got.groupBy(F.unix_timestamp("window_start").alias("hour"), "event_type").agg(F.max("n").alias("n"))
 
 

@@ -34,9 +34,9 @@ def cms_cells(stream: DataFrame, key: str, rows: int, cols: int, seed: int = 1)
     return K._cells(items, rows, cols, seed).groupBy("row", "col").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Events of each key in tumbling windows; rows later than the watermark are dropped."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), F.col(key)).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), key, "n")
+def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 hour", late: str | None = "1 hour") -> DataFrame:
+    """Events of each key in tumbling windows; rows later than the watermark are dropped, none if late is None."""
+    return (stream if late is None else stream.withWatermark(time, late)).groupBy(F.window(time, width).alias("w"), F.col(key)).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), key, "n")
 
 
 def token_bucket(stream: DataFrame, key: str, ts: str, most: int = 1024, interval: int = 60) -> DataFrame:
