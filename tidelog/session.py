@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
 import tempfile
@@ -32,23 +33,44 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    It is the cluster's `spark.checkpoint.dir`. Only where that is unset, as in tests, a folder of
-    this machine is made and noted as the session's checkpoint folder.
+    It is the cluster's `spark.checkpoint.dir`. Only where that is unset and the master is this
+    machine alone, as in tests, a folder of this machine is made and noted as the session's
+    checkpoint folder; on a cluster without the setting that would lose data, so it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.sparkContext.setCheckpointDir(root)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return root
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_root(spark).rstrip('/')}/tidelog/{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, purpose: str) -> str:
-    """A new folder of the shared root; no two calls get the same one."""
-    return f"{shared_root(spark).rstrip('/')}/tidelog/{purpose}-{uuid.uuid4().hex}"
+    """A new folder of the shared root; no two calls get the same one. The application's end removes it."""
+    sc, own = spark.sparkContext, _own_folder(spark)
+    if getattr(sc, "_tidelog_folder", None) != own:
+        sc._tidelog_folder = own
+        atexit.register(_remove, sc._jvm, sc._jsc.hadoopConfiguration(), own)
+    return f"{own}/{purpose}-{uuid.uuid4().hex}"
+
+
+def _remove(jvm, hadoop, path: str) -> None:
+    try:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(hadoop).delete(p, True)
+    except Exception:  # the JVM may be gone; the folder then waits for the cluster's own clearing
+        pass
 
 
 def cut(df: DataFrame, purpose: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -87,7 +109,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def clear_shared(spark: SparkSession) -> None:
-    """Remove every table that was written to the shared folder; results that still read them are lost."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark).rstrip('/')}/tidelog")
+    """Remove every table that this application wrote to the shared folder; results that still read them are lost."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     spark.sparkContext._tidelog_shipped = False
