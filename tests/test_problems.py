@@ -7,10 +7,12 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.operators import incremental as P
 from tidelog.operators import small_files as S
 from tidelog.operators.changefeed import EqualityDeleteTable
-from tidelog.operators.incremental import ChangeCapture, last_success
+from tidelog.operators.incremental import PLAN_SCHEMA, ChangeCapture, last_success
 from tidelog.operators.skew import heavy_join, lookup_join
+from tidelog.sources import files
 
 LISTING = "store_id bigint, toc_filename string, block string, size bigint, listed_at timestamp, extra string"
 RECORDS = "store_id bigint, level int, table_id int, crc bigint, tombstone boolean, key binary, value binary, ts bigint"
@@ -138,8 +140,8 @@ def test_batches_neither_skip_nor_repeat(spark, tmp_path):
     c.capture(log(spark, BASE), spark.createDataFrame(POSITIONS, RUNS))
     more = BASE + [(1, 7, "c", 0, 11, False, "n", b"1"), (1, 4, "c", 9, 10, True, None, None), (3, 1, "a", 0, 1, False, "z", b"1")]
     assert c.capture(log(spark, more)) == 1
-    assert changes(spark.read.parquet(f"{tmp_path}/c/sink/batch=1")) == [(1, 7), (3, 1)]
-    assert c.capture(log(spark, more)) == 2 and spark.read.parquet(f"{tmp_path}/c/sink/batch=2").count() == 0
+    assert changes(c.sink(1)) == [(1, 7), (3, 1)]
+    assert c.capture(log(spark, more)) == 2 and c.sink(2).count() == 0
 
 
 def test_a_failed_batch_is_replayed_as_planned(spark, tmp_path):
@@ -157,6 +159,49 @@ def test_a_failed_batch_is_replayed_as_planned(spark, tmp_path):
         ChangeCapture(spark, str(tmp_path / "none")).sink()
 
 
+def test_two_runners_of_one_plan(spark, tmp_path):
+    a, b = ChangeCapture(spark, str(tmp_path / "c")), ChangeCapture(spark, str(tmp_path / "c"))
+    rows, runs = log(spark, BASE), spark.createDataFrame(POSITIONS, RUNS)
+    assert a.plan(rows, runs) == b.plan(rows, runs) == 0
+    fa, fb = a.run(rows, 0), b.run(rows, 0)
+    assert b.commit(0, fb) and not a.commit(0, fa)
+    assert changes(a.sink()) == [(1, 3), (1, 4), (1, 6), (2, 1)] and a.sink().count() == 4
+    assert all(fb in f for f in a.sink().inputFiles())
+
+
+def test_deliveries_without_a_place(spark, tmp_path):
+    """Where null file, offset or store leave its place open, a delivery is taken once, and again only if its content differs."""
+    c = ChangeCapture(spark, str(tmp_path / "c"))
+    stray = [(1, 50, None, 3, 1, False, "s", None), (1, 51, "b", None, 1, False, None, b"v"), (1, 53, "a", None, 1, False, None, b"v"), (None, 52, "a", 1, 1, True, "s", b"v")]
+    c.capture(log(spark, BASE + stray * 2), spark.createDataFrame(POSITIONS, RUNS))
+    assert sorted(r["seq"] for r in c.sink().where("seq >= 50").collect()) == [50, 51, 52] and c.sink().count() == 7
+    c.capture(log(spark, BASE + stray + [(1, 50, None, 3, 1, False, "s", b"new"), (1, 9, "d", 0, 1, False, "n", b"")]))
+    assert changes(c.sink(1)) == [(1, 9), (1, 50)]
+
+
+def test_an_overlapping_batch_repeats_nothing(spark, tmp_path):
+    c = ChangeCapture(spark, str(tmp_path / "c"))
+    c.capture(log(spark, BASE), spark.createDataFrame(POSITIONS, RUNS))
+    folder = str(tmp_path / "plan")
+    spark.createDataFrame([(1, 1, "b", 5, "c", 1), (1, 2, None, None, "a", 1)], PLAN_SCHEMA).write.parquet(folder)
+    files.publish(spark, f"{tmp_path}/c/plans/1", folder)
+    c.capture(log(spark, BASE + [(1, 7, "c", 0, 11, False, "n", b"1")]))
+    assert changes(c.sink(1)) == [(1, 7)]
+
+
+@pytest.mark.parametrize("bound", [100_000, 2])
+def test_cost_follows_the_batch_and_not_the_log(spark, tmp_path, monkeypatch, bound):
+    """Ten times as much log before the offset, and no more of it passes to the comparison than is delivered again."""
+    monkeypatch.setattr(P, "may_meet", lambda rows, keys, on, real=P.may_meet: met.append(real(rows, keys, on, bound)) or met[-1])
+    met: list = []
+    old = [(1, i, "a", i, 1, False, f"k{i}", b"v") for i in range(3000)]
+    new = [(1, i, "b", i, 1, False, f"k{i}", b"v" if i % 2 else b"w") for i in (*range(0, 40), *range(5000, 5100))]
+    c = ChangeCapture(spark, str(tmp_path / "c"))
+    c.capture(log(spark, old + new), spark.createDataFrame([(1, 1, "success", "b", 0)], RUNS))
+    assert changes(c.sink()) == [(1, i) for i in (*range(0, 40, 2), *range(5000, 5100))]
+    assert 40 <= met[0].count() <= 60
+
+
 def test_null_position_and_empty_tables(spark, tmp_path):
     c = ChangeCapture(spark, str(tmp_path / "c"))
     c.capture(log(spark, BASE[:2]), spark.createDataFrame([(1, 1, "success", None, None)], RUNS))
@@ -194,11 +239,83 @@ def test_state_in_whatever_order_and_batches(spark, tmp_path, seed):
     assert t.read(values=False).count() == len(STATE)
     t.fold(100)
     assert {(r["store_id"], r["key"]): (r["seq"], bytes(r["value"])) for r in t.read().collect()} == STATE
+    t.fold(102)
     t.append(log(spark, [(1, 3, "a", 2, 10, False, "gone", b"late")]), 101)  # still older than its delete
     assert {(r["store_id"], r["key"]): (r["seq"], bytes(r["value"])) for r in t.read().collect()} == STATE
 
 
+def state(t):
+    return {(r["store_id"], r["key"]): (r["seq"], bytes(r["value"])) for r in t.read().collect()}
+
+
+class Died(Exception):
+    pass
+
+
+@pytest.mark.parametrize("after", [0, 1, 2])
+@pytest.mark.parametrize("step", ["append", "fold"])
+def test_state_outlives_a_failure_after_any_write(spark, tmp_path, monkeypatch, step, after):
+    """Stopped before the first, after one or after both tables of a batch are written, nothing of it is seen; then it is run again."""
+    t = EqualityDeleteTable(spark, str(tmp_path / "t"))
+    t.append(log(spark, FEED[:9]), 0)
+    t.append(log(spark, FEED[9:]), 1)
+    before = state(t)
+    newer = log(spark, [(1, 90, "z", 0, 99, False, "k", b"newer"), (1, 91, "z", 1, 99, True, "back", None)])
+    run = (lambda: t.append(newer, 2)) if step == "append" else (lambda: t.fold(2))
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    done = []
+
+    def parquet(self, path, *a, real=DataFrameWriter.parquet, **k):
+        if len(done) == after:
+            raise Died
+        done.append(path)
+        return real(self, path, *a, **k)
+
+    def publish(*_):
+        raise Died
+
+    with monkeypatch.context() as m:
+        m.setattr(DataFrameWriter, "parquet", parquet)
+        m.setattr(files, "publish", publish)
+        with pytest.raises(Died):
+            run()
+    assert len(done) == after and state(t) == before == state(EqualityDeleteTable(spark, str(tmp_path / "t")))
+    run()
+    want = dict(before)
+    if step == "append":
+        want[1, "k"] = (90, b"newer")
+        del want[1, "back"]
+    assert state(t) == want
+
+
+def test_what_is_appended_during_a_fold_stays(spark, tmp_path, monkeypatch):
+    t = EqualityDeleteTable(spark, str(tmp_path / "t"))
+    t.append(log(spark, FEED), 0)
+    late = log(spark, [(1, 90, "z", 0, 99, False, "during", b"1"), (1, 92, "z", 2, 99, True, "k", None)])
+    read = EqualityDeleteTable._state
+
+    def slow(self, folders, values):
+        got = read(self, folders, values)
+        if values and not done:
+            done.append(1)
+            self.append(late, 7)
+        return got
+
+    done = []
+    monkeypatch.setattr(EqualityDeleteTable, "_state", slow)
+    t.fold(8)
+    want = {k: v for k, v in STATE.items() if k != (1, "k")} | {(1, "during"): (90, b"1")}
+    assert done and state(t) == want
+    t.append(log(spark, FEED), 0)  # the stream replays a batch that the fold took in
+    assert state(t) == want
+    t.fold(9)
+    t.fold(10)
+    assert state(t) == want and len(files.names(spark, f"{tmp_path}/t/batches")) == 2
+
+
 def test_state_of_nothing(spark, tmp_path):
+    assert EqualityDeleteTable(spark, str(tmp_path / "never")).read().count() == 0
     t = EqualityDeleteTable(spark, str(tmp_path / "t"))
     t.append(log(spark, []), 0)
     assert t.read().count() == 0
