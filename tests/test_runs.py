@@ -86,6 +86,23 @@ def test_leveled_budgets_and_disjoint_runs(spark):
         assert all(b <= 160 for *_, b in s)
 
 
+@pytest.mark.parametrize("upper", [(1, 2), (2, 2)])
+def test_a_tombstone_stays_while_an_older_put_can_lie_outside_the_merge(spark, upper):
+    """Level 3 goes to the last level; the put of k is older than the tombstone, but in a level above it."""
+    late = (*upper, [("k", "late", 5)])
+    df = runs(spark, (3, 1, [("a", "x", 1), ("k", None, 10), ("z", None, 10)]), (3, 2, [("zz", "y", 1)]), late).withColumn("size", F.lit(100))
+    live = lambda x: {(r["key"], r["ts"]) for r in C.newest(x).where("NOT tombstone").collect()}
+    got = C.compact_leveled(df, "size", first=100, fanout=1, max_level=4, block=150)
+    assert live(got) == live(df) == {("a", 1), ("zz", 1)}
+    assert {r["key"] for r in got.where("tombstone").collect()} == {"k"}  # that of z is gone
+
+
+def test_union_of_ranges():
+    assert C.union_of_ranges([(5, 6), (1, 2), (2, 4), (8, 8), (1, 1)]) == [(1, 4), (5, 6), (8, 8)]
+    runs_ = [{"s": a, "e": z} for a, z in ((1, 2), (4, 6), (7, 9))]
+    assert C._meeting(runs_, [{"s": 2, "e": 3}, {"s": 9, "e": 12}]) == [runs_[0], runs_[2]] and C._meeting(runs_, []) == []
+
+
 def test_overlap_counts_equal_pairs(spark):
     rng = random.Random(5)
     rows = []

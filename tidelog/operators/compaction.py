@@ -6,12 +6,17 @@ of a key is the one with the greatest ts, then of the lowest level, then of the
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.lww import lww
 from tidelog.operators.ordered import running
-from tidelog.operators.skew import lookup_join
+from tidelog.operators.skew import BROADCAST_ROWS, at_most, lookup_join
 from tidelog.session import cut
 
 RUN = ["store_id", "level", "table_id"]
@@ -43,34 +48,44 @@ def level_read(records: DataFrame, by: tuple[str, ...] = ("store_id", "key")) ->
     return lww(with_order(records), by, ("nearness", "ts", "table_id")).drop("nearness")
 
 
+def _tiers(max_tables: int, max_level: int):
+    """Where the runs of one store end up; one row a run."""
+
+    def go(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("level", "ascending"), ("table_id", "ascending")])
+        at = np.array(t.column("level").to_pylist(), dtype=np.int64)
+        place = np.zeros(len(at), dtype=np.int64)
+        for lv in np.unique(at):
+            place[at == lv] = np.arange(1, (at == lv).sum() + 1)
+        for level in range(1, max_level):
+            here = at == level
+            n, m = len(np.unique(place[here])), len(np.unique(place[at == level + 1]))
+            if n == 0 or level == 1 and (n == 1 or n < max_tables):
+                break
+            # merges until fewer than max_tables, or one, are left
+            pairs = min((n - max_tables + 2) // 2, n // 2) if n >= max(2, max_tables) else 0
+            moved = here & (place <= 2 * pairs)
+            place[here & ~moved] -= 2 * pairs
+            place[moved] = m + (place[moved] + 1) // 2
+            at[moved] = level + 1
+        return t.append_column("to_level", pa.array(at, pa.int32())).append_column("to_table", pa.array(place, pa.int32()))
+
+    return go
+
+
 def size_tiered_plan(tables: DataFrame, max_tables: int = 8, max_level: int = 4) -> DataFrame:
     """(store_id, level, table_id, to_level, to_table): where the records of each run end up.
 
     While a level below the last has max_tables runs or more (and two at least), its two oldest are
     merged into a new run of the next level, then the next level is looked at; an empty level ends
-    it. How many pairs that makes follows from the counts, so the cascade is one step a level, for
-    all stores at once, on one row per run. to_table counts from 1 in each level, oldest first.
+    it. How many pairs that makes follows from the counts, so the cascade is one step a level. The
+    plan works on one row per run, a store's in one task: a table of runs, not of records. to_table
+    counts from 1 in each level, oldest first.
     """
     if max_tables < 1 or max_level < 1:
         raise ValueError("max_tables and max_level must be at least 1")
-    place = Window.partitionBy("store_id", "to_level").orderBy("table_id")
-    t = tables.select(*RUN).distinct().withColumn("to_level", F.col("level").cast("int"))
-    t = t.withColumn("to_table", F.row_number().over(place)).withColumn("open", F.lit(True))
-    for level in range(1, max_level):
-        here = F.col("to_level") == level
-        counts = t.where(here | (F.col("to_level") == level + 1)).groupBy("store_id").agg(
-            F.countDistinct(F.when(here, F.col("to_table"))).alias("n"), F.countDistinct(F.when(~here, F.col("to_table"))).alias("m")
-        )
-        full = (F.col("n") >= max_tables) & (F.col("n") >= 2)
-        # merges until fewer than max_tables, or one, are left
-        pairs = F.when(full, F.least(F.ceil((F.col("n") - max_tables + 1) / 2), F.floor(F.col("n") / 2))).otherwise(0)
-        stop = (F.col("n") == 0) if level > 1 else ((F.col("n") == 0) | (F.col("n") < max_tables) | (F.col("n") == 1))
-        counts = counts.select("store_id", F.when(~stop, pairs).otherwise(0).alias("pairs"), "m", stop.alias("stop"))
-        t = t.join(counts, "store_id", "left").fillna({"pairs": 0, "m": 0}).withColumn("stop", F.coalesce("stop", F.lit(True)))
-        moved = F.col("open") & here & (F.col("to_table") <= 2 * F.col("pairs"))
-        new_table = F.when(moved, F.col("m") + F.ceil(F.col("to_table") / 2)).when(F.col("open") & here, F.col("to_table") - 2 * F.col("pairs")).otherwise(F.col("to_table"))
-        t = t.select(*RUN, F.when(moved, level + 1).otherwise(F.col("to_level")).alias("to_level"), new_table.cast("int").alias("to_table"), (F.col("open") & ~F.col("stop")).alias("open"))
-    return t.drop("open")
+    one = tables.select(F.col("store_id").cast("bigint").alias("store_id"), F.col("level").cast("int").alias("level"), F.col("table_id").cast("int").alias("table_id")).distinct()
+    return one.groupBy("store_id").applyInArrow(_tiers(max_tables, max_level), "store_id bigint, level int, table_id int, to_level int, to_table int")
 
 
 def compact_size_tiered(records: DataFrame, max_tables: int = 8, max_level: int = 4) -> DataFrame:
@@ -118,40 +133,96 @@ def overlap_counts(tables: DataFrame, start: str = "start_key", end: str = "end_
     )
 
 
+def _choice(level: int, budget: int):
+    """What one store's level gives to the next: the runs that take part, and the key ranges of all that don't."""
+
+    def go(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda r: (r["level"], r["table_id"]))
+        here = [r for r in rows if r["level"] == level]
+        over = sum(r["bytes"] for r in here) - budget
+        given = []
+        while over > 0 and here and (level == 1 or sum(r["bytes"] for r in given) < over):
+            given.append(here.pop(0))
+        below = [r for r in rows if r["level"] == level + 1]
+        met = _meeting(below, given)
+        taken = given + met
+        inside = {(r["level"], r["table_id"]) for r in taken}
+        cover = union_of_ranges([(r["s"], r["e"]) for r in rows if (r["level"], r["table_id"]) not in inside])
+        n = len(taken) + (1 if taken else 0)
+        kind = t.schema.field("s").type
+        cols = {
+            "store_id": pa.array([t.column("store_id")[0].as_py()] * n, pa.int64()),
+            "level": pa.array([r["level"] for r in taken] + [None] * (n > 0), pa.int32()),
+            "table_id": pa.array([r["table_id"] for r in taken] + [None] * (n > 0), pa.int32()),
+            "cover": pa.array([None] * len(taken) + [[{"s": a, "e": z} for a, z in cover]] * (n > 0), pa.list_(pa.struct([("s", kind), ("e", kind)]))),
+            "top": pa.array([None] * len(taken) + [max((r["table_id"] for r in below), default=0)] * (n > 0), pa.int32()),
+        }
+        return pa.table(cols)
+
+    return go
+
+
+def _meeting(runs: list[dict], others: list[dict]) -> list[dict]:
+    """The runs whose key range meets that of one of the others."""
+    cover = union_of_ranges([(r["s"], r["e"]) for r in others])
+    starts = [a for a, _ in cover]
+    # the last range that starts no later than the run ends is the only one that can reach furthest
+    return [r for r in runs if (i := bisect_right(starts, r["e"])) and cover[i - 1][1] >= r["s"]]
+
+
+def union_of_ranges(ranges: list[tuple]) -> list[tuple]:
+    """Closed ranges as disjoint ones, ascending."""
+    out: list[tuple] = []
+    for a, z in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
+def _stats(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*RUN).agg(F.sum("__size").alias("bytes"), F.min("key").alias("s"), F.max("key").alias("e"))
+
+
 def compact_leveled(records: DataFrame, size: str, first: int = 1_000_000, fanout: int = 10, max_level: int = 4, block: int = 160_000) -> DataFrame:
     """Records after leveled compaction, with new level and table.
 
     Level by level from the first: of a level over its budget, as many of its oldest runs as bring
     it under (all of the first level's, whose runs overlap) are merged with those runs of the next
-    level that they overlap, for all stores in one pass. Tombstones are dropped where the target is the last level
-    and there are more than two. The result is cut into runs of more than `block` bytes at most by one
-    record. One pass a level, each ending in a table.
+    level that they overlap, for all stores in one pass. What is merged is planned on the manifest, one
+    row per run; only the records of runs that take part are read and written, the others stay where
+    they are. The result is cut into runs of more than `block` bytes at most by one record.
+
+    A tombstone is dropped where the target is the last level, there are more than two, and no run of
+    its store outside the merge has its key in its range: a put of an older ts may still lie in a
+    higher level, and would come back.
     """
-    state = with_order(records).withColumn("level", F.col("level").cast("int")).withColumn("table_id", F.col("table_id").cast("int"))
+    state = with_order(records).withColumn("store_id", F.col("store_id").cast("bigint")).withColumn("level", F.col("level").cast("int")).withColumn("table_id", F.col("table_id").cast("int"))
     state = state.withColumn("__size", F.col(size).cast("bigint"))
+    columns, kind = state.columns, dict(state.dtypes)["key"]
+    parts, manifest = [state], cut(_stats(state), "manifest")
+    chosen_schema = f"store_id bigint, level int, table_id int, cover array<struct<s:{kind},e:{kind}>>, top int"
     for level in range(1, max_level):
-        tables = cut(state.where(F.col("level").isin(level, level + 1)).groupBy(*RUN).agg(F.sum("__size").alias("bytes"), F.min("key").alias("s"), F.max("key").alias("e")), "level")
-        here = tables.where(F.col("level") == level)
-        total = here.groupBy("store_id").agg(F.sum("bytes").alias("total"))
-        older = Window.partitionBy("store_id").orderBy("table_id").rowsBetween(Window.unboundedPreceding, -1)
-        budget = first * fanout ** (level - 1)
-        moved = here.withColumn("gone", F.coalesce(F.sum("bytes").over(older), F.lit(0))).join(total, "store_id")
-        over = F.col("total") > budget
-        moved = moved.where(over & (F.lit(level == 1) | (F.col("total") - F.col("gone") > budget))).select(*RUN, "s", "e")
-        # runs of the next level that overlap one of these, by ranks
-        probe = tables.where(F.col("level") == level + 1).withColumn("level", F.lit(0)).unionByName(moved.withColumn("level", F.lit(1)).withColumn("bytes", F.lit(0).cast("bigint")))
-        hit = overlap_counts(probe.select(*RUN, "s", "e", "bytes"), "s", "e").where((F.col("level") == 0) & (F.col("overlaps") > 0))
-        chosen = moved.select(*RUN).unionByName(hit.select("store_id", F.lit(level + 1).alias("level"), "table_id"))
-        chosen = cut(chosen, "chosen")
-        marked = lookup_join(state, chosen.withColumn("__in", F.lit(True)), RUN, "left", spread=F.xxhash64("key", "ts"))
-        taken = marked.where("__in").drop("__in")
-        rest = marked.where("__in IS NULL").drop("__in")
-        merged = lww(taken, ("store_id", "key"), ORDER)
+        plan = cut(manifest.groupBy("store_id").applyInArrow(_choice(level, first * fanout ** (level - 1)), chosen_schema), "chosen")
+        chosen, covers = plan.where("level IS NOT NULL").select(*RUN), plan.where("level IS NULL").select("store_id", "cover", "top")
+        if chosen.isEmpty():
+            continue
+        meet = _meets(chosen)
+        taken = reduce(DataFrame.unionByName, [meet(p, "left_semi") for p in parts])
+        merged = lookup_join(lww(taken, ("store_id", "key"), ORDER), covers, ["store_id"], "inner", spread=F.xxhash64("key"))
         if max_level > 2 and level + 1 == max_level:
-            merged = merged.where(~F.coalesce("tombstone", F.lit(False)))
-        cutting = running(merged, ["store_id", "key"], "__size", ["store_id"])
-        base = rest.where(F.col("level") == level + 1).groupBy("store_id").agg(F.max("table_id").alias("top"))
-        new = lookup_join(cutting, base, ["store_id"], "left", spread=F.col("idx"))
-        new = new.withColumn("level", F.lit(level + 1)).withColumn("nearness", F.lit(-(level + 1))).withColumn("table_id", (F.coalesce("top", F.lit(0)) + 1 + F.expr(f"before div {block}")).cast("int"))
-        state = cut(rest.unionByName(new.select(*rest.columns)), "leveled")
-    return state.select(*records.columns)
+            elsewhere = F.exists("cover", lambda c: (c["s"] <= F.col("key")) & (F.col("key") <= c["e"]))
+            merged = merged.where(~F.coalesce("tombstone", F.lit(False)) | elsewhere)
+        cutting = running(merged.select(*columns, "top"), ["store_id", "key"], "__size", ["store_id"])
+        new = cutting.withColumn("level", F.lit(level + 1)).withColumn("nearness", F.lit(-(level + 1))).withColumn("table_id", (F.col("top") + 1 + F.expr(f"before div {block}")).cast("int"))
+        new = cut(new.select(*columns), "leveled")
+        parts = [meet(p, "left_anti") for p in parts] + [new]
+        manifest = cut(meet(manifest, "left_anti").unionByName(_stats(new)), "manifest")
+    return reduce(DataFrame.unionByName, parts).select(*records.columns)
+
+
+def _meets(chosen: DataFrame):
+    """Joins of records to some runs: these are broadcast where they are few, else the records are dealt evenly."""
+    few = at_most(chosen, BROADCAST_ROWS)
+    return lambda df, how: df.join(F.broadcast(chosen), RUN, how) if few else lookup_join(df, chosen, RUN, how, max_rows=0)

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,25 +62,48 @@ def running(df: DataFrame, order: list[str], value: str | None = None, group: li
     return led.select(*df.columns, (F.col("idx") - F.col("__i0")).alias("idx"), (F.col("before") - F.col("__b0")).alias("before"), "group_rows")
 
 
+def _starts(columns: list[pa.Array], before: list | None) -> tuple[np.ndarray, list]:
+    """Whether each row has another group than the row before it, `before` being that of the last batch; and the last row's group."""
+    n = len(columns[0]) if columns else 0
+    last = [c[n - 1].as_py() for c in columns]
+    new = np.zeros(n, dtype=bool)
+    for c in columns:
+        here, there = c.slice(1), c.slice(0, n - 1)
+        same = pc.equal(here, there).fill_null(False)
+        both_null = pc.and_(pc.is_null(here), pc.is_null(there))
+        new[1:] |= ~pc.or_(same, both_null).to_numpy(zero_copy_only=False)
+    new[0] = before is None or [c[0].as_py() for c in columns] != before
+    return new, last
+
+
 def _carried(group_at: list[int], value_at: int):
     """Per row the last value at or before it in its group, and whether the group began in this partition."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, group, last, began = TaskContext.get().partitionId(), None, None, False
-        first = True
+        part, group, held, began = TaskContext.get().partitionId(), None, None, False
         for b in batches:
-            vals, keys = b.column(value_at).to_pylist(), list(zip(*[b.column(i).to_pylist() for i in group_at])) if group_at else [()] * b.num_rows
-            out, own = [], []
-            for k, v in zip(keys, vals):
-                if k != group:
-                    group, last, began = k, None, not first
-                    first = False
-                if v is not None:
-                    last = v
-                out.append(last)
-                own.append(began)
-            if out:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, b.column(value_at).type), pa.array(own), pa.array([part] * len(out), pa.int32())], [*b.schema.names, "carried", "__own", "__part"])
+            n = b.num_rows
+            if not n:
+                continue
+            value = b.column(value_at)
+            if group_at:
+                new, last = _starts([b.column(i) for i in group_at], group)
+            else:
+                new, last = np.zeros(n, dtype=bool), []
+            at = np.arange(n)
+            # the row of the last start, and of the last value, at or before each row
+            start = np.maximum.accumulate(np.where(new, at, -1))
+            source = np.maximum.accumulate(np.where(value.is_valid().to_numpy(zero_copy_only=False), at, -1))
+            known = (source >= 0) & (source >= start)
+            out = value.take(pa.array(np.where(known, source, 0), mask=~known))
+            if held is not None:
+                # rows before the first start and value of the batch go on from the one before
+                on = (start < 0) & (source < 0)
+                out = pc.if_else(pa.array(on), pa.scalar(held, value.type), out)
+            # the group of a partition's very first row may have begun in the partition before
+            own = np.where(start >= 0, (start > 0) | (group is not None), began)
+            yield pa.RecordBatch.from_arrays([*b.columns, out, pa.array(own), pa.array(np.full(n, part, dtype=np.int32))], [*b.schema.names, "carried", "__own", "__part"])
+            group, held, began = last, out[n - 1].as_py(), bool(own[-1])
 
     return go
 
@@ -88,27 +112,31 @@ def carry(df: DataFrame, order: list[str], value: str, group: list[str]) -> Data
     """df with carried: the last non-null `value` at or before each row within its group, by order.
 
     group is a leading part of the order. Where a group goes on from the partition before, the value
-    comes from the last of the earlier partitions that has one; there is one such row per partition
-    and group that crosses a border.
+    comes from the last of the earlier partitions that has one; there is one such row per partition,
+    for only the first group of a partition can have begun before it. That bound is checked by a count.
     """
+    from tidelog.operators.skew import lookup_join
+
     kind = dict(df.dtypes)[value]
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
     t = cut(rows.mapInArrow(_carried([df.columns.index(g) for g in group], df.columns.index(value)), _schema(df, f"carried {kind}, __own boolean, __part int")), "carried")
-    last = t.where(F.col("carried").isNotNull()).groupBy(*group, "__part").agg(F.max_by("carried", F.struct(*[c for c in order if c not in group])).alias("v"))
-    need = t.where(F.col("carried").isNull()).select(*group, "__part").distinct()
+    need = cut(t.where(F.col("carried").isNull() & ~F.col("__own")).select(*group, "__part").distinct(), "borders")
+    # the last value of a partition's last group; the groups of the borders alone can need it
+    last = lookup_join(t.where(F.col("carried").isNotNull()), need.select(*group).distinct(), group, "left_semi") if group else t.where(F.col("carried").isNotNull())
+    last = last.groupBy(*group, "__part").agg(F.max_by("carried", F.struct(*[c for c in order if c not in group])).alias("v"))
     found = need.alias("n").join(last.alias("l"), [F.col(f"n.{g}") == F.col(f"l.{g}") for g in group] + [F.col("l.__part") < F.col("n.__part")])
     found = found.groupBy(*[F.col(f"n.{g}") for g in group], F.col("n.__part")).agg(F.max_by("l.v", "l.__part").alias("__v"))
-    return t.join(F.broadcast(found), [*group, "__part"], "left").withColumn("carried", F.coalesce("carried", "__v")).select(*df.columns, "carried")
+    return lookup_join(t, found, [*group, "__part"], "left").withColumn("carried", F.coalesce("carried", "__v")).select(*df.columns, "carried")
 
 
 def asof(probes: DataFrame, entries: DataFrame, group: list[str], key: str, backward: bool = True) -> DataFrame:
     """Each probe (group, key) with match: the greatest entry key at or before it, or the least at or after.
 
     A sorted merge of both sides in one pass; repeated probes come out as often as they are there,
-    null keys match nothing. Ties count as matches.
+    repeated entries change nothing, null keys match nothing. Ties count as matches.
     """
     cols = [*group, key]
-    e = entries.select(*cols).where(F.col(key).isNotNull()).distinct().select(*cols, F.col(key).alias("__entry"), F.lit(0 if backward else 1).alias("__side"))
+    e = entries.select(*cols).where(F.col(key).isNotNull()).select(*cols, F.col(key).alias("__entry"), F.lit(0 if backward else 1).alias("__side"))
     p = probes.select(*cols).select(*cols, F.lit(None).cast(dict(e.dtypes)["__entry"]).alias("__entry"), F.lit(1 if backward else 0).alias("__side"))
     both = e.unionByName(p)
     if backward:

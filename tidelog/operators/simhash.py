@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.hashing import fnv_array, seeded_state
+from tidelog.functions.hashing import fnv1a64, fnv_array, seeded_state
 from tidelog.session import cut
 
 # The seed, and what a word is (ASCII letters and digits).
@@ -57,6 +57,15 @@ def weighted(features: DataFrame) -> DataFrame:
     return features.groupBy("id").agg(*sums).select("id", out.cast("bigint").alias("fingerprint"))
 
 
+def of_bytes(df: DataFrame, id_col: str, feature: str) -> DataFrame:
+    """(id, fingerprint) over byte features of weight 1 each, repeated ones counting as often as they come; null features count not.
+
+    Features are counted before they are hashed, so a hot feature is hashed once an id.
+    """
+    counted = df.where(F.col(feature).isNotNull()).groupBy(F.col(id_col).alias("id"), F.col(feature).cast("binary").alias("f")).agg(F.count(F.lit(1)).alias("weight"))
+    return weighted(counted.select("id", fnv1a64(F.col("f"), SEED).alias("hash"), "weight"))
+
+
 def hamming(a, b):
     """Bits in which two fingerprints differ."""
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)) if isinstance(a, str) else a.bitwiseXOR(b))

@@ -73,6 +73,15 @@ def kv_prefix_scan_page(spark, d):
     return S.page(S.prefix_scan(log(spark, d), PREFIX, BY, ORDER).select("key", "store_id", F.hex("value").alias("value_hex")), 2, 30, ("key", "store_id"))
 
 
+AFTER = {"key": "cart:0", "store_id": 0}
+
+
+def kv_range_scan_after(spark, d):
+    """The 25 entries that follow a key of a range, whatever page that is."""
+    got = S.range_scan(log(spark, d), *RANGE, BY, ORDER).select("key", "store_id", F.hex("value").alias("value_hex"))
+    return S.page_after(got, AFTER, 25, ("key", "store_id"))
+
+
 def kv_range_iterate(spark, d):
     """The order in which a cursor over a range gives each store's entries."""
     got = S.range_scan(log(spark, d), *RANGE, BY, ORDER).select("store_id", "key")
@@ -108,7 +117,7 @@ def kv_first(spark, d):
     return S.first(L.user_keys(L.live(log(spark, d), BY, ORDER))).select("key")
 
 
-QUERIES = {f.__name__: f for f in (kv_snapshot, kv_tombstones, kv_get, kv_multi_get, kv_put_overlay, kv_delete_overlay, kv_range_scan, kv_range_scan_page, kv_prefix_scan, kv_prefix_scan_page, kv_range_iterate, kv_prefix_iterate, kv_reserved_filter, kv_seek_ceiling, kv_seek_floor, kv_first)}
+QUERIES = {f.__name__: f for f in (kv_snapshot, kv_tombstones, kv_get, kv_multi_get, kv_put_overlay, kv_delete_overlay, kv_range_scan, kv_range_scan_page, kv_range_scan_after, kv_prefix_scan, kv_prefix_scan_page, kv_range_iterate, kv_prefix_iterate, kv_reserved_filter, kv_seek_ceiling, kv_seek_floor, kv_first)}
 
 _COLS = "store_id, key, value, tombstone, ts, seq, file_name, file_offset"
 RESERVED_SQL = "(key = '__TB_RATE_LIMIT__' OR starts_with(key, '__BF_') OR starts_with(key, '__CMS_') OR starts_with(key, '__HLL_') OR starts_with(key, '__SH_'))"
@@ -140,6 +149,7 @@ ORACLE = {
     "kv_delete_overlay": f"{_OUT} ({live_sql(_DEL)})",
     "kv_range_scan": f"{_OUT} ({live_sql(where=_BETWEEN)})",
     "kv_range_scan_page": f"SELECT key, store_id, hex(value) AS value_hex FROM ({live_sql(where=_BETWEEN)}) ORDER BY key, store_id LIMIT 25 OFFSET 50",
+    "kv_range_scan_after": f"SELECT key, store_id, hex(value) AS value_hex FROM ({live_sql(where=_BETWEEN)}) WHERE key > '{AFTER['key']}' OR (key = '{AFTER['key']}' AND store_id > {AFTER['store_id']}) ORDER BY key, store_id LIMIT 25",
     "kv_prefix_scan": f"{_OUT} ({live_sql(where=_LIKE)})",
     "kv_prefix_scan_page": f"SELECT key, store_id, hex(value) AS value_hex FROM ({live_sql(where=_LIKE)}) ORDER BY key, store_id LIMIT 30 OFFSET 30",
     "kv_range_iterate": f"SELECT store_id, key, {_IDX} FROM ({live_sql(where=_BETWEEN)})",

@@ -138,6 +138,12 @@ def simhash_near_dups(spark, d):
     return S.near_pairs(_classes(spark, d), 3).select("a", "b", F.col("distance").cast("bigint").alias("distance"))
 
 
+def simhash_features(spark, d):
+    """Fingerprint of each order over its parts, each line item being a feature of weight 1."""
+    got = S.of_bytes(table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").cast("string").alias("part")), "l_orderkey", "part")
+    return got.select(F.col("id").alias("l_orderkey"), "fingerprint")
+
+
 def _clicks(spark, d):
     return table(spark, d, "events").select("event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts"))
 
@@ -162,7 +168,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bloom_params, bloom_build, bloom_probe, bloom_probe_joined, cms_params, cms_build, cms_estimate, cms_estimate_mod256, hll_registers, hll_estimate, hll_estimate_by_group, hll_union,
-        native_hll, native_cms, native_bloom, simhash_fingerprint, simhash_hamming, simhash_classes, simhash_near_dups, token_bucket_admit, token_bucket_each, lru_hits,
+        native_hll, native_cms, native_bloom, simhash_fingerprint, simhash_hamming, simhash_classes, simhash_near_dups, simhash_features, token_bucket_admit, token_bucket_each, lru_hits,
     )
 }
 
@@ -241,6 +247,10 @@ ORACLE = {
   WHERE fingerprint IS NOT NULL WINDOW w AS (PARTITION BY url ORDER BY fetched_at, doc_id)) WHERE other IS NOT NULL""",
     "simhash_classes": f"SELECT doc_id, class_id FROM {_PRINTS} JOIN {_CLASS} USING (fingerprint)",
     "simhash_near_dups": f"SELECT a.class_id AS a, b.class_id AS b, CAST(bit_count(xor(a.fingerprint, b.fingerprint)) AS BIGINT) AS distance FROM {_CLASS} a JOIN {_CLASS} b ON a.class_id < b.class_id WHERE bit_count(xor(a.fingerprint, b.fingerprint)) <= 3",
+    "simhash_features": f"""WITH hashed AS (SELECT k, CAST({fnv_sql('k', S.SEED)} AS UBIGINT) AS h FROM ({_COUNTED})),
+votes AS (SELECT l_orderkey, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM lineitem JOIN hashed ON k = l_partkey::VARCHAR, (SELECT unnest(range(0, 64))::UBIGINT AS i) GROUP BY ALL),
+sums AS (SELECT l_orderkey, sum(CASE WHEN v > 0 THEN 1::HUGEINT << i::INTEGER ELSE 0::HUGEINT END)::HUGEINT AS f FROM votes GROUP BY 1)
+SELECT l_orderkey, {_SIGNED} AS fingerprint FROM sums""",
     "token_bucket_admit": _BUCKETS + "SELECT * FROM got",
     "token_bucket_each": _BUCKETS + f"SELECT event_id, limiter, place <= allowed AS allowed FROM (SELECT *, row_number() OVER (PARTITION BY limiter, ts ORDER BY event_id) AS place FROM {_CLICKS}) JOIN (SELECT limiter, ts, allowed FROM got) USING (limiter, ts)",
     "lru_hits": f"""WITH s AS (SELECT user_id, row_number() OVER (ORDER BY floor(epoch(ts)), event_id) - 1 AS idx FROM events), p AS (SELECT *, lag(idx) OVER (PARTITION BY user_id ORDER BY idx) AS last FROM s)

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidelog.functions.encoding import record_crc, record_size, wal_record_size
+from tidelog.functions.encoding import decode, record_bytes, record_crc, record_size, wal_record_bytes, wal_record_size
 from tidelog.operators import compaction as C
 from tidelog.operators import dictionary as D
 from tidelog.operators import merkle as M
+from tidelog.operators import scans as S
 from tidelog.operators import sparse_index as X
 from tidelog.operators.incremental import at_or_after, last_success
 from tidelog.operators.lww import lww
 from tidelog.operators.ordered import running
 from tidelog.operators.skew import lookup_join
-from tidelog.plans.kv import BY, ORDER, log, newest_sql
+from tidelog.plans.kv import BY, ORDER, RESERVED_SQL, log, newest_sql
 from tidelog.sources.tables import table
 
 RUN = ["store_id", "level", "table_id"]
@@ -248,6 +249,83 @@ def sst_range_scan(spark, d):
     return C.newest(hit).select("store_id", F.hex("key").alias("key_hex"), "ts", "tombstone")
 
 
+LOW, HIGH, SOME = b"cart:", b"metric:", 20
+
+
+def _shown(df):
+    return df.select("store_id", F.hex("key").alias("key_hex"), "ts", "tombstone")
+
+
+def sst_prefix_scan(spark, d):
+    """Newest user records with a prefix over all runs, tombstones kept; the first 20 keys of each store."""
+    return _shown(S.prefix_records(C.with_order(runs(spark, d)), b"user:", SOME, ("store_id", "key"), C.ORDER))
+
+
+def sst_range_scan_max(spark, d):
+    """The first 20 keys of each store in a range over all runs, tombstones kept."""
+    return _shown(S.range_records(C.with_order(runs(spark, d)), LOW, HIGH, SOME, ("store_id", "key"), C.ORDER))
+
+
+def run_range_scan(spark, d):
+    """Each run's first 20 records of a key range."""
+    one = lww(runs(spark, d), (*RUN, "key"), ("ts",))
+    return S.run_range_scan(one, LOW, HIGH, SOME).select(*RUN, F.hex("key").alias("key_hex"), "ts", "tombstone")
+
+
+def run_prefix_scan(spark, d):
+    """Each run's records with a prefix, all of them."""
+    one = lww(runs(spark, d), (*RUN, "key"), ("ts",))
+    return S.run_prefix_scan(one, b"user:").select(*RUN, F.hex("key").alias("key_hex"), "ts", "tombstone")
+
+
+def _unflushed(spark, d):
+    placed = lookup_join(log(spark, d), last_success(table(spark, d, "wal_runs")), ["store_id"], "left", spread=F.col("file_offset"))
+    return placed.where(at_or_after(F.col("file_name"), F.col("file_offset"), F.col("from_file"), F.col("from_offset"))).drop("from_file", "from_offset")
+
+
+def mem_range_scan(spark, d):
+    """Newest records of a key range in what is not flushed yet, tombstones kept."""
+    return S.range_records(_unflushed(spark, d).drop("value"), LOW.decode(), HIGH.decode(), None, BY, ORDER).select("store_id", "key", "ts", "seq", "tombstone")
+
+
+def mem_prefix_scan(spark, d):
+    """Newest records with a prefix in what is not flushed yet, tombstones kept."""
+    return S.prefix_records(_unflushed(spark, d).drop("value"), "user:", None, BY, ORDER).select("store_id", "key", "ts", "seq", "tombstone")
+
+
+def sst_encode(spark, d):
+    """The bytes of each record of the runs."""
+    r = runs(spark, d)
+    return r.select(*RUN, F.hex(record_bytes(F.col("key"), F.col("value"), F.col("tombstone"), F.col("ts"))).alias("bytes_hex"))
+
+
+def sst_decode(spark, d):
+    """The records of data blocks of 64 each, read back from their bytes, where their checksums hold."""
+    one = runs(spark, d).select(*RUN, record_bytes(F.col("key"), F.col("value"), F.col("tombstone"), F.col("ts")).alias("b"), (F.xxhash64("key") % 64).alias("part"))
+    blocks = one.groupBy(*RUN, "part").agg(F.unhex(F.concat_ws("", F.collect_list(F.hex("b")))).alias("block"))
+    got = decode(blocks, "block").where("sound AND NOT torn")
+    return got.select(*RUN, F.hex("key").alias("key_hex"), F.hex(F.when(~F.col("tombstone"), F.col("value"))).alias("value_hex"), "tombstone", "ts")
+
+
+def wal_encode(spark, d):
+    """The bytes of each delivery as a log record."""
+    b = wal_record_bytes(F.col("key"), F.col("value"), F.col("tombstone"), F.col("ts"))
+    return log(spark, d).select("store_id", "seq", "file_name", "file_offset", F.hex(b).alias("bytes_hex"))
+
+
+def wal_decode(spark, d):
+    """Deliveries written as log records and read back."""
+    b = wal_record_bytes(F.col("key"), F.col("value"), F.col("tombstone"), F.col("ts")).alias("block")
+    got = decode(log(spark, d).select("store_id", "seq", "file_name", "file_offset", b), "block", log=True).where("sound AND NOT torn")
+    return got.select("store_id", "seq", "file_name", "file_offset", F.hex("key").alias("key_hex"), F.hex("value").alias("value_hex"), "tombstone", "ts")
+
+
+def compact_size_tiered_layout(spark, d):
+    """Records, newest time and keys' range of each run after size-tiered compaction."""
+    got = C.compact_size_tiered(runs(spark, d))
+    return got.groupBy("store_id", "level", "table_id").agg(F.count(F.lit(1)).alias("records"), F.max("ts").alias("newest"), F.hex(F.min("key")).alias("start_hex"), F.hex(F.max("key")).alias("end_hex"))
+
+
 def wal_differences(spark, d):
     """Deliveries of a change that differ in content from its first one, time aside."""
     from pyspark.sql import Window
@@ -271,6 +349,7 @@ QUERIES = {
     for f in (
         lsm_merge_runs, lsm_level_read, memtable_flush_runs, sst_record_size, sst_ranges, sst_sparse_index, sst_summary, sst_floor_lookup, sst_point_read, record_checksums, wal_checksums,
         wal_segments, wal_layout, wal_replay, wal_unflushed, compact_size_tiered, compact_size_tiered_tables, compact_leveled, compact_leveled_layout, leveled_overlap, level_budget,
+        sst_prefix_scan, sst_range_scan_max, run_range_scan, run_prefix_scan, mem_range_scan, mem_prefix_scan, sst_encode, sst_decode, wal_encode, wal_decode, compact_size_tiered_layout,
         memtable_sizes, memtable_remove, sst_first_records, sst_range_scan, wal_differences, merkle_contains, space_by_level, dict_build, dict_encode, dict_decode, dict_space, merkle_root, merkle_diff, merkle_serialize,
     )
 }
@@ -322,6 +401,32 @@ def _tiers() -> str:
     return s + " UNION ALL ".join(f"SELECT store_id, CAST({i} AS BIGINT) AS level, CAST(n{i} AS BIGINT) AS tables FROM s3 WHERE n{i} > 0" for i in range(1, 5))
 
 
+def _tier_layout() -> str:
+    """Every run of the tables moved level by level; place counts a level's runs, oldest first."""
+    s = "WITH p0 AS (SELECT *, level AS lv, row_number() OVER (PARTITION BY store_id, level ORDER BY table_id) AS place FROM (SELECT DISTINCT store_id, level, table_id FROM sst_records)), g0 AS (SELECT DISTINCT store_id, true AS go FROM p0)"
+    for i in range(1, 4):
+        stop = "n < 8" if i == 1 else "n = 0"
+        s += f""", c{i} AS (SELECT g.store_id, g.go AND NOT ({stop}) AS go, CASE WHEN g.go AND n >= 8 THEN {_PAIRS} ELSE 0 END AS pairs, m FROM g{i - 1} g JOIN (
+  SELECT store_id, count(DISTINCT place) FILTER (lv = {i}) AS n, count(DISTINCT place) FILTER (lv = {i + 1}) AS m FROM p{i - 1} GROUP BY 1) USING (store_id)), g{i} AS (SELECT store_id, go FROM c{i}),
+p{i} AS (SELECT store_id, level, table_id, CASE WHEN lv = {i} AND place <= 2 * pairs THEN {i + 1} ELSE lv END AS lv,
+  CASE WHEN lv <> {i} THEN place WHEN place <= 2 * pairs THEN m + (place + 1) // 2 ELSE place - 2 * pairs END AS place FROM p{i - 1} JOIN c{i} USING (store_id))"""
+    return s + f""" SELECT store_id, CAST(lv AS INTEGER) AS level, CAST(place AS INTEGER) AS table_id, count(DISTINCT key) AS records, max(ts) AS newest, hex(min(key)) AS start_hex, hex(max(key)) AS end_hex
+FROM p3 JOIN {_RUNS} USING (store_id, level, table_id) GROUP BY ALL"""
+
+
+def _le_hex(x: str, n: int) -> str:
+    return "(" + " || ".join(f"substr(printf('%016x', {x}), {i}, 2)" for i in range(15, 15 - 2 * n, -2)) + ")"
+
+
+def _uv_hex(x: str) -> str:
+    return "(" + " || ".join(f"CASE WHEN {x} >= {1 << 7 * n if n else 0} THEN printf('%02x', (({x} >> {7 * n}) & 127) + CASE WHEN {x} >= {1 << 7 * (n + 1)} THEN 128 ELSE 0 END) ELSE '' END" for n in range(5)) + ")"
+
+
+def _record_hex() -> str:
+    v = "coalesce(octet_length(value), 0)"
+    return f"upper({_le_hex('c', 4)} || {_uv_hex('ts')} || CASE WHEN tombstone THEN '01' ELSE '00' END || {_uv_hex('octet_length(key)')} || CASE WHEN tombstone THEN '' ELSE {_uv_hex(v)} END || hex(key) || CASE WHEN tombstone THEN '' ELSE coalesce(hex(value), '') END)"
+
+
 def _merkle_sql(rows: str, order: str, tail: str) -> str:
     """All nodes of a tree over chunks, level by level."""
     return f"""WITH RECURSIVE leaf AS (SELECT row_number() OVER (ORDER BY {order}) - 1 AS idx, unhex(sha1(unhex(sha1(chunk)))) AS h FROM ({rows})),
@@ -374,7 +479,23 @@ SELECT store_id, CAST(sum({_size_sql()}) AS BIGINT) AS plain, CAST(sum({_size_sq
     "merkle_diff": "SELECT a.level, a.idx, a.h AS a_hash, b.h AS b_hash FROM (" + _merkle_sql(_NATION, "n_nationkey", _NODES) + ") a JOIN (" + _merkle_sql(_CHANGED, "n_nationkey", _NODES) + ") b ON a.level = b.level AND a.idx = b.idx WHERE a.h <> b.h",
     "merkle_serialize": _merkle_sql(_NATION, "n_nationkey", "SELECT row_number() OVER (ORDER BY level DESC, idx) - 1 AS place, lower(hex(h)) AS hash FROM nodes"),
 }
+_USER = "decode(key) <> '__TB_RATE_LIMIT__' AND NOT regexp_matches(decode(key), '^__(BF|CMS|HLL|SH)_')"
+_SCANNED = f"SELECT store_id, hex(key) AS key_hex, ts, tombstone FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY key) AS place FROM ({_NEW_RUN}) WHERE {{where}} AND {_USER}) WHERE place <= {SOME}"
+_IN_RUN = f"(SELECT *, row_number() OVER (PARTITION BY store_id, level, table_id ORDER BY key) AS place FROM (SELECT *, row_number() OVER (PARTITION BY store_id, level, table_id, key ORDER BY ts DESC, value DESC NULLS LAST, tombstone DESC) AS rn FROM {_RUNS}) WHERE rn = 1 AND {_USER} AND {{where}})"
+_UNFLUSHED = f"(SELECT wal_records.* FROM wal_records LEFT JOIN {_POS} USING (store_id) WHERE coalesce(file_name > pf OR (file_name = pf AND file_offset >= po), true))"
+_BOUNDS, _PREFIX = f"key BETWEEN '{LOW.decode()}'::BLOB AND '{HIGH.decode()}'::BLOB", "substr(hex(key), 1, 10) = hex('user:'::BLOB)"
 ORACLE |= {
+    "sst_prefix_scan": _SCANNED.format(where=_PREFIX),
+    "sst_range_scan_max": _SCANNED.format(where=_BOUNDS),
+    "run_range_scan": f"SELECT store_id, level, table_id, hex(key) AS key_hex, ts, tombstone FROM {_IN_RUN.format(where=_BOUNDS)} WHERE place <= {SOME}",
+    "run_prefix_scan": f"SELECT store_id, level, table_id, hex(key) AS key_hex, ts, tombstone FROM {_IN_RUN.format(where=_PREFIX)}",
+    "mem_range_scan": f"SELECT store_id, key, ts, seq, tombstone FROM ({newest_sql(_UNFLUSHED)}) WHERE key BETWEEN '{LOW.decode()}' AND '{HIGH.decode()}' AND NOT {RESERVED_SQL}",
+    "mem_prefix_scan": f"SELECT store_id, key, ts, seq, tombstone FROM ({newest_sql(_UNFLUSHED)}) WHERE starts_with(key, 'user:') AND NOT {RESERVED_SQL}",
+    "sst_encode": f"SELECT store_id, level, table_id, {_record_hex()} AS bytes_hex FROM (SELECT *, {_crc_sql('bytes')} AS c FROM (SELECT *, {_RECORD} AS bytes FROM {_RUNS}))",
+    "sst_decode": f"SELECT store_id, level, table_id, hex(key) AS key_hex, CASE WHEN tombstone THEN NULL ELSE coalesce(hex(value), '') END AS value_hex, tombstone, ts FROM {_RUNS}",
+    "wal_encode": f"SELECT store_id, seq, file_name, file_offset, upper({_le_hex('c', 4)} || {_le_hex('ts', 8)} || CASE WHEN tombstone THEN '01' ELSE '00' END || {_le_hex('coalesce(strlen(key), 0)', 8)} || {_le_hex('coalesce(octet_length(value), 0)', 8)} || coalesce(hex(encode(key)), '') || coalesce(hex(value), '')) AS bytes_hex FROM (SELECT *, {_crc_sql('bytes')} AS c FROM (SELECT *, coalesce(value, ''::BLOB) AS bytes FROM wal_records))",
+    "wal_decode": "SELECT store_id, seq, file_name, file_offset, coalesce(hex(encode(key)), '') AS key_hex, coalesce(hex(value), '') AS value_hex, tombstone, ts FROM wal_records",
+    "compact_size_tiered_layout": _tier_layout(),
     "memtable_sizes": f"SELECT store_id, run_id, count(DISTINCT key) AS keys FROM (SELECT *, (row_number() OVER (PARTITION BY store_id ORDER BY file_name, file_offset) - 1) // {MEMTABLE} AS run_id FROM wal_records WHERE key IS NOT NULL) GROUP BY ALL",
     "memtable_remove": f"SELECT store_id, key, seq, tombstone FROM ({newest_sql()}) n ANTI JOIN (SELECT DISTINCT store_id, key FROM incoming_records WHERE key IS NOT NULL) i ON i.store_id = n.store_id AND i.key = n.key",
     "sst_first_records": f"SELECT store_id, level, table_id, hex(min(key)) AS key_hex FROM {_RUNS} GROUP BY ALL",
