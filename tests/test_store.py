@@ -3,9 +3,14 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog import cli, config
 from tidelog.config import Config
+from tidelog.operators import merkle
+from tidelog.schema import CHANGELOG
+from tidelog.sources import files
+from tidelog.sources.runs import Runs
 from tidelog.store import RateLimitReached, Store
 
 
@@ -62,6 +67,77 @@ def test_leveled(spark, tmp_path):
         assert all(a.end_key < b.start_key for a, b in zip(at, at[1:])) and [r.table_id for r in at] == sorted({r.table_id for r in at})
 
 
+def test_leveled_keeps_a_tombstone_over_an_older_put(spark, tmp_path):
+    """The tombstone reaches the last level while an older put of its key is in a run outside the merge."""
+    runs = Runs(spark, str(tmp_path / "r"))
+    mk = lambda *rows: spark.createDataFrame([(k, None if v is None else bytearray(v), v is None, ts, i) for i, (k, v, ts) in enumerate(rows)], CHANGELOG)
+    low = runs._write(mk(("a", b"x" * 40, 1), ("k", None, 10), ("z", None, 10)), 2, 1)
+    late = runs._write(mk(("k", b"late", 5)), 1, 1)
+    runs.list()
+    runs._commit([low, late])
+    runs.compact_leveled(first=40, fanout=1, max_level=3, block=1000)
+    assert sorted((r.level, r.start_key) for r in runs.list()) == [(1, "k"), (3, "a")]
+    assert sorted((r["key"], r["tombstone"]) for r in runs.read().collect()) == [("a", False), ("k", False), ("k", True)]
+
+
+def test_manifest_outlives_a_failure_and_a_second_writer(spark, tmp_path, monkeypatch):
+    a, b = Runs(spark, str(tmp_path / "r")), Runs(spark, str(tmp_path / "r"))
+    df = spark.createDataFrame([("k", bytearray(b"v"), False, 1, 0)], CHANGELOG)
+    a.add(df)
+    b.list()
+    a.add(df)
+    with pytest.raises(RuntimeError):
+        b._commit([])
+    with monkeypatch.context() as m:
+        m.setattr(files, "publish", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            a.add(df)
+    assert len(b.list()) == 2 and b.read().count() == 2
+    for _ in range(3):
+        b.add(df)
+    assert len(b.list()) == 5 and len(b._numbers()) == 2
+
+
+def test_runs_are_checked_scanned_and_rebuilt(spark, tmp_path):
+    runs = Runs(spark, str(tmp_path / "r"), merkle_chunk=64)
+    df = spark.createDataFrame([(f"k{i:02d}", None if i % 5 == 0 else bytearray(b"v" * i), i % 5 == 0, i, i) for i in range(23)], CHANGELOG)
+    run = runs.add(df)
+    assert runs.sound(run) and runs.rebuild(run) == run and runs.list() == [run]
+    blocks = runs.blocks(run)
+    assert [r["key"] for r in blocks["index"].orderBy("key").collect()] == ["k00", "k05", "k10", "k15", "k20", "k22"]
+    assert [r["key"] for r in blocks["summary"].orderBy("key").collect()] == ["k00", "k22"] and blocks["filter"].count() > 23 and merkle.root(blocks["metadata"]).first()["root"] == run.merkle_root
+    assert [r["key"] for r in runs.range_scan(run, "k03", "k99", 3).orderBy("key").collect()] == ["k03", "k04", "k05"]
+    assert runs.prefix_scan(run, "k1").count() == 10 and runs.prefix_scan(run, "k1", 0).count() == 0
+    c = runs.cursor(run, "k04", "k06")
+    assert [c.next() for _ in range(4)] == [("k04", b"vvvv"), ("k05", None), ("k06", b"v" * 6), ("", None)]
+    other = runs.read().withColumn("value", F.when(F.col("key") == "k03", F.lit(b"bad")).otherwise(F.col("value"))).withColumn("crc", F.when(F.col("key") == "k03", F.lit(1)).otherwise(F.lit(None).cast("bigint")))
+    other.write.parquet(str(tmp_path / "bad"))
+    run.path = str(tmp_path / "bad")
+    assert runs.damaged(run) == 1 and not runs.sound(run)
+
+
+def test_dictionary_of_the_store(spark, tmp_path):
+    db = Store(spark, str(tmp_path / "db"))
+    for k in ("long key number one", "long key number two"):
+        db.put(k, b"v")
+    db.flush()
+    for k in ("a third long key", "long key number one"):
+        db.put(k, b"w")
+    db.flush()
+    assert {r["key"]: r["idx"] for r in db.dictionary().collect()} == {"long key number one": 0, "long key number two": 1, "a third long key": 2}
+    plain, packed = db.space()
+    assert packed < plain and plain == sum(db.runs.space().values())
+    db.put("lost", b"1")
+    db.clear_memtables()
+    assert db.get("lost") is None and db.get("a third long key") == b"w"
+    c = Config()
+    c.SSTable.compression = False
+    off = Store(spark, str(tmp_path / "off"), c)
+    off.put("k", b"v")
+    off.flush()
+    assert off.dictionary().count() == 0
+
+
 def test_scans(db):
     for k in "abcde":
         db.put(k, k.encode())
@@ -112,8 +188,9 @@ def test_sketches(spark, db):
 def test_console(db, tmp_path):
     said = []
     (tmp_path / "v").write_bytes(b"from file")
-    lines = ["PUT k 'it is'", 'put q "two words"', "get k", "get q", f"put f -s {tmp_path}/v", f"get f -d {tmp_path}/o", f"get f /A /d {tmp_path}/o", f"get f -d {tmp_path}/o -a", "RangeScan a z", "prefixscan q 1 5", "newbf b 10 0.1", "bfadd b x", "bfhaskey b x", "nonsense", "get", "delete k", "get k", "help", "quit", "never read"]
+    lines = ["PUT k 'it is'", 'put q "two words"', "get k", "get q", f"put f -s {tmp_path}/v", f"get f -d {tmp_path}/o", f"get f /A /d {tmp_path}/o", f"get f -d {tmp_path}/o -a", "RangeScan a z", "prefixscan q 1 5", "newbf b 10 0.1", "bfadd b x", "bfhaskey b x", f"bfadd b -s {tmp_path}/v", 'bfhaskey b "from file"', "bfhaskey b -s", "newcms c 0.1 0.1", f"cmsadd c /S {tmp_path}/v", 'cmsget c "from file"', "newhll h 4", f"hlladd h -s {tmp_path}/v x", "nonsense", "get", "delete k", "get k", "help", "quit", "never read"]
     cli.main(db, lines, said.append)
+    assert said.count("true") == 2 and said.count("false") == 1 and "1" in said
     assert "'it is'" in said and "two words" in said and "true" in said and "Error: invalid command" in said and "Error: invalid arguments" in said
     assert (tmp_path / "o").read_bytes() == b"from file" * 3
     assert any("Record 0 - K: f  V: from file" in s for s in said)

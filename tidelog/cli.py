@@ -7,13 +7,14 @@ import sys
 
 from tidelog.store import Store
 
+# Page size, characters shown of a value, and what a part of a line is; the lines of _shown are fixed too.
 PAGE, SHOWN = 30, 300
 _PART = re.compile(r"""[^\s"']+|"[^"]*"|'[^']*'""")
 HELP = """PUT key <value | -s file> | GET key [-d file [-a]] | DELETE key
 RangeScan start end [page] [size] | PrefixScan prefix [page] [size]
-NewBF key n p | DeleteBF key | BFAdd key value | BFHasKey key value
-NewCMS key epsilon delta | DeleteCMS key | CMSAdd key value | CMSGet key value
-NewHLL key p | DeleteHLL key | HLLAdd key value | HLLEstimate key
+NewBF key n p | DeleteBF key | BFAdd key <value | -s file> | BFHasKey key <value | -s file>
+NewCMS key epsilon delta | DeleteCMS key | CMSAdd key <value | -s file> | CMSGet key <value | -s file>
+NewHLL key p | DeleteHLL key | HLLAdd key <value | -s file> | HLLEstimate key
 SHAddFingerprint key text | SHDeleteFingerprint key | SHGetHammingDistance key key
 HELP | EXIT"""
 
@@ -36,15 +37,14 @@ def _shown(page: int, size: int, records: list[tuple[str, bytes]]) -> str:
     return "\n".join(lines)
 
 
-def _put(db: Store, a: list[str]) -> str:
+def _value(a: list[str]) -> bytes:
+    """The value behind a key: given, or with -s that of a file."""
     if len(a) == 2:
-        db.put(a[0], a[1].encode())
-    elif len(a) > 2 and _flag(a[1], "s"):
+        return a[1].encode()
+    if len(a) > 2 and _flag(a[1], "s"):
         with open(a[2], "rb") as f:
-            db.put(a[0], f.read())
-    else:
-        raise ValueError("invalid arguments")
-    return ""
+            return f.read()
+    raise ValueError("invalid arguments")
 
 
 def _get(db: Store, a: list[str]) -> str:
@@ -90,22 +90,22 @@ def _say(x) -> str:
 
 #: Name, least arguments, what it does.
 COMMANDS = {
-    "put": (2, _put),
+    "put": (2, lambda db, a: _say(db.put(a[0], _value(a)))),
     "get": (1, _get),
     "delete": (1, lambda db, a: _say(db.delete(a[0]))),
     "rangescan": (2, _range),
     "prefixscan": (1, _prefix),
     "newbf": (3, lambda db, a: _say(db.new_bf(a[0], int(a[1]), float(a[2])))),
     "deletebf": (1, lambda db, a: _say(db.delete_bf(a[0]))),
-    "bfadd": (2, lambda db, a: _say(db.bf_add(a[0], a[1]))),
-    "bfhaskey": (2, lambda db, a: _say(db.bf_has_key(a[0], a[1]))),
+    "bfadd": (2, lambda db, a: _say(db.bf_add(a[0], _value(a)))),
+    "bfhaskey": (2, lambda db, a: _say(db.bf_has_key(a[0], _value(a)))),
     "newcms": (3, lambda db, a: _say(db.new_cms(a[0], float(a[1]), float(a[2])))),
     "deletecms": (1, lambda db, a: _say(db.delete_cms(a[0]))),
-    "cmsadd": (2, lambda db, a: _say(db.cms_add(a[0], a[1]))),
-    "cmsget": (2, lambda db, a: _say(db.cms_get(a[0], a[1]))),
+    "cmsadd": (2, lambda db, a: _say(db.cms_add(a[0], _value(a)))),
+    "cmsget": (2, lambda db, a: _say(db.cms_get(a[0], _value(a)))),
     "newhll": (2, lambda db, a: _say(db.new_hll(a[0], int(a[1])))),
     "deletehll": (1, lambda db, a: _say(db.delete_hll(a[0]))),
-    "hlladd": (2, lambda db, a: _say(db.hll_add(a[0], a[1]))),
+    "hlladd": (2, lambda db, a: _say(db.hll_add(a[0], _value(a)))),
     "hllestimate": (1, lambda db, a: _say(db.hll_estimate(a[0]))),
     "shaddfingerprint": (2, lambda db, a: _say(db.sh_add_fingerprint(a[0], a[1]))),
     "shdeletefingerprint": (1, lambda db, a: _say(db.sh_delete_fingerprint(a[0]))),

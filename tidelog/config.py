@@ -6,6 +6,7 @@ import json
 import warnings
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
 
+# The names of the settings and their defaults.
 
 @dataclass
 class Wal:

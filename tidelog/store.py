@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.config import Config, validate
+from tidelog.functions.encoding import record_size
 from tidelog.functions.hashing import fnv_array, seeded_state
 from tidelog.operators import bloom, cms, hll, scans, simhash
 from tidelog.operators.lww import live, multi_get
@@ -32,12 +33,18 @@ class RateLimitReached(RuntimeError):
 
 
 class Store:
-    """rate_limited=True guards each public call by the token bucket of the settings; otherwise it is left out."""
+    """rate_limited=True guards each public call by the token bucket of the settings; otherwise it is left out.
 
-    def __init__(self, spark: SparkSession, root: str, config: Config | None = None, rate_limited: bool = False, clock=time.time, seed: int = 1):
+    With SSTable.compression each flush adds its new keys to the store's dictionary; verified=True notes a
+    Merkle root for each run. Memtable.structure and SSTable.singleFile name layouts of which the engine
+    has one: a memtable is the unflushed part of the log, a run a folder of Parquet files.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, config: Config | None = None, rate_limited: bool = False, clock=time.time, seed: int = 1, verified: bool = False):
         self.spark, self.root, self.config, self.clock, self.seed = spark, root.rstrip("/"), config or Config(), clock, seed
         validate(self.config)
-        self.runs = Runs(spark, f"{self.root}/runs", self.config.SSTable.filterPrecision)
+        c = self.config.SSTable
+        self.runs = Runs(spark, f"{self.root}/runs", c.filterPrecision, c.indexDegree, c.summaryDegree, c.merkleTreeChunkSize if verified else None)
         self.cache = Cache(self.config.Cache.maxSize)
         self.rate_limited = rate_limited
         self._buffer: list[tuple] = []
@@ -50,18 +57,19 @@ class Store:
     # --- the log ---
 
     def _listed(self) -> list[str]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/log")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(s.getPath().toString() for s in fs.listStatus(path) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))) if fs.exists(path) else []
+        return [f"{self.root}/log/{n}" for n in files.names(self.spark, f"{self.root}/batches") if not n.startswith("_")]
 
     def _log(self) -> DataFrame:
         rows = self.spark.read.schema(CHANGELOG).parquet(*self._batches) if self._batches else self.spark.createDataFrame([], CHANGELOG)
         return rows.unionByName(self.spark.createDataFrame(self._buffer, CHANGELOG)) if self._buffer else rows
 
     def _append(self, df: DataFrame) -> None:
-        path = f"{self.root}/log/{self._seq:020d}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self._batches.append(path)
+        """Write a batch, then its entry; without that it is not there."""
+        name = f"{self._seq:020d}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/log/{name}")
+        if not files.publish(self.spark, f"{self.root}/batches/{name}", ""):
+            raise RuntimeError(f"batch {name} is there already")
+        self._batches.append(f"{self.root}/log/{name}")
 
     def empty_buffer(self) -> None:
         """Write the buffered records to the log."""
@@ -69,9 +77,9 @@ class Store:
             rows, self._buffer = self._buffer, []
             self._append(self.spark.createDataFrame(rows, CHANGELOG).coalesce(1))
 
-    def changes(self) -> DataFrame:
-        """Every record: runs, log and buffer."""
-        return self.runs.read().unionByName(self._log())
+    def changes(self, low: str = "", high: str | None = None) -> DataFrame:
+        """Every record that a key from low to high may have: of the runs whose key range meets it, of log and buffer."""
+        return self.runs.read(self.runs.holding(low, high)).unionByName(self._log())
 
     def _record(self, key: str, value: bytes | None, tombstone: bool) -> None:
         self._buffer.append((key, bytearray(value) if value is not None else None, tombstone, int(self.clock()), self._seq))
@@ -89,10 +97,46 @@ class Store:
         if not self._batches:
             return None
         run = self.runs.add(self._log(), self._seq - 1)
+        if self.config.SSTable.compression:
+            self._learn_keys(self._log())
+        self._drop_log()
+        return run
+
+    def _drop_log(self) -> None:
         old, self._batches, self._unflushed = self._batches, [], 0
         for p in old:
+            files.remove(self.spark, f"{self.root}/batches/{p.rpartition('/')[2]}")
             files.remove(self.spark, p)
-        return run
+
+    def clear_memtables(self) -> None:
+        """Give up every record that is not in a run yet."""
+        self._buffer, self.cache = [], Cache(self.config.Cache.maxSize)
+        self._drop_log()
+
+    # --- the key dictionary ---
+
+    def dictionary(self) -> DataFrame:
+        """(key, idx) of every key that was ever flushed, numbered by first appearance."""
+        parts = [f"{self.root}/dictionary/{n}" for n in files.names(self.spark, f"{self.root}/dictionary-parts") if not n.startswith("_")]
+        return self.spark.read.schema("key string, idx bigint").parquet(*parts) if parts else self.spark.createDataFrame([], "key string, idx bigint")
+
+    def _learn_keys(self, rows: DataFrame) -> None:
+        """Number the keys that are new, behind those that are known, in the order in which they first appear."""
+        known = self.dictionary()
+        top = known.agg(F.max("idx")).first()[0]
+        first = 0 if top is None else top + 1
+        new = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("seq").alias("seq")).join(known, "key", "left_anti")
+        folder = f"{first:020d}-{uuid.uuid4().hex}"
+        running(new, ["seq", "key"]).select("key", (F.col("idx") + first).alias("idx")).write.parquet(f"{self.root}/dictionary/{folder}")
+        files.publish(self.spark, f"{self.root}/dictionary-parts/{folder}", "")
+
+    def space(self) -> tuple[int, int]:
+        """Bytes of the runs with whole keys, and with numbers of the dictionary in their place; keys it lacks stay whole."""
+        rows = self.runs.read().join(self.dictionary(), "key", "left")
+        size = lambda *idx: record_size(F.col("key"), F.col("value"), F.coalesce("tombstone", F.lit(False)), F.col("ts"), *idx)
+        packed = F.when(F.col("idx").isNull(), size()).otherwise(size(F.col("idx")))
+        r = rows.agg(F.sum(size()).alias("plain"), F.sum(packed).alias("packed")).first()
+        return r["plain"] or 0, r["packed"] or 0
 
     def compact(self) -> int:
         c = self.config.LSMTree
@@ -125,7 +169,7 @@ class Store:
     def _get(self, key: str) -> bytes | None:
         if key in self.cache:
             return self.cache.get(key)
-        got = scans_first(live(self.changes().where(F.col("key") == key)))
+        got = scans_first(live(self.changes(key, key).where(F.col("key") == key)))
         value = None if got is None else bytes(got["value"] or b"")
         if got is not None:
             self.cache.put(key, value)
@@ -180,21 +224,21 @@ class Store:
 
     def range_scan(self, low: str, high: str, page: int = 1, size: int = 30) -> list[tuple[str, bytes]]:
         self._guard()
-        got = scans.page(scans.range_scan(self.changes(), low, high).select("key", "value"), page, size)
+        got = scans.page(scans.range_scan(self.changes(low, high), low, high).select("key", "value"), page, size)
         return [(r["key"], bytes(r["value"] or b"")) for r in got.collect()]
 
     def prefix_scan(self, prefix: str, page: int = 1, size: int = 30) -> list[tuple[str, bytes]]:
         self._guard()
-        got = scans.page(scans.prefix_scan(self.changes(), prefix).select("key", "value"), page, size)
+        got = scans.page(scans.prefix_scan(self.changes(prefix), prefix).select("key", "value"), page, size)
         return [(r["key"], bytes(r["value"] or b"")) for r in got.collect()]
 
     def range_iterate(self, low: str, high: str) -> scans.Cursor:
         self._guard()
-        return scans.Cursor(scans.range_scan(self.changes(), low, high))
+        return scans.Cursor(scans.range_scan(self.changes(low, high), low, high))
 
     def prefix_iterate(self, prefix: str) -> scans.Cursor:
         self._guard()
-        return scans.Cursor(scans.prefix_scan(self.changes(), prefix))
+        return scans.Cursor(scans.prefix_scan(self.changes(prefix), prefix))
 
     # --- sketches ---
 
