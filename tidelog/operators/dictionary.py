@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators.ordered import running
-from tidelog.operators.skew import heavy_join
+from tidelog.operators.skew import heavy_left_join
 
 
 def build(df: DataFrame, key: str = "key", order: tuple[str, ...] = ("seq",)) -> DataFrame:
@@ -20,16 +20,11 @@ def build(df: DataFrame, key: str = "key", order: tuple[str, ...] = ("seq",)) ->
 
 
 def encode(df: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """df with idx instead of key; -1 for keys that aren't in the dictionary, null for null."""
-    total = df.count()
-    known = heavy_join(df.where(F.col("key").isNotNull()), dictionary, ["key"], "n", max(1, total)).drop("key", "n")
-    unknown = df.join(dictionary.select("key"), "key", "left_anti")
-    return known.unionByName(unknown.withColumn("idx", F.when(F.col("key").isNotNull(), F.lit(-1).cast("bigint"))).drop("key"))
+    """df with idx instead of key; -1 for keys that aren't in the dictionary, null for null. df is read once."""
+    got = heavy_left_join(df, dictionary.select("key", "idx", "n"), "key", "n")
+    return got.withColumn("idx", F.when(F.col("key").isNotNull(), F.coalesce("idx", F.lit(-1).cast("bigint")))).drop("key")
 
 
 def decode(df: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """df with key instead of idx; null for a number that is not in the dictionary."""
-    total = df.count()
-    known = heavy_join(df.where(F.col("idx").isNotNull()), dictionary, ["idx"], "n", max(1, total)).drop("idx", "n")
-    unknown = df.join(dictionary.select("idx"), "idx", "left_anti")
-    return known.unionByName(unknown.withColumn("key", F.lit(None).cast("string")).drop("idx"))
+    """df with key instead of idx; null for a number that is not in the dictionary. df is read once."""
+    return heavy_left_join(df, dictionary.select("idx", "key", "n"), "idx", "n").drop("idx")

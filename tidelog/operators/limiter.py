@@ -8,28 +8,42 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.operators.ordered import changes_of_group
+
 
 def _windows(most: int, interval: int):
+    """Rows come by limiter and ts; a window's rows are taken together, and what goes on is carried to the next batch."""
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = object()
+        group = None
         begin = left = 0
         for b in batches:
-            starts, allowed = [], []
-            for k, t, n in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if k != key:
-                    key, begin, left = k, t, most
-                elif begin + interval <= t:
-                    begin, left = t, most
-                ok = min(left, n)
-                left -= ok
-                starts.append(begin)
-                allowed.append(ok)
-            if starts:
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(starts, pa.int64()), pa.array(allowed, pa.int64())], ["limiter", "ts", "n", "window_start", "allowed"])
+            if not b.num_rows:
+                continue
+            new, last = changes_of_group([b.column(0)], group)
+            t, n = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            starts, allowed = np.empty(len(t), dtype=np.int64), np.empty(len(t), dtype=np.int64)
+            edges = [*np.flatnonzero(new).tolist(), len(t)]
+            for i, end in zip([0, *edges], edges):
+                if i == end:
+                    continue
+                if new[i]:
+                    begin, left = int(t[i]), most
+                while i < end:
+                    if begin + interval <= t[i]:
+                        begin, left = int(t[i]), most
+                    j = i + int(np.searchsorted(t[i:end], begin + interval))
+                    taken = np.minimum(np.cumsum(n[i:j]), left)
+                    starts[i:j], allowed[i:j] = begin, np.diff(taken, prepend=0)
+                    left -= int(taken[-1])
+                    i = j
+            group = last
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(starts), pa.array(allowed)], ["limiter", "ts", "n", "window_start", "allowed"])
 
     return go
 

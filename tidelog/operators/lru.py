@@ -2,8 +2,8 @@
 
 The cache after a stretch of accesses is its last `capacity` distinct keys, followed by what was
 there before. So the sequence is cut into chunks; each chunk's last distinct keys are found in
-parallel, these short lists are gone through in order to know the cache at each chunk's beginning,
-and each chunk is then run from there.
+parallel. These lists combine associatively, so a tree over them, FAN wide, gives the cache at each
+chunk's beginning, and each chunk is then run from there.
 """
 
 from __future__ import annotations
@@ -19,6 +19,10 @@ from tidelog.operators.ordered import running
 from tidelog.session import cut
 
 
+#: Lists that one task combines.
+FAN = 64
+
+
 class Cache:
     """Least-recently-used cache of a number of entries."""
 
@@ -56,22 +60,46 @@ def _last_keys(capacity: int):
     return go
 
 
-def _states(capacity: int):
-    """Cache at the beginning of each chunk, most recent first; the chunks come in order."""
+def _on(keys: list, state: list, capacity: int) -> list:
+    """The cache after a stretch with these last keys, which began with that state; most recent first."""
+    return list(dict.fromkeys(keys + state))[:capacity]
+
+
+def _folded(capacity: int):
+    def go(t: pa.Table) -> pa.Table:
+        t, state = t.sort_by("pos"), []
+        for keys in t.column("keys").to_pylist():
+            state = _on(keys, state, capacity)
+        return pa.table({"pos": t.column("g")[:1], "keys": pa.array([state], pa.list_(pa.string()))})
+
+    return go
+
+
+def _members(capacity: int):
+    """Cache at the beginning of each of the stretches of a node, given the one at the node's."""
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: list[str] = []
-        for b in batches:
-            out = []
-            for keys in b.column(1).to_pylist():
-                out.append(state)
-                state = list(dict.fromkeys(keys + state))[:capacity]
-            if out:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], ["chunk", "state"])
+    def go(l: pa.Table, r: pa.Table) -> pa.Table:
+        l, out = l.sort_by("pos"), []
+        state = r.column("state")[0].as_py() if r.num_rows else []
+        for keys in l.column("keys").to_pylist():
+            out.append(state)
+            state = _on(keys, state, capacity)
+        return pa.table({"pos": l.column("pos"), "state": pa.array(out, pa.list_(pa.string()))})
 
     return go
 
 
+def _states(lists: DataFrame, n: int, capacity: int, fan: int) -> DataFrame:
+    """(pos, state) of lists (pos from 0, keys): one task has at most `fan` of them, whatever n."""
+    g = lists.withColumn("g", F.expr(f"pos div {fan}"))
+    if n <= fan:
+        above = lists.sparkSession.createDataFrame([], "g bigint, state array<string>")
+    else:
+        up = cut(g.groupBy("g").applyInArrow(_folded(capacity), "pos bigint, keys array<string>"), "lru")
+        above = _states(up, -(-n // fan), capacity, fan).withColumnRenamed("pos", "g")
+    return g.groupBy("g").cogroup(above.groupBy("g")).applyInArrow(_members(capacity), "pos bigint, state array<string>")
+
+
 def _run(capacity: int):
     def go(l: pa.Table, r: pa.Table) -> pa.Table:
         l = l.sort_by("idx")
@@ -87,11 +115,11 @@ def _run(capacity: int):
     return go
 
 
-def hits(df: DataFrame, item: str, order: list[str], capacity: int, chunk: int | None = None) -> DataFrame:
+def hits(df: DataFrame, item: str, order: list[str], capacity: int, chunk: int | None = None, fan: int = FAN) -> DataFrame:
     """(idx, item, hit) of every access with a non-null item, in order; a miss brings the item into the cache.
 
-    chunk, the accesses a task runs at a time, is 16 times the capacity at least, so the lists that are gone through in
-    order are a sixteenth of the accesses at most.
+    chunk, the accesses a task runs at a time, is 16 times the capacity at least, so the lists are a sixteenth of the
+    accesses at most.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
@@ -99,5 +127,6 @@ def hits(df: DataFrame, item: str, order: list[str], capacity: int, chunk: int |
     rows = df.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), *order)
     seq = running(rows, [*order, "item"]).select("item", "idx").withColumn("chunk", F.expr(f"idx div {chunk}"))
     last = cut(seq.groupBy("chunk").applyInArrow(_last_keys(capacity), "chunk bigint, keys array<string>"), "lru")
-    states = last.coalesce(1).sortWithinPartitions("chunk").mapInArrow(_states(capacity), "chunk bigint, state array<string>")
+    chunks = last.agg(F.max("chunk")).first()[0]
+    states = _states(last.withColumnRenamed("chunk", "pos"), 0 if chunks is None else chunks + 1, capacity, fan).withColumnRenamed("pos", "chunk")
     return seq.groupBy("chunk").cogroup(states.groupBy("chunk")).applyInArrow(_run(capacity), "idx bigint, item string, hit boolean")

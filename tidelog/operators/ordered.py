@@ -62,7 +62,7 @@ def running(df: DataFrame, order: list[str], value: str | None = None, group: li
     return led.select(*df.columns, (F.col("idx") - F.col("__i0")).alias("idx"), (F.col("before") - F.col("__b0")).alias("before"), "group_rows")
 
 
-def _starts(columns: list[pa.Array], before: list | None) -> tuple[np.ndarray, list]:
+def changes_of_group(columns: list[pa.Array], before: list | None) -> tuple[np.ndarray, list]:
     """Whether each row has another group than the row before it, `before` being that of the last batch; and the last row's group."""
     n = len(columns[0]) if columns else 0
     last = [c[n - 1].as_py() for c in columns]
@@ -87,7 +87,7 @@ def _carried(group_at: list[int], value_at: int):
                 continue
             value = b.column(value_at)
             if group_at:
-                new, last = _starts([b.column(i) for i in group_at], group)
+                new, last = changes_of_group([b.column(i) for i in group_at], group)
             else:
                 new, last = np.zeros(n, dtype=bool), []
             at = np.arange(n)

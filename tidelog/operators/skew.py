@@ -47,3 +47,25 @@ def heavy_join(left: DataFrame, state: DataFrame, on: list[str], count_col: str,
     hot_rows = left.join(F.broadcast(hot), on, "inner")
     cold_rows = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, "inner")
     return hot_rows.unionByName(cold_rows)
+
+
+def heavy_left_join(left: DataFrame, state: DataFrame, on: str, count_col: str, parts: int = 1000) -> DataFrame:
+    """left joined to the state of its keys (unique in `on`), which also says how many rows each key had.
+
+    The left side is read once. Keys with more than a part of all rows are at most `parts` by counting
+    and are broadcast; the rows that these answer, and those of null keys, are dealt evenly and meet
+    nothing in the shuffled join with the others. Columns of state but count_col are added, null where
+    a key is not there.
+    """
+    state = state.where(F.col(on).isNotNull())
+    total = state.agg(F.sum(count_col)).first()[0] or 0
+    edge = max(1, total // parts)
+    added = [c for c in state.columns if c not in (on, count_col)]
+    hot = state.where(F.col(count_col) > edge).select(F.col(on).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in added])
+    spread = F.pmod(F.xxhash64(*left.columns), F.lit(1 << 16)).cast("int") + 1
+    l = left.join(F.broadcast(hot), F.col(on) == F.col("__hot"), "left")
+    apart = F.col("__hot").isNotNull() | F.col(on).isNull()
+    l = l.withColumn("__deal", F.when(apart, spread).otherwise(0)).withColumn("__key", F.when(~apart, F.col(on)))
+    cold = state.where(F.col(count_col) <= edge).select(F.col(on).alias("__key"), F.lit(0).alias("__deal"), *[F.col(c).alias(f"__cold_{c}") for c in added])
+    joined = l.join(cold, ["__key", "__deal"], "left")
+    return joined.select(*[joined[c] for c in left.columns], *[F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in added])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -39,17 +40,26 @@ def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 hour
     return (stream if late is None else stream.withWatermark(time, late)).groupBy(F.window(time, width).alias("w"), F.col(key)).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), key, "n")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events of each limiter and second, counted within a task."""
+    for b in batches:
+        if b.num_rows:
+            t = pa.Table.from_batches([b]).group_by(["limiter", "ts"]).aggregate([("ts", "count")])
+            yield from t.select(["limiter", "ts", "ts_count"]).rename_columns(["limiter", "ts", "n"]).to_batches()
+
+
 def token_bucket(stream: DataFrame, key: str, ts: str, most: int = 1024, interval: int = 60) -> DataFrame:
     """(limiter, ts, n, window_start, allowed) per limiter and second of each batch, with the bucket as state.
 
     Within a batch a limiter's events are taken in the order of ts; an event older than the state's window counts in it.
+    Events are counted by second before they are shuffled, so of a hot limiter its seconds move and not its events.
     """
     seconds = stream.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).cast("string").alias("limiter"), F.col(ts).cast("bigint").alias("ts"))
 
     def go(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         counts: dict[int, int] = {}
         for p in parts:
-            for t, n in p["ts"].value_counts().items():
+            for t, n in p.groupby("ts")["n"].sum().items():
                 counts[int(t)] = counts.get(int(t), 0) + int(n)
         begin, left = state.get if state.exists else (None, 0)
         out = []
@@ -62,7 +72,7 @@ def token_bucket(stream: DataFrame, key: str, ts: str, most: int = 1024, interva
         state.update((begin, left))
         yield pd.DataFrame(out, columns=["limiter", "ts", "n", "window_start", "allowed"])
 
-    return seconds.groupBy("limiter").applyInPandasWithState(go, "limiter string, ts bigint, n bigint, window_start bigint, allowed bigint", "begin bigint, tokens bigint", "append", GroupStateTimeout.NoTimeout)
+    return seconds.mapInArrow(_counted, "limiter string, ts bigint, n bigint").groupBy("limiter").applyInPandasWithState(go, "limiter string, ts bigint, n bigint, window_start bigint, allowed bigint", "begin bigint, tokens bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def upsert_sink(root: str):
