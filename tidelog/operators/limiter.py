@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.operators.ordered import changes_of_group
+from tidelog.operators.ordered import changes_of_group, running
+from tidelog.operators.skew import lookup_join
 
 
 def _windows(most: int, interval: int):
@@ -64,10 +65,11 @@ def admit(df: DataFrame, key: str, ts: str, most: int = 1024, interval: int = 60
 
 
 def admit_each(df: DataFrame, key: str, ts: str, seq: str, most: int = 1024, interval: int = 60) -> DataFrame:
-    """(limiter, ts, seq, allowed boolean): the single events, those of one second in the order of seq."""
-    from pyspark.sql import Window
+    """(limiter, ts, seq, allowed boolean): the single events, those of one second in the order of seq.
 
+    Places within a second are numbered by many tasks, so one second of one limiter may hold any share of the rows.
+    """
     each = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).cast("string").alias("limiter"), F.col(ts).cast("bigint").alias("ts"), F.col(seq).alias("seq"))
-    place = F.row_number().over(Window.partitionBy("limiter", "ts").orderBy("seq"))
     got = admit(df, key, ts, most, interval).select("limiter", "ts", F.col("allowed").alias("first"))
-    return each.withColumn("place", place).join(got, ["limiter", "ts"]).select("limiter", "ts", "seq", (F.col("place") <= F.col("first")).alias("allowed"))
+    placed = running(each, ["limiter", "ts", "seq"], None, ["limiter", "ts"])
+    return lookup_join(placed, got, ["limiter", "ts"], "inner", spread=F.col("idx")).select("limiter", "ts", "seq", (F.col("idx") < F.col("first")).alias("allowed"))

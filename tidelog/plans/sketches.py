@@ -10,9 +10,10 @@ from tidelog.operators import cms as K
 from tidelog.operators import hll as H
 from tidelog.operators import limiter, lru
 from tidelog.operators import simhash as S
+from tidelog.operators.ordered import running
 from tidelog.sources.tables import table
 
-BM, BK = B.sizing(20_000, 0.01)
+PRECISION = 0.01
 CR, CC = K.sizing(0.01, 0.01)
 P, SEED = 12, 1
 TOKENS, SECONDS = 3, 86_400
@@ -28,23 +29,28 @@ def bloom_params(spark, d):
     return _sizes(spark).withColumn("m", m).withColumn("k", F.ceil(F.col("m") / F.col("n") * 0.6931471805599453))
 
 
-def _bloom(spark, d):
-    return B.build(table(spark, d, "orders").where("o_orderstatus = 'F'"), "o_orderkey", BM, BK, SEED)
+def _finished(spark, d):
+    """The keys of finished orders, and the sizing that their number asks for."""
+    keys = table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
+    return keys, *B.sizing(max(1, keys.distinct().count()), PRECISION)
 
 
 def bloom_build(spark, d):
-    """Bits set by the keys of finished orders."""
-    return _bloom(spark, d)
+    """Bits set by the keys of finished orders, in a filter of the size that their number asks for."""
+    keys, m, k = _finished(spark, d)
+    return B.build(keys, "o_orderkey", m, k, SEED)
 
 
 def bloom_probe(spark, d):
     """All orders' keys asked of that filter."""
-    return B.probe(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", _bloom(spark, d), BM, BK, SEED)
+    keys, m, k = _finished(spark, d)
+    return B.probe(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", B.build(keys, "o_orderkey", m, k, SEED), m, k, SEED)
 
 
 def bloom_probe_joined(spark, d):
     """The same by the way that filters beyond the bitmap's bound take."""
-    return B.probe(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", _bloom(spark, d), BM, BK, SEED, most_bits=0)
+    keys, m, k = _finished(spark, d)
+    return B.probe(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", B.build(keys, "o_orderkey", m, k, SEED), m, k, SEED, most_bits=0)
 
 
 def cms_params(spark, d):
@@ -104,7 +110,8 @@ def native_cms(spark, d):
 
 
 def native_bloom(spark, d):
-    f = B.native(table(spark, d, "orders").where("o_orderstatus = 'F'"), "o_orderkey", 20_000, 0.01)
+    keys = table(spark, d, "orders").where("o_orderstatus = 'F'")
+    f = B.native(keys, "o_orderkey", max(1, keys.select("o_orderkey").distinct().count()), PRECISION)
     return spark.createDataFrame([(int(f.bitSize()), bool(f.mightContain(-1)))], "bits bigint, has_minus_one boolean")
 
 
@@ -113,14 +120,12 @@ def simhash_fingerprint(spark, d):
 
 
 def simhash_hamming(spark, d):
-    """Distance of each page to the last fetch before it of the same url."""
-    from pyspark.sql import Window
-
+    """Distance of each page to the last fetch before it of the same url, a null url being one too."""
     docs = table(spark, d, "documents")
-    p = S.fingerprints(docs).join(docs.select(F.col("doc_id").alias("id"), "url", "fetched_at"), "id").where("fingerprint IS NOT NULL")
-    w = Window.partitionBy("url").orderBy("fetched_at", "id")
-    before = p.select("id", "fingerprint", F.lag("id").over(w).alias("other"), F.lag("fingerprint").over(w).alias("f2")).where("other IS NOT NULL")
-    return before.select(F.col("id").alias("doc_id"), "other", S.hamming("fingerprint", "f2").cast("bigint").alias("distance"))
+    p = S.fingerprints(docs).where("fingerprint IS NOT NULL").join(docs.select(F.col("doc_id").alias("id"), F.coalesce("url", F.lit("\0")).alias("url"), "fetched_at"), "id")
+    placed = running(p, ["url", "fetched_at", "id"], None, ["url"])
+    before = placed.select("url", (F.col("idx") + 1).alias("idx"), F.col("id").alias("other"), F.col("fingerprint").alias("f2"))
+    return placed.join(before, ["url", "idx"]).select(F.col("id").alias("doc_id"), "other", S.hamming("fingerprint", "f2").cast("bigint").alias("distance"))
 
 
 def _classes(spark, d):
@@ -179,13 +184,15 @@ def fnv_sql(col: str, seed: int) -> str:
     return f"list_reduce(list_transform(range(0, strlen({col})::BIGINT), lambda i: ('0x' || substr({h}, (2 * i + 1)::BIGINT, 2))::HUGEINT), lambda a, b: (xor(a, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT, {seeded_state(seed)}::HUGEINT)"
 
 
-def _many(keys: str, n: int, mod: int) -> str:
+def _many(keys: str, n: int, mod: int | str) -> str:
     """(k, i, pos) of the keys under n seeds."""
     return "(" + " UNION ALL ".join(f"SELECT k, {i} AS i, CAST({fnv_sql('k', SEED + i)} % {mod} AS BIGINT) AS pos FROM ({keys})" for i in range(n)) + ")"
 
 
 _F_KEYS = "SELECT DISTINCT o_orderkey::VARCHAR AS k FROM orders WHERE o_orderstatus = 'F'"
 _ALL_KEYS = "SELECT DISTINCT o_orderkey::VARCHAR AS k FROM orders"
+BK = B.sizing(1_000_000, PRECISION)[1]
+BM = f"(SELECT greatest(ceil(count(*) * abs(ln({PRECISION})) / pow(ln(2), 2)), 1)::HUGEINT FROM ({_F_KEYS}))"
 _BITS = f"SELECT DISTINCT pos FROM {_many(_F_KEYS, BK, BM)}"
 _PROBE = f"""WITH bits AS ({_BITS}), ok AS (SELECT k, bool_and(b.pos IS NOT NULL) AS maybe FROM {_many(_ALL_KEYS, BK, BM)} p LEFT JOIN bits b ON b.pos = p.pos GROUP BY k)
 SELECT o_orderkey, maybe FROM orders JOIN ok ON ok.k = o_orderkey::VARCHAR"""

@@ -13,7 +13,7 @@ from tidelog.operators import sparse_index as X
 from tidelog.operators.incremental import at_or_after, last_success
 from tidelog.operators.lww import lww
 from tidelog.operators.ordered import running
-from tidelog.operators.skew import lookup_join
+from tidelog.operators.skew import heavy_left_join, lookup_join
 from tidelog.plans.kv import BY, ORDER, RESERVED_SQL, log, newest_sql
 from tidelog.sources.tables import table
 
@@ -71,10 +71,12 @@ def sst_summary(spark, d):
 
 
 def sst_floor_lookup(spark, d):
-    """For each incoming key the last key at or before it that the sparse index of its store's first level holds."""
+    """For each incoming key and each level of its store the last key at or before it that the level's sparse index holds."""
     probes = table(spark, d, "incoming_records").where("key IS NOT NULL").select("store_id", F.col("key").cast("binary").alias("key")).distinct()
-    got = X.floor_lookup(probes, _index(spark, d).where("level = 1"), ["store_id"])
-    return got.select("store_id", F.hex("key").alias("key_hex"), F.hex("match").alias("match_hex"))
+    index = _index(spark, d)
+    levels = lookup_join(probes, index.groupBy("store_id").agg(F.collect_set("level").alias("levels")), ["store_id"], "inner", spread=F.xxhash64("key"))
+    got = X.floor_lookup(levels.select("store_id", F.explode("levels").alias("level"), "key"), index, ["store_id", "level"])
+    return got.select("store_id", "level", F.hex("key").alias("key_hex"), F.hex("match").alias("match_hex"))
 
 
 def sst_point_read(spark, d):
@@ -196,8 +198,8 @@ def dict_decode(spark, d):
 
 def dict_space(spark, d):
     """Bytes of the runs with keys and with numbers of a dictionary instead."""
-    dic = D.build(runs(spark, d), "key", ("ts",)).select("key", "idx")
-    r = runs(spark, d).join(dic, "key")
+    dic = D.build(runs(spark, d), "key", ("ts",)).select("key", "idx", "n")
+    r = heavy_left_join(runs(spark, d), dic, "key", "n")
     packed = record_size(F.col("key"), F.col("value"), F.col("tombstone"), F.col("ts"), F.col("idx"))
     return r.groupBy("store_id").agg(F.sum(_size()).alias("plain"), F.sum(packed).alias("packed"))
 
@@ -455,7 +457,7 @@ SELECT store_id, run_id, key, seq, tombstone FROM (SELECT *, row_number() OVER (
     "sst_ranges": f"SELECT store_id, level, table_id, hex(min(key)) AS start_hex, hex(max(key)) AS end_hex, count(*) AS rows FROM {_RUNS} GROUP BY ALL",
     "sst_sparse_index": f'SELECT store_id, level, table_id, hex(key) AS key_hex, "offset", idx FROM {_INDEXED} WHERE idx % 5 = 0 OR idx = n - 1',
     "sst_summary": f"SELECT store_id, level, table_id, key_hex, idx FROM (SELECT store_id, level, table_id, hex(key) AS key_hex, row_number() OVER (PARTITION BY store_id, level, table_id ORDER BY key, idx) - 1 AS idx FROM {_INDEXED} WHERE idx % 5 = 0 OR idx = n - 1) WHERE idx % 5 = 0",
-    "sst_floor_lookup": f"SELECT p.store_id, hex(p.key) AS key_hex, hex(e.key) AS match_hex FROM {_PROBED} p ASOF LEFT JOIN (SELECT DISTINCT store_id, key FROM {_INDEXED} WHERE level = 1 AND (idx % 5 = 0 OR idx = n - 1)) e ON p.store_id = e.store_id AND p.key >= e.key",
+    "sst_floor_lookup": f"SELECT p.store_id, p.level, hex(p.key) AS key_hex, hex(e.key) AS match_hex FROM (SELECT * FROM {_PROBED} JOIN (SELECT DISTINCT store_id, level FROM {_RUNS}) USING (store_id)) p ASOF LEFT JOIN (SELECT DISTINCT store_id, level, key FROM {_INDEXED} WHERE idx % 5 = 0 OR idx = n - 1) e ON p.store_id = e.store_id AND p.level = e.level AND p.key >= e.key",
     "sst_point_read": f"SELECT r.store_id, hex(r.key) AS key_hex, r.ts, r.tombstone FROM ({_NEW_RUN}) r SEMI JOIN {_PROBED} p ON p.store_id = r.store_id AND p.key = r.key",
     "record_checksums": f"SELECT store_id, level, count(*) FILTER (crc = c) AS valid, count(*) FILTER (crc <> c) AS invalid, count(*) FILTER (crc IS NULL) AS missing FROM (SELECT *, {_crc_sql('bytes')} AS c FROM (SELECT *, {_RECORD} AS bytes FROM sst_records)) GROUP BY ALL",
     "wal_checksums": f"SELECT store_id, count(*) FILTER (crc = c) AS valid, count(*) FILTER (crc <> c) AS invalid FROM (SELECT store_id, crc, {_crc_sql('bytes')} AS c FROM (SELECT *, coalesce(value, ''::BLOB) AS bytes FROM wal_records)) GROUP BY ALL",
