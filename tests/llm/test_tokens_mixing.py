@@ -82,7 +82,7 @@ def test_mix_reaches_its_shares(spark):
     sizes = [(i, "big", rng.randrange(1, 60)) for i in range(3000)] + [(10_000 + i, "mid", rng.randrange(1, 60)) for i in range(900)] + [(20_000 + i, "tiny", 20) for i in range(10)]
     sizes += [(30_000 + i, None, 50) for i in range(20)] + [(40_000 + i, "outside", 50) for i in range(20)] + [(50_000, "big", 0)]
     targets = [("big", 0.5, 1), ("mid", 0.4, 3), ("tiny", 0.05, 2), ("absent", 0.05, 4), (None, 0.3, 1)]
-    m = mixed(spark, sizes, targets, block=50, tokens_per_shard=5000)
+    m = mixed(spark, sizes, targets, block=50, blocks_per_shard=100)
     report = {r["source"]: r for r in m.report.collect()}
     total = sum(t for _, s, t in sizes if s in ("big", "mid", "tiny"))
     repeats = {"big": 1, "mid": 3, "tiny": 2, "absent": 4}
@@ -96,10 +96,69 @@ def test_mix_reaches_its_shares(spark):
     assert len({r["doc_id"] for r in picked}) == len(picked)
     share = {r["source"]: r["share"] for r in X.shares(m).collect()}
     assert share["absent"] == 0 and share["tiny"] == pytest.approx(400 / total, rel=0.1) and share["big"] == pytest.approx(0.55, abs=0.03)
-    again = mixed(spark, sizes, targets, block=50, tokens_per_shard=5000).selection()
+    again = mixed(spark, sizes, targets, block=50, blocks_per_shard=100).selection()
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, picked))
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_quotas_of_shards(seed):
+    """The few steps give what one seat after the other gives among all shards."""
+    rng = random.Random(seed)
+    per, blocks = rng.choice([1, 3, 10]), rng.randrange(1, 60)
+    seats = rng.randrange(0, 3 * blocks + 1)
+    sizes = [per] * (blocks // per) + ([blocks % per] if blocks % per else [])
+    want = slow([float(x) for x in sizes], [10**9] * len(sizes), seats)
+    each, more, last = X.shard_quotas(blocks, per, seats)
+    full = blocks // per
+    assert [each + (i < more) for i in range(full)] + [last] * (len(sizes) - full) == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_shares_are_the_best_that_repeats_allow(spark, seed):
+    """Each source has its quota to within a block, sources of many shards, of one block and with long documents too."""
+    rng = random.Random(seed)
+    sizes, i, block = [], 0, 100
+    for s, n, longest in (("big", 4000, 60), ("mid", 700, 90), ("thin", 40, 9), ("long", 30, 95), ("one", 1, 30)):
+        for _ in range(n):
+            sizes.append((i, s, rng.randrange(0, longest)))
+            i += 1
+    ws = [rng.random() for _ in range(5)]
+    targets = [(s, w / sum(ws), rng.randrange(1, 4)) for s, w in zip(("big", "mid", "thin", "long", "one"), ws)]
+    m = mixed(spark, sizes, targets, block=block, blocks_per_shard=rng.choice([7, 50, 1024]))
+    own = {s: sum(t for _, x, t in sizes if x == s) for s, _, _ in targets}
+    total = sum(own.values())
+    # water filling: what the capped ones lack goes to the others by weight
+    best, left, open_ = {}, float(total), {s: (w, k * own[s]) for s, w, k in targets}
+    while open_:
+        scale = left / sum(w for w, _ in open_.values())
+        full = [s for s, (w, cap) in open_.items() if w * scale >= cap]
+        for s in full or list(open_):
+            w, cap = open_.pop(s)
+            best[s] = min(cap, w * scale)
+        left = total - sum(best.values()) if full else 0.0
+    got = {r["source"]: r["mix_tokens"] for r in X.shares(m).collect()}
+    # a block by the rounding of seats and one by the last piece of each capped source, which the others' seats make good
+    assert all(abs(got[s] - best[s]) <= 2 * block for s in best), (got, best)
+    quotas = {r["source"]: r["quota_tokens"] for r in m.quotas.collect()}
+    assert all(abs(got[s] - q) <= block for s, q in quotas.items()), (got, quotas)
+
+
+def test_a_thin_source_over_many_shards(spark):
+    """Few tokens beside many: the repeats give 20,000 tokens and all of them are used."""
+    sizes = [(i, "big", 1000) for i in range(10_000)] + [(100_000 + i, "small", 5) for i in range(2000)]
+    m = mixed(spark, sizes, [("big", 0.98, 2), ("small", 0.02, 2)], block=4096, blocks_per_shard=25)
+    got = {r["source"]: r for r in X.shares(m).collect()}
+    assert got["small"]["mix_tokens"] == 20_000 and got["small"]["documents"] == 2000 and got["small"]["short"]
+    assert abs(got["big"]["mix_tokens"] - (10_010_000 - 20_000)) <= 2 * 4096 and not got["big"]["short"]
+
+
+@pytest.mark.parametrize("off", [-1, 0, 1])
+def test_short_at_its_edge(spark, off):
+    sizes = [(1, "a", 50_000 + off), (2, "b", 150_000 - off)]
+    m = mixed(spark, sizes, [("a", 0.5, 2), ("b", 0.5, 2)], block=100)
+    assert {r["source"] for r in m.report.where("short").collect()} == ({"a"} if off < 0 else set())
+
+
 def test_mix_of_nothing(spark):
     m = mixed(spark, [], [("a", 1.0, 2)])
     assert m.selection().count() == 0 and m.report.where("short").count() == 0
