@@ -89,6 +89,34 @@ def test_seen_before_with_empty_sides(spark):
     assert M.seen_before(k, n.limit(0)).found.count() == 0
 
 
+def test_batches_against_an_index_on_disk(spark, tmp_path, monkeypatch):
+    """Batch after batch equals one look at everything; a batch reads only the buckets of its positives, also after parts are put together."""
+    monkeypatch.setattr(M, "MOST_PARTS", 2)
+    rng = random.Random(1)
+    known = [(rng.randrange(3), f"k{rng.randrange(200)}".encode()) for _ in range(300)]
+    index = M.KeyIndex(spark, str(tmp_path / "i")).create(spark.createDataFrame([(s, bytearray(x)) for s, x in known], "store_id bigint, key binary"))
+    have = set(known)
+    for n in range(4):
+        batch = [(rng.randrange(3), rng.choice([None, f"k{rng.randrange(600)}"]), 1000 * n + i) for i in range(200)]
+        got = index.seen(spark.createDataFrame(batch, "store_id bigint, key string, seq bigint"))
+        want = []
+        for s, x, q in batch:
+            if x is not None:
+                if (s, x.encode()) in have:
+                    want.append(q)
+                have.add((s, x.encode()))
+        assert sorted(r["seq"] for r in got.found.collect()) == want
+        index.absorb(got)
+        index = M.KeyIndex(spark, str(tmp_path / "i"))
+    assert len(index.list["keys"]) <= 2 and index._keys().select(*M.ON).distinct().count() == index._keys().count() == len(have)
+    one = index.seen(spark.createDataFrame([(0, bytes(next(k for s, k in have if s == 0)).decode(), 1)], "store_id bigint, key string, seq bigint"))
+    assert len(one.read_buckets) == 1
+    files = index._keys(one.read_buckets)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in files and f"(bucket#" in files
+    nothing = index.seen(spark.createDataFrame([(0, "never seen before", 1)], "store_id bigint, key string, seq bigint"))
+    assert nothing.found.count() == 0 and (nothing.read_buckets == [] or nothing.verified.count() == 1)
+
+
 @pytest.mark.parametrize("k", [1, 3, 50])
 def test_heads_keep_the_most_frequent(spark, k):
     rng = random.Random(k)
