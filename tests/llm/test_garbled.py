@@ -136,3 +136,41 @@ def test_copies_and_lone_letters_are_no_examples(spark):
     found = {r["doc_id"] for r in G.find_garbled(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).documents.collect()}
     assert {d[0] for d in dash} | {3101} <= found
     assert not found & {d[0] for d in [*words, *quoting, (3400,)]}
+
+
+def test_tokens_of_lines_without_spaces():
+    cut = lambda l: [l[a:z] for a, z in G.tokens_of(l)]
+    assert cut("文字「Ã©」は、(Ã©)です。 plain größer x") == ["文字「", "Ã©", "」は、", "(Ã©)", "です。", "größer"]
+    assert cut("他说“好”…—，Torhul测量") == ["他说“好”…—，Torhul测量"] and cut("å¾ˆæ˜Ž") == ["å¾ˆæ˜Ž"] and cut("ascii only") == []
+    assert cut("ï»¿村紙の最初") == ["ï»¿村紙の最初"]
+    assert G.neighbours("a  7 b\xa0Ã© c", 7, 9) == ("b", "c") and G.neighbours("Ã©", 0, 2) == ("^", "$")
+    assert len(G.neighbours("村" * 500 + " Ã©", 501, 503)[0]) == 33
+    assert G.shape("Ljus,\xa0Ån") == G._JOINT.join(("ljus,", "ån")) and G.shape("Home\xad") == "home"
+
+
+def test_repair_keeps_to_its_place(spark):
+    """The same token is damage in one line and a quoted example in another, and once more in a line of its own field."""
+    docs, _ = corpus()
+    both = "grün\nDie BrÃ¼cke und Ã¶stlich am grÃ¶ÃŸten spÃ¤ter\nWrite Ã¶ not ö\nschön"
+    g = G.find_garbled(spark.createDataFrame([*docs, (9000, both, "s1")], "doc_id bigint, text string, source string"))
+    hits = g.hits.where("doc_id = 9000 AND line = 1")
+    assert hits.count() >= 3
+    only = G.Garbled(g.documents, hits, g.verdicts, g.turned)  # as if the example had been told apart
+    text = G.repaired(spark.createDataFrame([(9000, both, "s1")], "doc_id bigint, text string, source string"), only).first()["text"]
+    assert text == "grün\nDie Brücke und östlich am größten später\nWrite Ã¶ not ö\nschön"
+
+
+def test_what_is_left_of_a_lost_token_is_repaired(spark):
+    docs, _ = corpus()
+    bad = [(9100 + i, "Die schöne BrÃ¼cke f�r GÃ¤rtner\nmÃ¶glich� spÃ¤ter grÃ¶ÃŸten", "s1") for i in range(2)]
+    df = spark.createDataFrame([*docs, *bad], "doc_id bigint, text string, source string")
+    texts = {r["doc_id"]: r["text"] for r in G.repaired(df, G.find_garbled(df)).collect()}
+    assert texts[9100] == "Die schöne Brücke f�r Gärtner\nmöglich� später größten"
+
+
+def test_examples_in_long_tokens(spark):
+    """In text without spaces an example is told apart as elsewhere."""
+    docs, _ = corpus()
+    rows = [*docs, (9200, CLEAN["ja"] + "\n" + "静かな水車の「Ã©」は「é」の間違いです。", "s2")]
+    found = {r["doc_id"] for r in G.find_garbled(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).documents.collect()}
+    assert 9200 not in found

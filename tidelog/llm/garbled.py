@@ -14,6 +14,7 @@ one prior per chain for each of SOURCE_BUCKETS times three fields.
 from __future__ import annotations
 
 import codecs
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -82,6 +83,8 @@ def _utf8_pattern(d: str) -> re.Pattern:
 
 UTF8 = {d: _utf8_pattern(d) for d in SINGLE}
 _BOM = "\ufeff"
+#: A byte order mark as each encoding reads it; it belongs to the word behind it.
+BOMS = tuple({"".join(TABLE[d][x] for x in _BOM.encode()) for d in SINGLE})
 
 
 def _utf8(token: str, d: str) -> str | None:
@@ -194,8 +197,17 @@ def odd(v: str) -> float:
 _DIGITS = re.compile("[0-9]+")
 
 
+#: What stands between words joined by a space that does not break: the end of one and the start of the next.
+_JOINT = "\x03\x02\x02"
+
+
 def shape(v: str) -> str:
-    """What the character model sees: digits as one, and lower case where case is as in ordinary writing."""
+    """What the character model sees: digits as one, and lower case where case is as in ordinary writing.
+
+    Soft hyphens are not seen, and words joined by a space that does not break are seen one by one.
+    """
+    if "\xad" in v or "\xa0" in v:
+        return _JOINT.join(shape(w) for w in v.replace("\xad", "").split("\xa0")) if "\xa0" in v else shape(v.replace("\xad", ""))
     v = _DIGITS.sub("0", v)
     low = v.lower()
     if v != low:
@@ -280,17 +292,20 @@ def posteriors(owner: np.ndarray, logs: np.ndarray, flat: np.ndarray, of: np.nda
 
 #: Rows of a model that are sent to the driver at most, by construction: one per place of the count table and per prior.
 STATS = SIZE + SOURCE_BUCKETS * FIELDS * len(CHAINS)
-#: Bytes of a table of types that one task reads.
-SPLIT_BYTES = 4 << 20
+#: Bytes of a table of types that one task reads at most: four times what a task can give of a model, twelve bytes a place.
+SPLIT_BYTES = 48 * STATS
 #: Natural logs by which a candidate may trail the best one in the first round without being dropped.
 TRAIL = 25.0
 _TOKEN = re.compile("[^ \t\r\f\v]*[^\x00-\x7f][^ \t\r\f\v]*")
 _MARKS = "“”„\"'‚‘’«»‹›().,;:!?¿¡<>[]{}|*_ \xa0\xad"
-_SPACES = re.compile("[\xa0\xad]")
-OCC = "doc_id bigint, line int, sf int, token string, core string, place int, prev string, next string"
-HITS = "token string, sf int, repaired string, meant string, chain string, p double, llr double, kind string"
-#: Characters of tokens and cores that are kept apart, with their neighbours, to tell a quoted example from text.
-SHORT, SHORT_CORE = 12, 4
+OCC = "doc_id bigint, line int, sf int, token string, place int, core string, prev string, next string"
+CONTEXT = "doc_id bigint, line int, place int, core string, prev string, next string"
+HITS = "token string, sf int, repaired string, meant bigint, letter string, chain string, p double, llr double, kind string"
+#: A run without wide characters that has a letter or sign of the smaller scripts: such a run within a text of wide
+#: characters, which needs no spaces, is a token of its own.
+_WIDE_SET = "\u1100-\u11ff\u2e80-\u9fff\uac00-\ud7ff\uf900-\ufaff\uff00-\uffef"
+_INLAY = re.compile(f"[^{_WIDE_SET}]*[\x80-\u024f\u0370-\u052f][^{_WIDE_SET}]*")
+_HAS_WIDE = re.compile(f"[{_WIDE_SET}]")
 
 
 def core(w: str) -> str:
@@ -298,18 +313,56 @@ def core(w: str) -> str:
     return w.strip(_MARKS) or w
 
 
-def _near(words: str, last: bool) -> str | None:
-    """The last or first word of what stands beside a token, None if there is none; digits as one."""
-    ws = words.split(None)
-    return _DIGITS.sub("0", ws[-1 if last else 0]) if ws else None
-
-
-def occurrences(text: str) -> Iterator[tuple[int, int, str, str | None, int, str | None, str | None]]:
-    """(line, field, token, core, place, prev, next) of every token with characters beyond ASCII.
+def tokens_of(line: str) -> Iterator[tuple[int, int]]:
+    """Start and end of every token with characters beyond ASCII: runs without white space, cut where a run of wide
+    characters meets one of the smaller scripts."""
+    for m in _TOKEN.finditer(line):
+        a, z = m.span()
+        if not _HAS_WIDE.search(line, a, z):
+            yield a, z
+            continue
+        at = a
+        for x in _INLAY.finditer(line, a, z):
+            if x[0] in BOMS:
+                continue
+            if x.start() > at and not line[at : x.start()].isascii():
+                yield at, x.start()
+            yield x.span()
+            at = x.end()
+        if at < z and not line[at:z].isascii():
+            yield at, z
+
+
+def _named(w: str) -> str:
+    """A neighbour, digits as one; one of unusual length by its hash, so that rows stay narrow."""
+    w = _DIGITS.sub("0", w)
+    return w if len(w) <= 64 else "#" + hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def neighbours(line: str, a: int, z: int) -> tuple[str, str]:
+    """The words before and after a token; ^ and $ stand for a line's ends."""
+    j = a
+    while j and line[j - 1].isspace():
+        j -= 1
+    i = j
+    while i and not line[i - 1].isspace():
+        i -= 1
+    k, n = z, len(line)
+    while k < n and line[k].isspace():
+        k += 1
+    m = k
+    while m < n and not line[m].isspace():
+        m += 1
+    return _named(line[i:j]) or "^", _named(line[k:m]) or "$"
+
+
+def occurrences(text: str) -> Iterator[tuple[int, int, str, int, str | None, str | None, str | None]]:
+    """(line, field, token, place, core, prev, next) of every token with characters beyond ASCII.
 
     Fields: 0 first line, 2 last line, 1 between; a text of one line is a first line. place is the
-    number of such tokens before it in the line. core and neighbours are given where the token is short and its
-    core is short too, or has other characters than letters; ^ and $ stand for a line's ends.
+    number of such tokens before it in the line. A token that is one character but for the marks
+    around it comes with this core and its neighbours: how such characters stand in the corpus tells
+    examples from damage.
     """
     lines = text.split("\n")
     last = len(lines) - 1
@@ -317,15 +370,26 @@ def occurrences(text: str) -> Iterator[tuple[int, int, str, str | None, int, str
         if l.isascii():
             continue
         field = 0 if i == 0 else 2 if i == last else 1
-        for place, m in enumerate(_TOKEN.finditer(l)):
-            w = m[0]
-            if len(w) <= SHORT:
-                c = w.strip(_MARKS) or w
-                if len(c) <= SHORT_CORE or not c.isalpha():
-                    a, z = m.span()
-                    yield i, field, w, c, place, _near(l[max(0, a - 200) : a], True) or "^", _near(l[z : z + 200], False) or "$"
-                    continue
-            yield i, field, w, None, place, None, None
+        for place, (a, z) in enumerate(tokens_of(l)):
+            w = l[a:z]
+            c = core(w)
+            if len(c) == 1:
+                yield i, field, w, place, c, *neighbours(l, a, z)
+            else:
+                yield i, field, w, place, None, None, None
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Core and neighbours of every token of some documents."""
+    for b in batches:
+        rows = []
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, l in enumerate((text or "").split("\n")):
+                if not l.isascii():
+                    rows += [(doc, i, n, core(l[a:z]), *neighbours(l, a, z)) for n, (a, z) in enumerate(tokens_of(l))]
+        if rows:
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*rows), types)], ["doc_id", "line", "place", "core", "prev", "next"])
 
 
 def bucket(source: str | None) -> int:
@@ -334,18 +398,18 @@ def bucket(source: str | None) -> int:
 
 
 def _find_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("sf", pa.int32()), ("token", pa.string()), ("core", pa.string()), ("place", pa.int32()), ("prev", pa.string()), ("next", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("sf", pa.int32()), ("token", pa.string()), ("place", pa.int32()), ("core", pa.string()), ("prev", pa.string()), ("next", pa.string())])
 
     def flush(columns: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     for b in batches:
         columns: list[list] = [[] for _ in schema]
-        ids, at_line, sfs, tokens, cores, many, before, after = columns
+        ids, at_line, sfs, tokens, many, cores, before, after = columns
         for i, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             if text and not text.isascii():
                 s = bucket(source) * FIELDS
-                for line, f, w, c, n, p, q in occurrences(text):
+                for line, f, w, n, c, p, q in occurrences(text):
                     ids.append(i)
                     at_line.append(line)
                     sfs.append(s + f)
@@ -430,7 +494,7 @@ def _candidates(model):
             if not b.num_rows:
                 continue
             tokens = b.column(0).to_pylist()
-            found = [list(repairs(t).items()) if "�" not in t else [] for t in tokens]
+            found = [list(repairs(t).items()) for t in tokens]
             texts = [v for t, c in zip(tokens, found) for v in (t, *(v for v, _ in c))]
             shapes = [shape(t) for t in texts]
             logs = likelihoods(shapes, counts) - np.array([odd(v) for v in texts])
@@ -481,13 +545,18 @@ def _round(model):
     return go
 
 
+def meaning(c: str) -> int:
+    """A core of whatever length as a number, by which a line is searched for what an example stands for."""
+    return int.from_bytes(hashlib.blake2b(c.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _verdicts(model):
     """Tokens that are likelier repaired, or lost, with the best repair for each source and field."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, prior = model.value
-        names = ["token", "sf", "repaired", "meant", "chain", "p", "llr", "kind"]
-        types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
+        names = ["token", "sf", "repaired", "meant", "letter", "chain", "p", "llr", "kind"]
+        types = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
         for x in _blocks(batches):
             logs, pair, cand, post = x.judge(counts, prior)
             tokens, texts = x.batch.column(0).to_pylist(), _flat(x.batch.column(3))[1].to_pylist()
@@ -508,10 +577,11 @@ def _verdicts(model):
                 token, v = tokens[x.sf_owner[k]], texts[j]
                 kind = "form" if BY_FORM[chains].any() or _C1.search(token) else "turn"
                 top = chains[int(np.argmax(prior[x.sf[k], chains]))]
-                rows.append((token, x.sf[k], v, core(v) if len(v) <= SHORT else None, CHAINS[top], 1 - clean[k], gain[j], kind))
+                c_v = core(v)
+                rows.append((token, x.sf[k], v, None if token.startswith(BOMS) else meaning(c_v), c_v if len(c_v) == 1 else None, CHAINS[top], 1 - clean[k], gain[j], kind))
             for k, o in enumerate(x.sf_owner):
                 if "�" in tokens[o]:
-                    rows.append((tokens[o], x.sf[k], None, None, LOST, 1.0, 20.0, LOST))
+                    rows.append((tokens[o], x.sf[k], None, None, None, LOST, 1.0, 20.0, LOST))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*rows), types)], names)
 
@@ -528,7 +598,7 @@ def _gather(parts: DataFrame) -> np.ndarray:
 
 @dataclass
 class Garbled:
-    """documents: (doc_id, score) of the altered ones; hits: their tokens; verdicts: tokens with their repairs; turned: lines altered by single-byte chains, with repairs."""
+    """documents: (doc_id, score) of the altered ones; hits: where their tokens stand; verdicts: tokens with their repairs; turned: lines altered by single-byte chains, with repairs."""
 
     documents: DataFrame
     hits: DataFrame
@@ -571,7 +641,7 @@ def learn(occ: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, tuple[np.nda
 
 _PAIRS = [(d, e) for d in SINGLE for e in SINGLE if d != e]
 _PAIR_CHAIN = np.array([NUMBER[f"{d}>{e}"] for d, e in _PAIRS])
-TURNED = "doc_id bigint, line int, score double, n_turn bigint, token string, repaired string"
+TURNED = "doc_id bigint, line int, place int, score double, n_turn bigint, repaired string"
 
 
 def _as_pair(c: str) -> list[str | None]:
@@ -636,8 +706,8 @@ def _turned(model):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, prior = model.value
         chars: dict[str, list] = {}
-        names = ["doc_id", "line", "score", "n_turn", "token", "repaired"]
-        types = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.string(), pa.string()]
+        names = ["doc_id", "line", "place", "score", "n_turn", "repaired"]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.string()]
         for b in batches:
             docs = b.column(1).to_pylist()
             tokens = sorted({x["token"] for xs in docs for x in xs if "\ufffd" not in x["token"]})
@@ -648,11 +718,11 @@ def _turned(model):
                 lines: dict[int, list] = {}
                 for x in sorted(xs, key=lambda x: (x["line"], x["place"])):
                     if x["token"] in number:
-                        lines.setdefault(x["line"], []).append((number[x["token"]], x["sf"]))
+                        lines.setdefault(x["line"], []).append((number[x["token"]], x["sf"], x["place"]))
                 total, pieces, seen = np.zeros(len(_PAIRS)), {}, set()
                 for l, ts in lines.items():
-                    m = odds[[t for t, _ in ts]]
-                    for r, (t, _) in enumerate(ts):
+                    m = odds[[t for t, _, _ in ts]]
+                    for r, (t, _, _) in enumerate(ts):
                         if t in seen:
                             m[r] = np.minimum(m[r], 0)
                         seen.add(t)
@@ -661,7 +731,7 @@ def _turned(model):
                     pieces[l] = value, lo, hi
                 if not pieces:
                     continue
-                sfs = sorted({sf for ts in lines.values() for _, sf in ts})
+                sfs = sorted({sf for ts in lines.values() for _, sf, _ in ts})
                 known = np.log(prior[sfs][:, _PAIR_CHAIN]).max(0) - np.log(prior[sfs, IDENTITY]).max()
                 log_odds = total + np.maximum(known, UNKNOWN)
                 k = int(np.argmax(log_odds))
@@ -669,13 +739,13 @@ def _turned(model):
                     continue
                 score = float(1 / (1 + np.exp(-log_odds[k])))
                 for l, (value, lo, hi) in pieces.items():
-                    ts = [t for t, _ in lines[l]]
+                    ts = [(t, at) for t, _, at in lines[l]]
                     if value[k] > 0:
-                        put = [t for t in ts[lo[k] : hi[k] + 1] if odds[t, k] != 0]
+                        put = [(t, at) for t, at in ts[lo[k] : hi[k] + 1] if odds[t, k] != 0]
                     else:
-                        put = [t for t in ts if odds[t, k] > 0 and texts[t][k] is not None] if all(odds[t, k] >= 0 for t in ts) else []
-                    for t in sorted(set(put)):
-                        rows.append((i, l, score, len(put), tokens[t], texts[t][k]))
+                        put = [(t, at) for t, at in ts if odds[t, k] > 0 and texts[t][k] is not None] if all(odds[t, k] >= 0 for t, _ in ts) else []
+                    for t, at in put:
+                        rows.append((i, l, at, score, len(put), texts[t][k]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*rows), types)], names)
 
@@ -710,26 +780,29 @@ def _scores(hits: DataFrame, turned: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.greatest("one", together).alias("score"), "lines", "most")
 
 
-def _quoted(hits: DataFrame, occ: DataFrame) -> DataFrame:
-    """(doc_id, line, token) of hits that are examples: a page that speaks of such characters.
+def _quoted(hits: DataFrame, context: DataFrame, occ: DataFrame) -> DataFrame:
+    """(doc_id, line, place) of hits that are examples: a page that speaks of such characters.
 
-    An example names what it stands for in the same line; or it is one character alone between words
+    An example names what it stands for in the same line (a byte order mark is none); or it is one character alone between words
     between which that character never stands elsewhere, and either different characters are quoted
     between the same words, or it is a letter that is no word beside either of them, or it is lost between
     ordinary words beside neither of which any letter is a word. Copies of a page are no evidence.
+
+    context has the tokens of the hits' documents, of whatever length; occ those of all documents, with the
+    neighbours of single characters.
     """
-    hits = hits.where(F.col("kind") != "turn")
-    one = hits.where((F.length("meant") == 1) | (F.col("kind") == LOST)).where(F.col("prev").isNotNull())
-    named = hits.where(F.col("meant").isNotNull()).select("doc_id", "line", F.col("meant").alias("core")).distinct()
-    there = lookup_join(occ.where(F.col("core").isNotNull()).select("doc_id", "line", "core"), named, ["doc_id", "line", "core"], "left_semi", spread=F.col("doc_id")).distinct()
-    pairs = hits.join(there.withColumnRenamed("core", "meant"), ["doc_id", "line", "meant"], "left_semi").select("doc_id", "line", "token")
-    places = one.groupBy("prev", "next").agg(F.countDistinct("meant").alias("kinds"))
-    alone = occ.where((F.length("core") == 1) & (F.col("core") != "�") & F.col("prev").isNotNull()).select("prev", "next", "core", "doc_id")
+    at = ["doc_id", "line", "place"]
+    hits = hits.where(F.col("kind") != "turn").join(context, at)
+    one = hits.where(F.col("letter").isNotNull() | (F.col("kind") == LOST))
+    there = context.select("doc_id", "line", meaning_of("core").alias("meant")).distinct()
+    pairs = hits.join(there, ["doc_id", "line", "meant"], "left_semi").select(*at)
+    places = one.groupBy("prev", "next").agg(F.countDistinct("letter").alias("kinds"))
+    alone = occ.where(F.col("core").isNotNull() & (F.col("core") != "\ufffd")).select("prev", "next", "core", "doc_id")
     seen = lookup_join(alone, places.drop("kinds"), ["prev", "next"], "left_semi", spread=F.col("doc_id")).select("prev", "next", "core").distinct()
     letter = F.col("core").rlike(r"^\p{L}$")
-    exact = seen.withColumnRenamed("core", "meant")
+    exact = seen.withColumnRenamed("core", "letter")
     marks = seen.where(~letter).select("prev", "next").distinct()
-    lone = one.where(F.col("kind") != LOST).join(exact, ["prev", "next", "meant"], "left_anti").select(*one.columns)
+    lone = one.where(F.col("kind") != LOST).join(exact, ["prev", "next", "letter"], "left_anti").select(*one.columns)
     gone = one.where(F.col("kind") == LOST).join(marks, ["prev", "next"], "left_anti").select(*one.columns)
     plain = F.col("prev").rlike("^[a-z]+$") & F.col("next").rlike("^[a-z]+$")
     unseen = lone.unionByName(gone).join(places, ["prev", "next"])
@@ -738,9 +811,19 @@ def _quoted(hits: DataFrame, occ: DataFrame) -> DataFrame:
         words = lookup_join(alone.where(letter).select(side, "core", "doc_id"), unseen.select(side).distinct(), [side], "left_semi", spread=F.col("doc_id"))
         unseen = unseen.join(words.groupBy(side).agg(F.collect_set("core").alias(f"words_{side}")), side, "left")
     words = F.concat(*(F.coalesce(f"words_{side}", F.array().cast("array<string>")) for side in ("prev", "next")))
-    stray = F.coalesce(F.col("meant").rlike(r"^\p{L}$") & ~F.array_contains(words, F.col("meant")), F.lit(False))
-    example = unseen.where((F.col("kinds") > 1) | stray | ((F.col("kind") == LOST) & plain & (F.col("core") == "�") & (F.size(words) == 0)))
-    return pairs.unionByName(example.select("doc_id", "line", "token")).distinct()
+    stray = F.coalesce(F.col("letter").rlike(r"^\p{L}$") & ~F.array_contains(words, F.col("letter")), F.lit(False))
+    example = unseen.where((F.col("kinds") > 1) | stray | ((F.col("kind") == LOST) & plain & (F.col("core") == "\ufffd") & (F.size(words) == 0)))
+    return pairs.unionByName(example.select(*at)).distinct()
+
+
+def meaning_of(col: str):
+    """meaning() of a column."""
+
+    @F.arrow_udf("bigint")
+    def hashed(a: pa.Array) -> pa.Array:
+        return pa.array([None if c is None else meaning(c) for c in a.to_pylist()], pa.int64())
+
+    return hashed(F.col(col))
 
 
 def find_garbled(docs: DataFrame, rounds: int = ROUNDS) -> Garbled:
@@ -754,8 +837,8 @@ def find_garbled(docs: DataFrame, rounds: int = ROUNDS) -> Garbled:
     occ = cut(docs.select("doc_id", "source", "text").mapInArrow(_find_occurrences, OCC), "occurrences")
     verdicts, arrays = learn(occ, rounds)
     # narrow rows of a fixed width, so that a bound on their number is one on their size
-    keyed = verdicts.select(F.xxhash64("token").alias("h"), "sf", "p", "llr", "kind", "meant")
-    named = occ.withColumn("h", F.xxhash64("token")).select("doc_id", "line", "sf", "h", "prev", "next", "core", F.when(F.length("token") <= SHORT, F.col("token")).alias("token"))
+    keyed = verdicts.select(F.xxhash64("token").alias("h"), "sf", "p", "llr", "kind", "meant", "letter")
+    named = occ.withColumn("h", F.xxhash64("token")).select("doc_id", "line", "place", "sf", "h")
     hits = cut(lookup_join(named, keyed, ["h", "sf"], "inner", spread=F.xxhash64("doc_id", "line")), "hits")
     suspects = hits.where(F.col("kind") == "turn").select("doc_id", "line").distinct()
     # a document's suspect lines: never more than its own text
@@ -768,13 +851,17 @@ def find_garbled(docs: DataFrame, rounds: int = ROUNDS) -> Garbled:
     # a few clear tokens in one or two lines may be examples; more than that is no example
     open_docs = scores.where((F.col("lines") <= 2) & (F.col("most") <= 2)).select("doc_id")
     open_hits = cut(hits.join(open_docs, "doc_id", "left_semi"), "open")
-    clear = open_hits.where(F.col("token").isNotNull() & (F.col("p") >= 0.02))
-    quotes = _quoted(clear, occ)
-    rest = open_hits.join(quotes, ["doc_id", "line", "token"], "left_anti")
+    clear = open_hits.where(F.col("p") >= 0.02)
+    texts = lookup_join(docs.select("doc_id", "text"), open_docs, ["doc_id"], "left_semi", spread=F.xxhash64("text"))
+    # repeated ids are one document
+    context = cut(texts.mapInArrow(_contexts, CONTEXT).distinct(), "context")
+    quotes = cut(_quoted(clear, context, occ), "quotes")
+    at = ["doc_id", "line", "place"]
+    rest = open_hits.join(quotes, at, "left_anti")
     sure = scores.join(open_docs, "doc_id", "left_anti").select("doc_id", "score")
     checked = _scores(rest, turned.join(open_docs, "doc_id", "left_semi")).where(F.col("score") >= 0.5).select("doc_id", "score")
     found = cut(sure.unionByName(checked), "garbled")
-    real = hits.join(quotes, ["doc_id", "line", "token"], "left_anti").join(found.select("doc_id"), "doc_id", "left_semi")
+    real = lookup_join(hits, quotes, at, "left_anti", spread=F.col("h")).join(found.select("doc_id"), "doc_id", "left_semi")
     return Garbled(found, real, verdicts, turned)
 
 
@@ -782,25 +869,36 @@ def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = []
         for text, pairs in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            to = {p["token"]: p["repaired"] for p in pairs or []}
-            texts.append("\n".join("".join(to.get(w, w) for w in re.split("([ \t\r\f\v]+)", l)) for l in text.split("\n")) if to else text)
+            to: dict[int, dict[int, str]] = {}
+            for p in pairs or []:
+                to.setdefault(p["line"], {})[p["place"]] = p["repaired"]
+            lines = text.split("\n") if to else []
+            for i, new in to.items():
+                if i < len(lines):
+                    spans = list(tokens_of(lines[i]))
+                    for n in sorted((n for n in new if n < len(spans)), reverse=True):
+                        a, z = spans[n]
+                        lines[i] = lines[i][:a] + new[n] + lines[i][z:]
+            texts.append("\n".join(lines) if to else text)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
 
 def repaired(docs: DataFrame, g: Garbled) -> DataFrame:
-    """(doc_id, text) of the altered documents, each token replaced by its likeliest meaning.
+    """(doc_id, text) of the altered documents, each token replaced, in its place, by its likeliest meaning.
 
-    Tokens with a posterior below one half stay as they are, but for those that show UTF-8 by their form,
-    and so do lost ones. The tokens of one
-    document are gathered beside its text, of which they are a part.
+    Tokens with a posterior below one half stay as they are, but for those that show UTF-8 by their form;
+    of a token that is lost in part the rest is repaired. A token that is quoted as an example stays,
+    also where the same token is damage in another line. The places of one document are gathered
+    beside its text, of which they are a part.
     """
     likely = (F.col("p") >= 0.5) | ((F.col("kind") == "form") & (F.col("llr") >= 2))
-    sure = g.hits.where(likely & (F.col("kind") != LOST)).select("doc_id", "h", "sf").distinct()
-    by = g.verdicts.where(F.col("repaired").isNotNull()).select(F.xxhash64("token").alias("h"), "sf", "token", "repaired")
-    told = sure.join(by, ["h", "sf"]).select("doc_id", "token", "repaired")
+    at = ["doc_id", "line", "place"]
+    sure = g.hits.where(likely & (F.col("kind") != LOST)).select(*at, "h", "sf").distinct()
+    by = g.verdicts.where(F.col("repaired").isNotNull()).select(F.xxhash64("token").alias("h"), "sf", "repaired")
+    told = sure.join(by, ["h", "sf"]).select(*at, "repaired")
     # the chain of a whole line goes before the likeliest one of a token alone
-    chained = g.turned.where(F.col("repaired").isNotNull()).select("doc_id", "token", "repaired").distinct()
-    told = told.join(chained, ["doc_id", "token"], "left_anti").unionByName(chained)
-    each = told.groupBy("doc_id").agg(F.collect_set(F.struct("token", "repaired")).alias("pairs"))
+    chained = g.turned.where(F.col("repaired").isNotNull()).select(*at, "repaired").distinct()
+    told = told.join(chained, at, "left_anti").unionByName(chained)
+    each = told.groupBy("doc_id").agg(F.collect_set(F.struct("line", "place", "repaired")).alias("pairs"))
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(g.documents.select("doc_id"), "doc_id", "left_semi")
     return texts.join(each, "doc_id", "left").select("doc_id", "text", "pairs").mapInArrow(_replace, "doc_id bigint, text string")
