@@ -189,9 +189,15 @@ _ODD = re.compile(
 )
 
 
+_SIGN = re.compile(f"[{_SIGNS}\u00b2\u00b3\u00b9]|[\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{{4}}")
+_OF_SCRIPT = [re.compile(f"[{x}]") for x in _SCRIPTS]
+
+
 def odd(v: str) -> float:
     """What symbols inside a word, mixed scripts and runs of accents speak against v, in natural logs."""
-    return 0.0 if v.isascii() else ODD * min(MOST_ODD, len(_ODD.findall(v)))
+    if v.isascii() or not _SIGN.search(v) and sum(bool(x.search(v)) for x in _OF_SCRIPT) < 2:
+        return 0.0
+    return ODD * min(MOST_ODD, len(_ODD.findall(v)))
 
 
 _DIGITS = re.compile("[0-9]+")
@@ -300,7 +306,7 @@ _TOKEN = re.compile("[^ \t\r\f\v]*[^\x00-\x7f][^ \t\r\f\v]*")
 _MARKS = "“”„\"'‚‘’«»‹›().,;:!?¿¡<>[]{}|*_ \xa0\xad"
 OCC = "doc_id bigint, line int, sf int, token string, place int, core string, prev string, next string"
 CONTEXT = "doc_id bigint, line int, place int, core string, prev string, next string"
-HITS = "token string, sf int, repaired string, meant bigint, letter string, chain string, p double, llr double, kind string"
+HITS = "token string, sf int, repaired string, meant bigint, letter string, chain string, p double, llr double, most double, kind string"
 #: A run without wide characters that has a letter or sign of the smaller scripts: such a run within a text of wide
 #: characters, which needs no spaces, is a token of its own.
 _WIDE_SET = "\u1100-\u11ff\u2e80-\u9fff\uac00-\ud7ff\uf900-\ufaff\uff00-\uffef"
@@ -451,7 +457,7 @@ class Block:
     """A batch of types with their candidates, flat; the first candidate of each is the token itself.
 
     Columns: token, sf list, n list, texts list (token first), shapes list, chains list (all candidates' one
-    after the other), sizes list (how many chains each candidate has).
+    after the other), sizes list (how many chains each candidate has), odds list (what odd() says of each).
     """
 
     def __init__(self, b: pa.RecordBatch):
@@ -469,7 +475,7 @@ class Block:
         self.of = np.repeat(np.arange(len(self.sizes)), self.sizes)
         control = [bool(_C1.search(t)) for t in b.column(0).to_pylist()]
         self.control = CONTROL * np.array(control, dtype=float)
-        self.odd = np.array([odd(v) for v in _flat(b.column(3))[1].to_pylist()])
+        self.odd = _flat(b.column(7))[1].to_numpy(zero_copy_only=False).astype(float)
 
     def judge(self, counts: np.ndarray, prior: np.ndarray):
         """Log likelihoods; and pair, candidate and posterior of every candidate of every pair."""
@@ -482,7 +488,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     return (Block(b) for b in batches if b.num_rows)
 
 
-CANDIDATES = "token string, sf array<int>, n array<bigint>, texts array<string>, shapes array<string>, chains array<int>, sizes array<int>"
+CANDIDATES = "token string, sf array<int>, n array<bigint>, texts array<string>, shapes array<string>, chains array<int>, sizes array<int>, odds array<float>"
 
 
 def _candidates(model):
@@ -497,23 +503,24 @@ def _candidates(model):
             found = [list(repairs(t).items()) for t in tokens]
             texts = [v for t, c in zip(tokens, found) for v in (t, *(v for v, _ in c))]
             shapes = [shape(t) for t in texts]
-            logs = likelihoods(shapes, counts) - np.array([odd(v) for v in texts])
+            odds = [odd(v) for v in texts]
+            logs = likelihoods(shapes, counts) - np.array(odds)
             width = np.array([len(c) + 1 for c in found])
             owner = np.repeat(np.arange(len(tokens)), width)
             best = np.full(len(tokens), -np.inf)
             np.maximum.at(best, owner, logs)
             keep = logs > best[owner] - TRAIL
             keep[np.cumsum(width) - width] = True
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             at = 0
             for c in found:
                 kept = [k for k in range(len(c) + 1) if keep[at + k]]
                 chains = [c[k - 1][1] if k else [IDENTITY] for k in kept]
-                for column, x in zip(out, ([texts[at + k] for k in kept], [shapes[at + k] for k in kept], [x for cs in chains for x in cs], [len(cs) for cs in chains])):
+                for column, x in zip(out, ([texts[at + k] for k in kept], [shapes[at + k] for k in kept], [x for cs in chains for x in cs], [len(cs) for cs in chains], [odds[at + k] for k in kept])):
                     column.append(x)
                 at += len(c) + 1
-            kinds = [pa.list_(pa.string())] * 2 + [pa.list_(pa.int32())] * 2
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array(x, t) for x, t in zip(out, kinds)]], ["token", "sf", "n", "texts", "shapes", "chains", "sizes"])
+            kinds = [pa.list_(pa.string())] * 2 + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.float32())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array(x, t) for x, t in zip(out, kinds)]], ["token", "sf", "n", "texts", "shapes", "chains", "sizes", "odds"])
 
     return go
 
@@ -555,8 +562,8 @@ def _verdicts(model):
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, prior = model.value
-        names = ["token", "sf", "repaired", "meant", "letter", "chain", "p", "llr", "kind"]
-        types = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
+        names = ["token", "sf", "repaired", "meant", "letter", "chain", "p", "llr", "most", "kind"]
+        types = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
         for x in _blocks(batches):
             logs, pair, cand, post = x.judge(counts, prior)
             tokens, texts = x.batch.column(0).to_pylist(), _flat(x.batch.column(3))[1].to_pylist()
@@ -569,6 +576,9 @@ def _verdicts(model):
             p, c = p[order], c[order]
             firsts = np.flatnonzero(np.diff(p, prepend=-1))
             gain = logs - logs[x.identity[x.owner]]
+            # no chain's log odds of a token are above that
+            most = np.zeros(len(x.identity))
+            np.maximum.at(most, x.owner, gain)
             # what turns letters into letters is weighed by lines, so it may be unlikely token by token
             firsts = firsts[(gain[c[firsts]] > 1) & ((1 - clean[p[firsts]] > 1e-4) | ~np.array([BY_FORM[x.flat[start[j] : start[j] + x.sizes[j]]].any() for j in c[firsts]], dtype=bool))]
             rows = []
@@ -578,10 +588,10 @@ def _verdicts(model):
                 kind = "form" if BY_FORM[chains].any() or _C1.search(token) else "turn"
                 top = chains[int(np.argmax(prior[x.sf[k], chains]))]
                 c_v = core(v)
-                rows.append((token, x.sf[k], v, None if token.startswith(BOMS) else meaning(c_v), c_v if len(c_v) == 1 else None, CHAINS[top], 1 - clean[k], gain[j], kind))
+                rows.append((token, x.sf[k], v, None if token.startswith(BOMS) else meaning(c_v), c_v if len(c_v) == 1 else None, CHAINS[top], 1 - clean[k], gain[j], most[x.owner[j]], kind))
             for k, o in enumerate(x.sf_owner):
                 if "�" in tokens[o]:
-                    rows.append((tokens[o], x.sf[k], None, None, None, LOST, 1.0, 20.0, LOST))
+                    rows.append((tokens[o], x.sf[k], None, None, None, LOST, 1.0, 20.0, 0.0, LOST))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*rows), types)], names)
 
@@ -641,43 +651,71 @@ def learn(occ: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, tuple[np.nda
 
 _PAIRS = [(d, e) for d in SINGLE for e in SINGLE if d != e]
 _PAIR_CHAIN = np.array([NUMBER[f"{d}>{e}"] for d, e in _PAIRS])
+_PAIR_READ, _PAIR_MEANT = (np.array([SINGLE.index(p[i]) for p in _PAIRS]) for i in (0, 1))
 TURNED = "doc_id bigint, line int, place int, score double, n_turn bigint, repaired string"
 
 
-def _as_pair(c: str) -> list[str | None]:
-    """The character that each pair of encodings makes of c; None where the reading cannot have produced it."""
-    return [None if (at := TABLE[d].find(c)) < 0 else TABLE[e][at] for d, e in _PAIRS]
-
-
-def weigh(tokens: list[str], counts: np.ndarray, chars: dict[str, list]) -> tuple[list[list[str | None]], np.ndarray]:
-    """Texts and log odds of every token under every pair of encodings; a token that a pair leaves as it is has 0."""
-    texts, forms, shapes, at = [], [], [], {}
-    for t in tokens:
-        beyond = sorted({c for c in t if c > "\x7f"})
-        for c in beyond:
-            if c not in chars:
-                chars[c] = _as_pair(c)
-        row, made = [], {}
-        for k in range(len(_PAIRS)):
-            to = tuple(chars[c][k] for c in beyond)
-            if to not in made:
-                made[to] = None if None in to or any("\x80" <= x <= "\x9f" for x in to) else t.translate({ord(c): x for c, x in zip(beyond, to)})
-            row.append(made[to])
-        texts.append(row)
-        forms.append([v for d in SINGLE if (v := _utf8(t, d))])
-        for v in {t, *forms[-1], *(v for v in row if v is not None)}:
+class Weighed:
+    """Tokens under every pair of encodings: text() is what a pair makes of one, odds its log odds.
+
+    A token that a pair leaves as it is has 0; one that the reading cannot have produced, or that the pair
+    turns into what no text has, AGAINST. A token has few different byte strings, one for each way in which
+    it can have been read, so these are decoded and weighed and not the pairs.
+    """
+
+    def __init__(self, tokens: list[str], counts: np.ndarray):
+        self.raws: list[list[bytes]] = []
+        self.odds = np.full((len(tokens), len(_PAIRS)), AGAINST)
+        self.read = np.full((len(tokens), len(SINGLE)), -1)
+        shapes, odds, at = [], [], {}
+
+        def number(v: str) -> int:
             if v not in at:
                 at[v] = len(shapes)
-                shapes.append(v)
-    logs = likelihoods([shape(v) for v in shapes], counts) - np.array([odd(v) for v in shapes]) if shapes else np.zeros(0)
-    out = np.full((len(tokens), len(_PAIRS)), AGAINST)
-    for i, (t, row) in enumerate(zip(tokens, texts)):
-        # where UTF-8 shows by its form, the pair has to beat that too
-        base = max([logs[at[t]] - CONTROL * bool(_C1.search(t)), *(logs[at[v]] for v in forms[i])])
-        for k, v in enumerate(row):
-            if v is not None:
-                out[i, k] = 0.0 if v == t else max(AGAINST, logs[at[v]] - base)
-    return texts, out
+                shapes.append(shape(v))
+                odds.append(odd(v))
+            return at[v]
+
+        rows = []
+        for i, t in enumerate(tokens):
+            raws: dict[bytes, int] = {}
+            forms = [number(t)]
+            for d, name in enumerate(SINGLE):
+                v = _utf8(t, name)
+                if v:
+                    forms.append(number(v))
+                try:
+                    self.read[i, d] = raws.setdefault(codecs.charmap_encode(t, "strict", MAP[name])[0], len(raws))
+                except UnicodeEncodeError:
+                    pass
+            self.raws.append(list(raws))
+            texts = np.full((len(raws), len(SINGLE)), -1)
+            for r, raw in enumerate(raws):
+                for e, name in enumerate(SINGLE):
+                    v = codecs.charmap_decode(raw, "strict", TABLE[name])[0]
+                    if v == t or not _C1.search(v):
+                        texts[r, e] = number(v)
+            rows.append((forms, texts, bool(_C1.search(t))))
+        logs = likelihoods(shapes, counts) - np.array(odds) if shapes else np.zeros(0)
+        for i, (forms, texts, control) in enumerate(rows):
+            if not len(texts):
+                continue
+            # where UTF-8 shows by its form, the pair has to beat that too
+            base = max([logs[forms[0]] - CONTROL * control, *(logs[v] for v in forms[1:])])
+            value = np.where(texts < 0, AGAINST, np.maximum(AGAINST, logs[texts] - base))
+            value[texts == forms[0]] = 0.0
+            of = self.read[i][_PAIR_READ]
+            self.odds[i] = np.where(of < 0, AGAINST, value[of, _PAIR_MEANT])
+
+    def text(self, i: int, k: int) -> str | None:
+        r = self.read[i, _PAIR_READ[k]]
+        return None if r < 0 else codecs.charmap_decode(self.raws[i][r], "strict", TABLE[SINGLE[_PAIR_MEANT[k]]])[0]
+
+
+def least_needed(prior: np.ndarray) -> float:
+    """Log odds that a document's tokens must give together before any pair of encodings can be likelier than none."""
+    known = np.log(prior[:, _PAIR_CHAIN]).max() - np.log(prior[:, IDENTITY]).min()
+    return -max(UNKNOWN, float(known))
 
 
 def best_pieces(odds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -705,13 +743,13 @@ def _turned(model):
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, prior = model.value
-        chars: dict[str, list] = {}
         names = ["doc_id", "line", "place", "score", "n_turn", "repaired"]
         types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.string()]
         for b in batches:
             docs = b.column(1).to_pylist()
             tokens = sorted({x["token"] for xs in docs for x in xs if "\ufffd" not in x["token"]})
-            texts, odds = weigh(tokens, counts, chars)
+            weighed = Weighed(tokens, counts)
+            odds = weighed.odds
             number = {t: i for i, t in enumerate(tokens)}
             rows = []
             for i, xs in zip(b.column(0).to_pylist(), docs):
@@ -743,9 +781,9 @@ def _turned(model):
                     if value[k] > 0:
                         put = [(t, at) for t, at in ts[lo[k] : hi[k] + 1] if odds[t, k] != 0]
                     else:
-                        put = [(t, at) for t, at in ts if odds[t, k] > 0 and texts[t][k] is not None] if all(odds[t, k] >= 0 for t, _ in ts) else []
+                        put = [(t, at) for t, at in ts if odds[t, k] > 0] if all(odds[t, k] >= 0 for t, _ in ts) else []
                     for t, at in put:
-                        rows.append((i, l, at, score, len(put), texts[t][k]))
+                        rows.append((i, l, at, score, len(put), weighed.text(t, k)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*rows), types)], names)
 
@@ -837,10 +875,13 @@ def find_garbled(docs: DataFrame, rounds: int = ROUNDS) -> Garbled:
     occ = cut(docs.select("doc_id", "source", "text").mapInArrow(_find_occurrences, OCC), "occurrences")
     verdicts, arrays = learn(occ, rounds)
     # narrow rows of a fixed width, so that a bound on their number is one on their size
-    keyed = verdicts.select(F.xxhash64("token").alias("h"), "sf", "p", "llr", "kind", "meant", "letter")
+    keyed = verdicts.select(F.xxhash64("token").alias("h"), "sf", "p", "llr", "most", "kind", "meant", "letter")
     named = occ.withColumn("h", F.xxhash64("token")).select("doc_id", "line", "place", "sf", "h")
     hits = cut(lookup_join(named, keyed, ["h", "sf"], "inner", spread=F.xxhash64("doc_id", "line")), "hits")
-    suspects = hits.where(F.col("kind") == "turn").select("doc_id", "line").distinct()
+    # documents whose tokens, each once, can give what a pair of encodings needs; in the others none can be likelier than none
+    gains = hits.where(F.col("kind") != LOST).groupBy("doc_id", "h").agg(F.max("most").alias("most"))
+    able = gains.groupBy("doc_id").agg(F.sum("most").alias("most")).where(F.col("most") >= least_needed(arrays[1])).select("doc_id")
+    suspects = cut(hits.where(F.col("kind") == "turn").select("doc_id", "line").distinct().join(able, "doc_id", "left_semi"), "suspects")
     # a document's suspect lines: never more than its own text
     near = lookup_join(occ.select("doc_id", "line", "sf", "place", "token"), suspects, ["doc_id", "line"], "left_semi", spread=F.xxhash64("doc_id", "line"))
     whole = near.groupBy("doc_id").agg(F.collect_set(F.struct("line", "place", "sf", "token")).alias("x"))
