@@ -830,20 +830,22 @@ def _quoted(hits: DataFrame, context: DataFrame, occ: DataFrame) -> DataFrame:
     neighbours of single characters.
     """
     at = ["doc_id", "line", "place"]
-    hits = hits.where(F.col("kind") != "turn").join(context, at)
+    # the documents that are in question are few; what is derived from them is kept as tables
+    hits = cut(hits.where(F.col("kind") != "turn").join(context, at), "quoted-hits")
     one = hits.where(F.col("letter").isNotNull() | (F.col("kind") == LOST))
     there = context.select("doc_id", "line", meaning_of("core").alias("meant")).distinct()
     pairs = hits.join(there, ["doc_id", "line", "meant"], "left_semi").select(*at)
-    places = one.groupBy("prev", "next").agg(F.countDistinct("letter").alias("kinds"))
-    alone = occ.where(F.col("core").isNotNull() & (F.col("core") != "\ufffd")).select("prev", "next", "core", "doc_id")
-    seen = lookup_join(alone, places.drop("kinds"), ["prev", "next"], "left_semi", spread=F.col("doc_id")).select("prev", "next", "core").distinct()
+    places = cut(one.groupBy("prev", "next").agg(F.countDistinct("letter").alias("kinds")), "places")
+    alone = occ.where(F.col("core").isNotNull() & (F.col("core") != "\ufffd")).groupBy("prev", "next", "core").agg(F.min("doc_id").alias("doc_id"))
+    alone = cut(alone, "alone")
+    seen = cut(lookup_join(alone, places.drop("kinds"), ["prev", "next"], "left_semi", spread=F.col("doc_id")).select("prev", "next", "core").distinct(), "seen")
     letter = F.col("core").rlike(r"^\p{L}$")
     exact = seen.withColumnRenamed("core", "letter")
     marks = seen.where(~letter).select("prev", "next").distinct()
     lone = one.where(F.col("kind") != LOST).join(exact, ["prev", "next", "letter"], "left_anti").select(*one.columns)
     gone = one.where(F.col("kind") == LOST).join(marks, ["prev", "next"], "left_anti").select(*one.columns)
     plain = F.col("prev").rlike("^[a-z]+$") & F.col("next").rlike("^[a-z]+$")
-    unseen = lone.unionByName(gone).join(places, ["prev", "next"])
+    unseen = cut(lone.unionByName(gone).join(places, ["prev", "next"]), "unseen")
     # letters that are words beside one of the neighbours, as a-grave is in French
     for side in ("prev", "next"):
         words = lookup_join(alone.where(letter).select(side, "core", "doc_id"), unseen.select(side).distinct(), [side], "left_semi", spread=F.col("doc_id"))
