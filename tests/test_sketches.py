@@ -12,6 +12,7 @@ from tidelog.operators import cms as K
 from tidelog.operators import hll as H
 from tidelog.operators import simhash as S
 
+# Two texts whose fingerprints' distance is known.
 APPLE = "If you wish to make an apple pie from scratch, you must first invent the universe."
 PECAN = "If you wish to make a pecan pie from scratch, you must first invent the universe."
 OTHER = "A completely different sentence about rivers, bridges and the price of copper in autumn."

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.hashing import fnv1a64_many, fnv_array, seeded_state, umod
@@ -88,6 +88,12 @@ def deserialize(blob: bytes) -> tuple[int, int, int, list[int], np.ndarray]:
     return m, k, size, seeds, np.frombuffer(blob[16 + 8 * k :], dtype=np.uint8)
 
 
+def places(spark: SparkSession, table: np.ndarray) -> DataFrame:
+    """(pos): the set bits of a bitmap."""
+    at = np.flatnonzero(np.unpackbits(table, bitorder="little")).astype(np.int64)
+    return spark.createDataFrame(pa.table({"pos": pa.array(at)}))
+
+
 def native(df: DataFrame, key: str, n: int, p: float):
     """The engine's own filter, built in the JVM with treeAggregate; .mightContain(x) probes it."""
     return df._jdf.stat().bloomFilter(key, n, p)

@@ -28,6 +28,12 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
     return published.groupBy(*IDENTITY).agg(F.count(F.lit(1)).alias("records"), F.count("crc").alias("with_crc"), F.sum(F.length("value")).alias("value_bytes"))
 
 
+def p1_totals(spark: SparkSession, d: str) -> DataFrame:
+    """One row: tables consolidated, their blocks' bytes as listed, and the records in the published files."""
+    out = _consolidated(spark, d)
+    return out.plan.agg(F.count(F.lit(1)).alias("tables"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("listed_bytes")).select("tables", "listed_bytes", F.lit(spark.read.parquet(out.path).count()).cast("bigint").alias("records"))
+
+
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     """One row: tables consolidated, their blocks' bytes as listed, files written, records in them."""
     out = _consolidated(spark, d)
@@ -69,7 +75,7 @@ def p3_state(spark: SparkSession, d: str) -> DataFrame:
     return _state(spark, d).read().select("store_id", "key", "ts", "seq", F.hex("value").alias("value_hex"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_report, p2_found, p2_changes, p3_found, p3_state)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_totals, p1_report, p2_found, p2_changes, p3_found, p3_state)}
 
 _SMALL = """
 WITH listed AS (
@@ -109,6 +115,8 @@ ORACLE = {
     "p1_found": _SMALL + "SELECT store_id, level, table_id FROM small",
     "p1_records": _SMALL
     + "SELECT r.store_id, r.level, r.table_id, count(*) AS records, count(crc) AS with_crc, CAST(sum(octet_length(value)) AS BIGINT) AS value_bytes FROM sst_records r JOIN small s ON r.store_id = s.store_id AND r.level = s.level AND r.table_id = s.table_id GROUP BY ALL",
+    "p1_totals": _SMALL
+    + "SELECT count(*) AS tables, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS listed_bytes, (SELECT count(*) FROM sst_records r JOIN small s ON r.store_id = s.store_id AND r.level = s.level AND r.table_id = s.table_id) AS records FROM small",
     "p2_found": _POSITION + "SELECT DISTINCT store_id, seq FROM new",
     "p2_changes": _POSITION
     + "SELECT store_id, seq, file_name, file_offset, ts, tombstone, key FROM (SELECT *, row_number() OVER (PARTITION BY store_id, seq ORDER BY file_name DESC, file_offset DESC) AS rn FROM firsts) WHERE rn = 1",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidelog.functions.encoding import le8
 from tidelog.functions.hashing import seeded_state
 from tidelog.operators import bloom as B
 from tidelog.operators import cms as K
@@ -115,6 +116,55 @@ def native_bloom(spark, d):
     return spark.createDataFrame([(int(f.bitSize()), bool(f.mightContain(-1)))], "bits bigint, has_minus_one boolean")
 
 
+def bloom_bytes(spark, d):
+    """The filter of finished orders as it is stored."""
+    keys, m, k = _finished(spark, d)
+    blob = B.serialize(m, k, keys.distinct().count(), SEED, B.bitmap(B.build(keys, "o_orderkey", m, k, SEED), m))
+    return spark.createDataFrame([(blob.hex(),)], "bytes_hex string")
+
+
+def bloom_restored(spark, d):
+    """The places of the set bits in a filter that was stored and read again."""
+    keys, m, k = _finished(spark, d)
+    _, _, _, _, bits = B.deserialize(B.serialize(m, k, 0, SEED, B.bitmap(B.build(keys, "o_orderkey", m, k, SEED), m)))
+    return B.places(spark, bits)
+
+
+def cms_bytes(spark, d):
+    """The sketch of line items' parts as it is stored, one byte a counter."""
+    return spark.createDataFrame([(K.serialize(_cms(spark, d), CR, CC, SEED).hex(),)], "bytes_hex string")
+
+
+def cms_restored(spark, d):
+    """Cells that aren't 0 in a sketch that was stored and read again."""
+    _, _, _, cells = K.deserialize(K.serialize(_cms(spark, d), CR, CC, SEED))
+    return spark.createDataFrame([(i, c, int(n)) for i, row in enumerate(cells.tolist()) for c, n in enumerate(row) if n], "row int, col bigint, cnt bigint")
+
+
+def hll_bytes(spark, d):
+    """The registers of line items' orders as they are stored."""
+    regs = {r["bucket"]: r["reg"] for r in H.registers(table(spark, d, "lineitem"), "l_orderkey", P, SEED).toLocalIterator()}
+    return spark.createDataFrame([(H.serialize(regs, P, SEED).hex(),)], "bytes_hex string")
+
+
+def hll_restored(spark, d):
+    """Registers that were stored and read again."""
+    regs = {r["bucket"]: r["reg"] for r in H.registers(table(spark, d, "lineitem"), "l_orderkey", P, SEED).toLocalIterator()}
+    _, back, _ = H.deserialize(H.serialize(regs, P, SEED))
+    return spark.createDataFrame(list(back.items()), "bucket bigint, reg int")
+
+
+def simhash_bytes(spark, d):
+    """Each fingerprint as it is stored, eight bytes, least significant first."""
+    return S.fingerprints(table(spark, d, "documents")).where("fingerprint IS NOT NULL").select(F.col("id").alias("doc_id"), F.hex(le8(F.col("fingerprint"))).alias("bytes_hex"))
+
+
+def native_bound(spark, d):
+    """Whether the engine's own distinct count of line items' orders lies within five standard errors of the exact one."""
+    got = table(spark, d, "lineitem").agg(F.hll_sketch_estimate(F.hll_sketch_agg("l_orderkey", F.lit(12))).alias("e"), F.countDistinct("l_orderkey").alias("n"))
+    return got.select((F.abs(F.col("e") - F.col("n")) <= 5 * H.standard_error(12) * F.col("n")).alias("within"))
+
+
 def simhash_fingerprint(spark, d):
     return S.fingerprints(table(spark, d, "documents")).select(F.col("id").alias("doc_id"), "fingerprint")
 
@@ -173,7 +223,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bloom_params, bloom_build, bloom_probe, bloom_probe_joined, cms_params, cms_build, cms_estimate, cms_estimate_mod256, hll_registers, hll_estimate, hll_estimate_by_group, hll_union,
-        native_hll, native_cms, native_bloom, simhash_fingerprint, simhash_hamming, simhash_classes, simhash_near_dups, simhash_features, token_bucket_admit, token_bucket_each, lru_hits,
+        native_hll, native_cms, native_bloom, native_bound, bloom_bytes, bloom_restored, cms_bytes, cms_restored, hll_bytes, hll_restored, simhash_bytes, simhash_fingerprint, simhash_hamming, simhash_classes, simhash_near_dups, simhash_features, token_bucket_admit, token_bucket_each, lru_hits,
     )
 }
 
@@ -235,6 +285,13 @@ w AS (SELECT limiter, min(ts) AS s FROM e GROUP BY 1
 placed AS (SELECT e.*, w.s AS window_start FROM e ASOF JOIN (SELECT * FROM w WHERE s IS NOT NULL) w ON e.limiter = w.limiter AND e.ts >= w.s),
 got AS (SELECT limiter, ts, n, window_start, CAST(greatest(0, least(n, {TOKENS} - coalesce(sum(n) OVER (PARTITION BY limiter, window_start ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS allowed FROM placed)
 """
+
+
+def _le(x, n: int) -> str:
+    """A number as n bytes in hex, least significant first."""
+    return "(" + " || ".join(f"substr(printf('%016x', {x}), {i}, 2)" for i in range(15, 15 - 2 * n, -2)) + ")"
+
+
 ORACLE = {
     "bloom_params": "SELECT n, p, CAST(ceil(n * abs(ln(p)) / pow(ln(2), 2)) AS BIGINT) AS m, CAST(ceil(ceil(n * abs(ln(p)) / pow(ln(2), 2)) / n * ln(2)) AS BIGINT) AS k FROM (VALUES (1000::BIGINT, 0.1::DOUBLE), (1000, 0.01), (20000, 0.01), (1000000, 0.001)) t(n, p)",
     "bloom_build": _BITS,
@@ -254,6 +311,18 @@ ORACLE = {
   WHERE fingerprint IS NOT NULL WINDOW w AS (PARTITION BY url ORDER BY fetched_at, doc_id)) WHERE other IS NOT NULL""",
     "simhash_classes": f"SELECT doc_id, class_id FROM {_PRINTS} JOIN {_CLASS} USING (fingerprint)",
     "simhash_near_dups": f"SELECT a.class_id AS a, b.class_id AS b, CAST(bit_count(xor(a.fingerprint, b.fingerprint)) AS BIGINT) AS distance FROM {_CLASS} a JOIN {_CLASS} b ON a.class_id < b.class_id WHERE bit_count(xor(a.fingerprint, b.fingerprint)) <= 3",
+    "bloom_bytes": f"""WITH bits AS ({_BITS}), m AS (SELECT {BM}::BIGINT AS m, (SELECT count(*) FROM ({_F_KEYS})) AS n),
+bytes AS (SELECT pos // 8 AS byte, CAST(sum(1 << (pos % 8)::INTEGER) AS BIGINT) AS v FROM bits GROUP BY 1)
+SELECT {_le('m', 4)} || {_le(BK, 4)} || {_le('n', 4)} || {' || '.join(_le(SEED + i, 8) for i in range(BK))} || {_le('m', 4)} ||
+  (SELECT string_agg(printf('%02x', coalesce(v, 0)), '' ORDER BY i) FROM range(0, ((SELECT m FROM m) + 7) // 8) r(i) LEFT JOIN bytes ON byte = i) AS bytes_hex FROM m""",
+    "bloom_restored": _BITS,
+    "cms_bytes": f"""SELECT {_le(CR, 4)} || {_le(CC, 4)} || {' || '.join(_le(SEED + i, 8) for i in range(CR))} ||
+  (SELECT string_agg(printf('%02x', coalesce(cnt, 0) % 256), '' ORDER BY i) FROM range(0, {CR * CC}) r(i) LEFT JOIN {_CELLS} ON row * {CC} + col = i) AS bytes_hex""",
+    "cms_restored": f"SELECT row, col, cnt % 256 AS cnt FROM {_CELLS} WHERE cnt % 256 > 0",
+    "hll_bytes": f"""SELECT {_le(P, 4)} || {_le(1 << P, 4)} || string_agg(printf('%02x', coalesce(reg, 0)) || '000000', '' ORDER BY i) || '{'00' * 8}' || {_le(SEED, 8)} AS bytes_hex FROM range(0, {1 << P}) r(i) LEFT JOIN {_hll('lineitem', 'l_orderkey')} ON bucket = i""",
+    "hll_restored": f"SELECT bucket, reg FROM {_hll('lineitem', 'l_orderkey')}",
+    "simhash_bytes": f"SELECT doc_id, upper({_le('fingerprint', 8)}) AS bytes_hex FROM {_PRINTS} WHERE fingerprint IS NOT NULL",
+    "native_bound": "SELECT true AS within",
     "simhash_features": f"""WITH hashed AS (SELECT k, CAST({fnv_sql('k', S.SEED)} AS UBIGINT) AS h FROM ({_COUNTED})),
 votes AS (SELECT l_orderkey, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM lineitem JOIN hashed ON k = l_partkey::VARCHAR, (SELECT unnest(range(0, 64))::UBIGINT AS i) GROUP BY ALL),
 sums AS (SELECT l_orderkey, sum(CASE WHEN v > 0 THEN 1::HUGEINT << i::INTEGER ELSE 0::HUGEINT END)::HUGEINT AS f FROM votes GROUP BY 1)
