@@ -121,7 +121,10 @@ def test_chain_that_shares_most_letters(spark):
 
 
 def test_best_pieces():
-    best, lo, hi = G.best_pieces(np.array([[-5.0, 0.0], [6.0, 4.0], [0.0, 0.0], [7.0, -9.0]]))
+    one = np.array([[-5.0, 0.0], [6.0, 4.0], [0.0, 0.0], [7.0, -9.0]])
+    best, lo, hi = (x[0] for x in G.best_pieces(one[None]))
+    pieces = G._pieces([(np.array([3]), np.array([False])), (np.arange(4), np.zeros(4, dtype=bool)), (np.array([1, 1]), np.array([False, True]))], one)
+    assert np.allclose(pieces[0][1], best) and np.allclose(pieces[0][2], [6 - np.log(1), 4 - np.log(1)]) and pieces[2][0].tolist() == [0, -1]
     assert (lo[0], hi[0], lo[1], hi[1]) == (1, 3, 1, 1) and np.allclose(best, [13 - np.log(6), 4 - np.log(3)])
 
 

@@ -719,22 +719,50 @@ def least_needed(prior: np.ndarray) -> float:
 
 
 def best_pieces(odds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every column the greatest sum of a run of rows, less the log of the number of runs, and the run's ends.
+    """For every line and column the greatest sum of a run of rows, less the log of the number of runs, and the run's ends.
 
-    Rows of 0 are left as they are by the column's chain: they neither count for nor against it.
+    odds: lines, rows, columns. Rows of 0 are left as they are by the column's chain: they neither count for
+    nor against it, so lines may be filled up with them.
     """
-    n, width = odds.shape
-    best, run, begin = np.zeros(width), np.zeros(width), np.zeros(width, dtype=int)
-    lo, hi = np.zeros(width, dtype=int), np.full(width, -1)
+    lines, n, width = odds.shape
+    best, run, begin = np.zeros((lines, width)), np.zeros((lines, width)), np.zeros((lines, width), dtype=np.int32)
+    lo, hi = np.zeros((lines, width), dtype=np.int32), np.full((lines, width), -1, dtype=np.int32)
     for i in range(n):
         begin = np.where(run > 0, begin, i)
-        run = np.maximum(run, 0) + odds[i]
+        run = np.maximum(run, 0) + odds[:, i]
         better = run > best
         best, lo, hi = np.where(better, run, best), np.where(better, begin, lo), np.where(better, i, hi)
-    many = np.maximum(1, (odds != 0).sum(0))
+    many = np.maximum(1, (odds != 0).sum(1))
     return best - np.log(many * (many + 1) / 2), lo, hi
 
 
+#: Rows of lines that are gone through together.
+TOGETHER = 4096
+
+
+def _pieces(lines: list[tuple[np.ndarray, np.ndarray]], odds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """best_pieces of lines, given by their tokens and by which of these came before in the document; such a token may only speak against."""
+    shape_ = (len(lines), odds.shape[1])
+    value, lo, hi = np.zeros(shape_), np.zeros(shape_, dtype=np.int32), np.zeros(shape_, dtype=np.int32)
+    order = sorted(range(len(lines)), key=lambda i: len(lines[i][0]))
+    at = 0
+    while at < len(order):
+        # lines of nearly one length, filled up to the longest
+        end = at + 1
+        while end < len(order) and (end - at + 1) * len(lines[order[end]][0]) <= TOGETHER:
+            end += 1
+        some = order[at:end]
+        m = np.zeros((len(some), len(lines[some[-1]][0]), odds.shape[1]))
+        for r, i in enumerate(some):
+            tokens, again = lines[i]
+            rows = odds[tokens]
+            rows[again] = np.minimum(rows[again], 0)
+            m[r, : len(tokens)] = rows
+        value[some], lo[some], hi[some] = best_pieces(m)
+        at = end
+    return value, lo, hi
+
+
 def _turned(model):
     """The lines of documents that are likelier altered by one pair of single-byte encodings, with the repairs.
 
@@ -751,39 +779,45 @@ def _turned(model):
             weighed = Weighed(tokens, counts)
             odds = weighed.odds
             number = {t: i for i, t in enumerate(tokens)}
-            rows = []
-            for i, xs in zip(b.column(0).to_pylist(), docs):
-                lines: dict[int, list] = {}
+            # the lines of all documents, with the document of each
+            lines, numbers, places, of, fields = [], [], [], [], []
+            for n, xs in enumerate(docs):
+                by: dict[int, list] = {}
+                seen: set[int] = set()
                 for x in sorted(xs, key=lambda x: (x["line"], x["place"])):
                     if x["token"] in number:
-                        lines.setdefault(x["line"], []).append((number[x["token"]], x["sf"], x["place"]))
-                total, pieces, seen = np.zeros(len(_PAIRS)), {}, set()
-                for l, ts in lines.items():
-                    m = odds[[t for t, _, _ in ts]]
-                    for r, (t, _, _) in enumerate(ts):
-                        if t in seen:
-                            m[r] = np.minimum(m[r], 0)
-                        seen.add(t)
-                    value, lo, hi = best_pieces(m)
-                    total += np.maximum(value, 0)
-                    pieces[l] = value, lo, hi
-                if not pieces:
-                    continue
-                sfs = sorted({sf for ts in lines.values() for _, sf, _ in ts})
-                known = np.log(prior[sfs][:, _PAIR_CHAIN]).max(0) - np.log(prior[sfs, IDENTITY]).max()
-                log_odds = total + np.maximum(known, UNKNOWN)
+                        by.setdefault(x["line"], []).append((number[x["token"]], x["place"]))
+                fields.append(sorted({x["sf"] for x in xs if x["token"] in number}))
+                for l, ts in by.items():
+                    again = [t in seen or seen.add(t) is not None for t, _ in ts]
+                    lines.append((np.array([t for t, _ in ts]), np.array(again)))
+                    numbers.append(l)
+                    places.append([at for _, at in ts])
+                    of.append(n)
+            if not lines:
+                continue
+            value, lo, hi = _pieces(lines, odds)
+            total = np.zeros((len(docs), len(_PAIRS)))
+            np.add.at(total, of, np.maximum(value, 0))
+            chains, scores, rows = {}, {}, []
+            for n in sorted(set(of)):
+                known = np.log(prior[fields[n]][:, _PAIR_CHAIN]).max(0) - np.log(prior[fields[n], IDENTITY]).max()
+                log_odds = total[n] + np.maximum(known, UNKNOWN)
                 k = int(np.argmax(log_odds))
-                if log_odds[k] < 0:
+                if log_odds[k] >= 0:
+                    chains[n], scores[n] = k, float(1 / (1 + np.exp(-log_odds[k])))
+            ids = b.column(0).to_pylist()
+            for r, n in enumerate(of):
+                if n not in chains:
                     continue
-                score = float(1 / (1 + np.exp(-log_odds[k])))
-                for l, (value, lo, hi) in pieces.items():
-                    ts = [(t, at) for t, _, at in lines[l]]
-                    if value[k] > 0:
-                        put = [(t, at) for t, at in ts[lo[k] : hi[k] + 1] if odds[t, k] != 0]
-                    else:
-                        put = [(t, at) for t, at in ts if odds[t, k] > 0] if all(odds[t, k] >= 0 for t, _ in ts) else []
-                    for t, at in put:
-                        rows.append((i, l, at, score, len(put), weighed.text(t, k)))
+                k = chains[n]
+                ts = list(zip(lines[r][0].tolist(), places[r]))
+                if value[r, k] > 0:
+                    put = [(t, at) for t, at in ts[lo[r, k] : hi[r, k] + 1] if odds[t, k] != 0]
+                else:
+                    put = [(t, at) for t, at in ts if odds[t, k] > 0] if all(odds[t, k] >= 0 for t, _ in ts) else []
+                for t, at in put:
+                    rows.append((ids[n], numbers[r], at, scores[n], len(put), weighed.text(t, k)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*rows), types)], names)
 
