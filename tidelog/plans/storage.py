@@ -150,9 +150,9 @@ def compact_leveled(spark, d):
 
 
 def compact_leveled_layout(spark, d):
-    """Runs and bytes of each level after leveled compaction."""
+    """Every run after leveled compaction: its records, bytes and keys' range."""
     got = _leveled(spark, d)
-    return got.groupBy("store_id", "level").agg(F.countDistinct("table_id").alias("tables"), F.sum("size").alias("bytes"))
+    return got.groupBy("store_id", "level", "table_id").agg(F.count(F.lit(1)).alias("records"), F.sum("size").alias("bytes"), F.hex(F.min("key")).alias("start_hex"), F.hex(F.max("key")).alias("end_hex"))
 
 
 def _manifest(spark, d):
@@ -416,6 +416,27 @@ p{i} AS (SELECT store_id, level, table_id, CASE WHEN lv = {i} AND place <= 2 * p
 FROM p3 JOIN {_RUNS} USING (store_id, level, table_id) GROUP BY ALL"""
 
 
+def _leveled_layout(first: int = 20_000, fanout: int = 4, block: int = 8_000, levels: int = 4) -> str:
+    """The runs after leveled compaction, level by level: what a level gives, what it meets below, and how the merged rows are cut."""
+    s = f"WITH r0 AS (SELECT store_id, level AS lv, level AS near, table_id AS tid, key, tombstone, ts, value, {_size_sql()} AS size FROM {_RUNS})"
+    for i in range(1, levels):
+        budget = first * fanout ** (i - 1)
+        gives = "true" if i == 1 else f"total - gone > {budget}"
+        outside = f"SELECT 1 FROM t{i} t WHERE t.store_id = n.store_id AND t.s <= n.key AND t.e >= n.key AND NOT EXISTS (SELECT 1 FROM c{i} c WHERE c.store_id = t.store_id AND c.lv = t.lv AND c.tid = t.tid)"
+        kept = f"AND (NOT tombstone OR EXISTS ({outside}))" if i + 1 == levels else ""
+        s += f""", t{i} AS (SELECT store_id, lv, tid, sum(size) AS bytes, min(key) AS s, max(key) AS e FROM r{i - 1} GROUP BY ALL),
+o{i} AS (SELECT *, sum(bytes) OVER (PARTITION BY store_id) AS total, coalesce(sum(bytes) OVER (PARTITION BY store_id ORDER BY tid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM t{i} WHERE lv = {i}),
+g{i} AS (SELECT * FROM o{i} WHERE total > {budget} AND {gives}),
+c{i} AS (SELECT store_id, lv, tid FROM g{i} UNION SELECT t.store_id, t.lv, t.tid FROM t{i} t JOIN g{i} g ON g.store_id = t.store_id AND t.lv = {i + 1} AND t.s <= g.e AND t.e >= g.s),
+m{i} AS (SELECT *, row_number() OVER (PARTITION BY store_id, key ORDER BY ts DESC, near, tid DESC, value DESC NULLS LAST) AS rn FROM r{i - 1} SEMI JOIN c{i} c ON c.store_id = r{i - 1}.store_id AND c.lv = r{i - 1}.lv AND c.tid = r{i - 1}.tid),
+n{i} AS (SELECT * FROM m{i} n WHERE rn = 1 {kept}),
+b{i} AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY store_id ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n{i}),
+p{i} AS (SELECT store_id, max(tid) AS top FROM t{i} WHERE lv = {i + 1} GROUP BY 1),
+r{i} AS (SELECT r.* FROM r{i - 1} r ANTI JOIN c{i} c ON c.store_id = r.store_id AND c.lv = r.lv AND c.tid = r.tid
+  UNION ALL SELECT store_id, {i + 1}, {i + 1}, (coalesce(top, 0) + 1 + before // {block})::INTEGER, key, tombstone, ts, value, size FROM b{i} LEFT JOIN p{i} USING (store_id))"""
+    return s + f" SELECT store_id, CAST(lv AS INTEGER) AS level, CAST(tid AS INTEGER) AS table_id, count(*) AS records, CAST(sum(size) AS BIGINT) AS bytes, hex(min(key)) AS start_hex, hex(max(key)) AS end_hex FROM r{levels - 1} GROUP BY ALL"
+
+
 def _le_hex(x: str, n: int) -> str:
     return "(" + " || ".join(f"substr(printf('%016x', {x}), {i}, 2)" for i in range(15, 15 - 2 * n, -2)) + ")"
 
@@ -498,6 +519,7 @@ ORACLE |= {
     "wal_encode": f"SELECT store_id, seq, file_name, file_offset, upper({_le_hex('c', 4)} || {_le_hex('ts', 8)} || CASE WHEN tombstone THEN '01' ELSE '00' END || {_le_hex('coalesce(strlen(key), 0)', 8)} || {_le_hex('coalesce(octet_length(value), 0)', 8)} || coalesce(hex(encode(key)), '') || coalesce(hex(value), '')) AS bytes_hex FROM (SELECT *, {_crc_sql('bytes')} AS c FROM (SELECT *, coalesce(value, ''::BLOB) AS bytes FROM wal_records))",
     "wal_decode": "SELECT store_id, seq, file_name, file_offset, coalesce(hex(encode(key)), '') AS key_hex, coalesce(hex(value), '') AS value_hex, tombstone, ts FROM wal_records",
     "compact_size_tiered_layout": _tier_layout(),
+    "compact_leveled_layout": _leveled_layout(),
     "memtable_sizes": f"SELECT store_id, run_id, count(DISTINCT key) AS keys FROM (SELECT *, (row_number() OVER (PARTITION BY store_id ORDER BY file_name, file_offset) - 1) // {MEMTABLE} AS run_id FROM wal_records WHERE key IS NOT NULL) GROUP BY ALL",
     "memtable_remove": f"SELECT store_id, key, seq, tombstone FROM ({newest_sql()}) n ANTI JOIN (SELECT DISTINCT store_id, key FROM incoming_records WHERE key IS NOT NULL) i ON i.store_id = n.store_id AND i.key = n.key",
     "sst_first_records": f"SELECT store_id, level, table_id, hex(min(key)) AS key_hex FROM {_RUNS} GROUP BY ALL",
