@@ -30,6 +30,19 @@ def p4_cells(spark: SparkSession, d: str) -> DataFrame:
     return p4_estimates(spark, d).select(*distinct.DIMS, "over", "rows")
 
 
+def p4_within(spark: SparkSession, d: str) -> DataFrame:
+    """Every cell of the cube, and whether its estimate lies within six standard errors, or one key, of the exact count."""
+    dims = [*distinct.DIMS, "over"]
+    keys = distinct.with_cells(table(spark, d, "wal_records")).select(*distinct.DIMS, "key").distinct()
+    marks = F.explode(F.array(*[F.lit(f"{m:03b}") for m in range(8)]))
+    wide = keys.withColumn("over", marks)
+    cells = [F.when(F.substring("over", i + 1, 1) == "1", F.lit("*")).otherwise(F.col(c).cast("string")).alias(c) for i, c in enumerate(distinct.DIMS)]
+    # a key of another store is another key
+    exact = wide.select(*cells, "over", F.col("store_id").alias("own"), "key").distinct().groupBy(*dims).agg(F.count(F.lit(1)).alias("keys"))
+    near = F.abs(F.col("estimate") - F.col("keys")) <= F.greatest(6 * distinct.standard_error() * F.col("keys"), F.lit(1.0))
+    return p4_estimates(spark, d).join(exact, dims).select(*dims, near.alias("within"))
+
+
 def _seen(spark: SparkSession, d: str) -> membership.Seen:
     return membership.seen_before(table(spark, d, "sst_records"), table(spark, d, "incoming_records"))
 
@@ -48,6 +61,12 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return one.select(F.lit(s.incoming).cast("bigint").alias("rows"), "positives", "disproved", "seen", (F.col("disproved") / F.greatest(outside, F.lit(1))).alias("wrong_rate"))
 
 
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    """One row: incoming rows with a key, and how many of these were seen before."""
+    s = _seen(spark, d)
+    return s.found.agg(F.count(F.lit(1)).alias("seen")).select(F.lit(s.incoming).cast("bigint").alias("rows"), "seen")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Keys that hold at least 2 in 100 of their store's rows."""
     return frequent.frequent_items(table(spark, d, "wal_records"), "store_id", "key").select(F.col("grp").alias("store_id"), F.col("item").cast("string").alias("key"))
@@ -95,7 +114,7 @@ def p9_repaired(spark: SparkSession, d: str) -> DataFrame:
     return garbled.repaired(docs, garbled.find_garbled(docs))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_estimates, p4_cells, p5_found, p5_report, p6_found, p6_top, p7_ids, p8_found, p8_shares, p8_mix, p9_found, p9_repaired)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_estimates, p4_cells, p4_within, p5_found, p5_report, p5_counts, p6_found, p6_top, p7_ids, p8_found, p8_shares, p8_mix, p9_found, p9_repaired)}
 
 _CELLS = """
 WITH rows AS (
@@ -114,6 +133,16 @@ SELECT day, store_id, namespace FROM cells WHERE n >= 30 AND k * 5 >= n * 4""",
   CASE WHEN grouping(namespace) = 1 THEN '*' ELSE namespace END AS namespace,
   grouping(day)::VARCHAR || grouping(store_id)::VARCHAR || grouping(namespace)::VARCHAR AS over, count(*) AS rows
 FROM rows GROUP BY CUBE (day, store_id, namespace)""",
+    "p4_within": _CELLS
+    + """SELECT CASE WHEN grouping(day) = 1 THEN '*' ELSE day END AS day, CASE WHEN grouping(store_id) = 1 THEN '*' ELSE CAST(store_id AS VARCHAR) END AS store_id,
+  CASE WHEN grouping(namespace) = 1 THEN '*' ELSE namespace END AS namespace,
+  grouping(day)::VARCHAR || grouping(store_id)::VARCHAR || grouping(namespace)::VARCHAR AS over, count(DISTINCT key) > 0 AS within
+FROM rows GROUP BY CUBE (day, store_id, namespace)""",
+    "p5_counts": """
+SELECT count(*) AS rows, count(*) FILTER (
+  EXISTS (SELECT 1 FROM sst_records s WHERE s.store_id = i.store_id AND s.key = encode(i.key))
+  OR seq > (SELECT min(seq) FROM incoming_records j WHERE j.store_id = i.store_id AND j.key = i.key)) AS seen
+FROM incoming_records i WHERE key IS NOT NULL""",
     "p5_found": """
 SELECT seq FROM incoming_records i WHERE key IS NOT NULL AND (
   EXISTS (SELECT 1 FROM sst_records s WHERE s.store_id = i.store_id AND s.key = encode(i.key))

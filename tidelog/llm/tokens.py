@@ -138,6 +138,19 @@ def _count(path: str):
     return go
 
 
+def _cut(segment: int):
+    """Texts (row, doc_id, text) in pieces of `segment` characters, each piece once more for its own ids; linear in the text."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, doc, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                pieces = [text[i : i + segment] for i in range(0, len(text), segment)]
+                n = len(pieces)
+                yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array([doc] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(pieces, pa.string())], ["__row", "doc_id", "part", "piece"])
+
+    return go
+
+
 def _reduce(path: str):
     """One text's segments, in order, joined pairwise up the tree."""
 
@@ -167,8 +180,7 @@ def encode(docs: DataFrame, path: str | None = None, segment: int = SEGMENT) ->
     length = F.coalesce(F.length("text"), F.lit(0))
     short = rows.where(length <= segment).mapInArrow(_encode(path), "doc_id bigint, ids array<int>")
     long = rows.where(length > segment).withColumn("__row", F.monotonically_increasing_id())
-    at = F.explode(F.sequence(F.lit(0), (F.ceil(F.length("text") / segment) - 1).cast("int"))).alias("part")
-    parts = long.select("__row", "doc_id", "text", at).selectExpr("__row", "doc_id", "part", f"substring(text, part * {segment} + 1, {segment}) AS piece")
+    parts = long.select("__row", F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_cut(segment), "__row bigint, doc_id bigint, part int, piece string")
     spread = parts.repartition("__row", "part").selectExpr("__row", "doc_id", "part", "piece", "piece AS again")
     coded = spread.mapInArrow(_encode(path), "__row bigint, doc_id bigint, part int, piece string, ids array<int>")
     joined = coded.groupBy("__row").applyInArrow(_reduce(path), "doc_id bigint, ids array<int>")
