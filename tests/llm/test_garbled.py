@@ -177,3 +177,17 @@ def test_examples_in_long_tokens(spark):
     rows = [*docs, (9200, CLEAN["ja"] + "\n" + "静かな水車の「Ã©」は「é」の間違いです。", "s2")]
     found = {r["doc_id"] for r in G.find_garbled(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).documents.collect()}
     assert 9200 not in found
+
+
+@pytest.mark.parametrize(("lang", "right", "read"), [("de", "cp1252", "gb18030"), ("pl", "cp1250", "cp932"), ("ja", "cp932", "cp1252"), ("ja", "cp932", "mac_roman")])
+def test_chains_over_several_bytes(spark, lang, right, read):
+    """Pages of one-byte encodings read in one of several bytes, and the other ways round."""
+    docs, _ = corpus()
+    rng = random.Random(2)
+    words = CLEAN[lang].split() if lang != "ja" else ["春の川で", "静かな", "水車を", "見るのは", "とても", "楽しい", "です。", "橋の近くに", "小さい", "市場が", "あります", "本と紙を", "朝の庭"]
+    if lang == "ja":
+        words = ["".join(rng.choice(words) for _ in range(6)) for _ in range(500)]
+        docs = [*docs, *[(9400 + i, " ".join(rng.choice(words) for _ in range(20)), "s1") for i in range(80)]]
+    bad = [(9300 + i, "\n".join(wrong(" ".join(rng.choice(words) for _ in range(8)).encode(right, "ignore").decode(right), right, read).replace("\ufffd", "") for _ in range(4)), "s1") for i in range(4)]
+    found = {r["doc_id"] for r in G.find_garbled(spark.createDataFrame([*docs, *bad], "doc_id bigint, text string, source string")).documents.collect()}
+    assert {d[0] for d in bad} <= found and not found & {d[0] for d in docs if d[0] < 360 or d[0] >= 9400}

@@ -42,7 +42,7 @@ CHAINS = (
     ["clean", LOST]
     + [f"{d}>utf-8" for d in SINGLE + MULTI]
     + [f"{d}>{e}" for d in SINGLE for e in SINGLE + MULTI if d != e]
-    + [f"{a}>{b}" for a, b in (("cp932", "gb18030"), ("gb18030", "cp932"), ("gb18030", "cp1251"), ("cp932", "cp1251"))]
+    + [f"{d}>{e}" for d in MULTI for e in SINGLE + MULTI if d != e]
     + [f"{a}>utf-8 {b}>utf-8" for a in SINGLE for b in TWICE]
 )
 NUMBER = {c: i for i, c in enumerate(CHAINS)}
@@ -54,7 +54,7 @@ CONTROL = 8.0
 #: Natural logs by which each symbol inside a word, letters of two scripts side by side or four accented letters in a
 #: row speak against a text, and how many such places count.
 ODD, MOST_ODD = 6.0, 2
-#: Log odds before any evidence that a document is altered by a single-byte chain that the priors do not know.
+#: Log odds before any evidence that a document is altered by a chain without UTF-8 that the priors do not know.
 UNKNOWN = -9.0
 #: Evidence of a token that a chain turns into what no text has, or that the chain's reading cannot have produced.
 AGAINST = -25.0
@@ -173,8 +173,10 @@ def repairs(token: str) -> dict[str, list[int]]:
             add(_multi(raw, "utf-8"), _STEP[d]["utf-8"])
             other = MULTI[1 - MULTI.index(d)]
             add(_multi(raw, other), _STEP[d][other])
-            if not any(128 > x >= 64 for x in raw):
-                add(_multi(raw, "cp1251"), _STEP[d]["cp1251"])
+            for e in SINGLE:
+                v = codecs.charmap_decode(raw, "strict", TABLE[e])[0]
+                if not _C1.search(v) and "\xad" not in v:
+                    add(v, _STEP[d][e])
     return out
 
 
@@ -608,7 +610,7 @@ def _gather(parts: DataFrame) -> np.ndarray:
 
 @dataclass
 class Garbled:
-    """documents: (doc_id, score) of the altered ones; hits: where their tokens stand; verdicts: tokens with their repairs; turned: lines altered by single-byte chains, with repairs."""
+    """documents: (doc_id, score) of the altered ones; hits: where their tokens stand; verdicts: tokens with their repairs; turned: lines altered by chains without UTF-8, with repairs."""
 
     documents: DataFrame
     hits: DataFrame
@@ -649,9 +651,12 @@ def learn(occ: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, tuple[np.nda
     return verdicts, (counts, prior)
 
 
-_PAIRS = [(d, e) for d in SINGLE for e in SINGLE if d != e]
+_ENCODINGS = SINGLE + MULTI
+#: Without those of two encodings of several bytes: their texts map one to one, character by character, so a model of
+#: characters that has seen enough of either cannot tell which is meant.
+_PAIRS = [(d, e) for d in _ENCODINGS for e in _ENCODINGS if d != e and (d in SINGLE or e in SINGLE)]
 _PAIR_CHAIN = np.array([NUMBER[f"{d}>{e}"] for d, e in _PAIRS])
-_PAIR_READ, _PAIR_MEANT = (np.array([SINGLE.index(p[i]) for p in _PAIRS]) for i in (0, 1))
+_PAIR_READ, _PAIR_MEANT = (np.array([_ENCODINGS.index(p[i]) for p in _PAIRS]) for i in (0, 1))
 TURNED = "doc_id bigint, line int, place int, score double, n_turn bigint, repaired string"
 
 
@@ -666,7 +671,7 @@ class Weighed:
     def __init__(self, tokens: list[str], counts: np.ndarray):
         self.raws: list[list[bytes]] = []
         self.odds = np.full((len(tokens), len(_PAIRS)), AGAINST)
-        self.read = np.full((len(tokens), len(SINGLE)), -1)
+        self.read = np.full((len(tokens), len(_ENCODINGS)), -1)
         shapes, odds, at = [], [], {}
 
         def number(v: str) -> int:
@@ -688,12 +693,20 @@ class Weighed:
                     self.read[i, d] = raws.setdefault(codecs.charmap_encode(t, "strict", MAP[name])[0], len(raws))
                 except UnicodeEncodeError:
                     pass
+            wide = max(t) >= "\u3000"
+            if wide:
+                for d, name in enumerate(MULTI, len(SINGLE)):
+                    try:
+                        self.read[i, d] = raws.setdefault(t.encode(name), len(raws))
+                    except UnicodeEncodeError:
+                        pass
             self.raws.append(list(raws))
-            texts = np.full((len(raws), len(SINGLE)), -1)
+            texts = np.full((len(raws), len(_ENCODINGS)), -1)
             for r, raw in enumerate(raws):
-                for e, name in enumerate(SINGLE):
-                    v = codecs.charmap_decode(raw, "strict", TABLE[name])[0]
-                    if v == t or not _C1.search(v):
+                for e, name in enumerate(_ENCODINGS):
+                    v = self._meant(raw, name)
+                    # a soft hyphen, which is not seen, is no half of a wide character's bytes
+                    if v and (v == t or not _C1.search(v)) and not (wide and name in TABLE and "\xad" in v):
                         texts[r, e] = number(v)
             rows.append((forms, texts, bool(_C1.search(t))))
         logs = likelihoods(shapes, counts) - np.array(odds) if shapes else np.zeros(0)
@@ -707,9 +720,15 @@ class Weighed:
             of = self.read[i][_PAIR_READ]
             self.odds[i] = np.where(of < 0, AGAINST, value[of, _PAIR_MEANT])
 
+    @staticmethod
+    def _meant(raw: bytes, name: str) -> str | None:
+        if name in TABLE:
+            return codecs.charmap_decode(raw, "strict", TABLE[name])[0]
+        return _multi(raw, name) if len(raw) > 1 else None
+
     def text(self, i: int, k: int) -> str | None:
         r = self.read[i, _PAIR_READ[k]]
-        return None if r < 0 else codecs.charmap_decode(self.raws[i][r], "strict", TABLE[SINGLE[_PAIR_MEANT[k]]])[0]
+        return None if r < 0 else self._meant(self.raws[i][r], _ENCODINGS[_PAIR_MEANT[k]])
 
 
 def least_needed(prior: np.ndarray) -> float:
@@ -764,7 +783,7 @@ def _pieces(lines: list[tuple[np.ndarray, np.ndarray]], odds: np.ndarray) -> tup
 
 
 def _turned(model):
-    """The lines of documents that are likelier altered by one pair of single-byte encodings, with the repairs.
+    """The lines of documents that are likelier altered by one pair of encodings, with the repairs.
 
     The log odds of a line's best piece are summed by pair over the document, in which a token counts once.
     """
