@@ -34,6 +34,8 @@ from tidelog.session import cut, shared_path
 SINGLE = ["cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "iso8859-2", "iso8859-15", "mac_roman", "cp437", "cp850", "koi8-r"]
 #: Encodings with several bytes a character.
 MULTI = ["cp932", "gb18030"]
+#: Those of SINGLE whose letters beyond ASCII make up whole words.
+OTHER_SCRIPTS = ["cp1251", "cp1253", "koi8-r"]
 #: Wrong readings that are undone a second time.
 TWICE = ["cp1252", "latin-1", "cp1250", "cp1251", "cp1254", "mac_roman", "cp437", "cp850"]
 IDENTITY = 0
@@ -173,7 +175,8 @@ def repairs(token: str) -> dict[str, list[int]]:
             add(_multi(raw, "utf-8"), _STEP[d]["utf-8"])
             other = MULTI[1 - MULTI.index(d)]
             add(_multi(raw, other), _STEP[d][other])
-            for e in SINGLE:
+            # words of Latin scripts are mostly of letters that every encoding leaves as they are
+            for e in SINGLE if _LETTER.search(token) else OTHER_SCRIPTS:
                 v = codecs.charmap_decode(raw, "strict", TABLE[e])[0]
                 if not _C1.search(v) and "\xad" not in v:
                     add(v, _STEP[d][e])
@@ -246,8 +249,19 @@ def features(shapes: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return which[real], tri[real], ctx2[real], bi[real], ctx1[real], uni[real]
 
 
+#: Characters that are looked up together, which bounds a task's memory.
+CHARACTERS = 1 << 18
+
+
 def likelihoods(shapes: list[str], counts: np.ndarray) -> np.ndarray:
     """Log probability of each text, given by its shape, under the counts."""
+    ends = np.cumsum([len(v) + 3 for v in shapes])
+    if len(shapes) > 1 and ends[-1] > CHARACTERS:
+        edges = [0]
+        while edges[-1] < len(shapes):
+            before = ends[edges[-1] - 1] if edges[-1] else 0
+            edges.append(max(edges[-1] + 1, int(np.searchsorted(ends, before + CHARACTERS))))
+        return np.concatenate([likelihoods(shapes[a:z], counts) for a, z in zip(edges, edges[1:])])
     which, tri, ctx2, bi, ctx1, uni = features(shapes)
     total = counts[TRI + BI :].sum() + UNI
     p = (counts[uni] + 0.5) / total
