@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +59,11 @@ CONTROL = 8.0
 ODD, MOST_ODD = 6.0, 2
 #: Log odds before any evidence that a document is altered by a chain without UTF-8 that the priors do not know.
 UNKNOWN = -9.0
+#: The same where they know it: of a thousand documents about one is altered by any one of such chains.
+KNOWN = -7.0
+#: Occurrences from which on a word is held against being the altered form of a word that is no more frequent, and the
+#: places of each of the two rows in which words are counted by hash.
+OFTEN, WORDS = 3, 1 << 21
 #: Evidence of a token that a chain turns into what no text has, or that the chain's reading cannot have produced.
 AGAINST = -25.0
 #: Weight of the shorter context in the character model.
@@ -206,6 +212,7 @@ def odd(v: str) -> float:
 
 
 _DIGITS = re.compile("[0-9]+")
+_RUN = re.compile(r"(.)\1{3,}")
 
 
 #: What stands between words joined by a space that does not break: the end of one and the start of the next.
@@ -215,11 +222,11 @@ _JOINT = "\x03\x02\x02"
 def shape(v: str) -> str:
     """What the character model sees: digits as one, and lower case where case is as in ordinary writing.
 
-    Soft hyphens are not seen, and words joined by a space that does not break are seen one by one.
+    A character repeated on and on is seen three times. Soft hyphens are not seen, and words joined by a space that does not break are seen one by one.
     """
     if "\xad" in v or "\xa0" in v:
         return _JOINT.join(shape(w) for w in v.replace("\xad", "").split("\xa0")) if "\xa0" in v else shape(v.replace("\xad", ""))
-    v = _DIGITS.sub("0", v)
+    v = _RUN.sub(r"\1\1\1", _DIGITS.sub("0", v))
     low = v.lower()
     if v != low:
         i = next((i for i, c in enumerate(v) if c.isalpha()), 0)
@@ -614,10 +621,10 @@ def _verdicts(model):
     return go
 
 
-def _gather(parts: DataFrame) -> np.ndarray:
-    """Sum of the sparse parts: at most STATS rows come to the driver, whatever the corpus."""
+def _gather(parts: DataFrame, size: int | None = None) -> np.ndarray:
+    """Sum of the sparse parts: at most `size` rows, by default STATS, come to the driver, whatever the corpus."""
     t = parts.groupBy("place").agg(F.sum("weight").alias("weight")).toArrow()
-    stats = np.zeros(STATS)
+    stats = np.zeros(STATS if size is None else size)
     stats[t.column("place").to_numpy()] = t.column("weight").to_numpy()
     return stats
 
@@ -669,6 +676,21 @@ _ENCODINGS = SINGLE + MULTI
 #: Without those of two encodings of several bytes: their texts map one to one, character by character, so a model of
 #: characters that has seen enough of either cannot tell which is meant.
 _PAIRS = [(d, e) for d in _ENCODINGS for e in _ENCODINGS if d != e and (d in SINGLE or e in SINGLE)]
+
+
+def word_places(v: str) -> tuple[int, int]:
+    """Where a word, without marks and as the character model sees it, is counted."""
+    h = xxhash.xxh64_intdigest(shape(core(v)).encode("utf-8", "surrogatepass"))
+    return h & (WORDS - 1), WORDS + (h >> 32 & (WORDS - 1))
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            places = [word_places(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([p for both in places for p in both], pa.int32()), pa.array(np.repeat(b.column(1).to_numpy().astype(float), 2))], ["place", "weight"])
+
+
 _PAIR_CHAIN = np.array([NUMBER[f"{d}>{e}"] for d, e in _PAIRS])
 _PAIR_READ, _PAIR_MEANT = (np.array([_ENCODINGS.index(p[i]) for p in _PAIRS]) for i in (0, 1))
 TURNED = "doc_id bigint, line int, place int, score double, n_turn bigint, repaired string"
@@ -677,22 +699,27 @@ TURNED = "doc_id bigint, line int, place int, score double, n_turn bigint, repai
 class Weighed:
     """Tokens under every pair of encodings: text() is what a pair makes of one, odds its log odds.
 
+    The altered form of a word is rarer than the word: where a token is frequent and its reading is not more so,
+    the pair gains nothing by it. words are counts by hash in two rows, of which the smaller counts.
+
     A token that a pair leaves as it is has 0; one that the reading cannot have produced, or that the pair
     turns into what no text has, AGAINST. A token has few different byte strings, one for each way in which
     it can have been read, so these are decoded and weighed and not the pairs.
     """
 
-    def __init__(self, tokens: list[str], counts: np.ndarray):
+    def __init__(self, tokens: list[str], counts: np.ndarray, words: np.ndarray):
         self.raws: list[list[bytes]] = []
         self.odds = np.full((len(tokens), len(_PAIRS)), AGAINST)
         self.read = np.full((len(tokens), len(_ENCODINGS)), -1)
-        shapes, odds, at = [], [], {}
+        shapes, odds, often, at = [], [], [], {}
 
         def number(v: str) -> int:
             if v not in at:
                 at[v] = len(shapes)
                 shapes.append(shape(v))
                 odds.append(odd(v))
+                a, b = word_places(v)
+                often.append(min(words[a], words[b]))
             return at[v]
 
         rows = []
@@ -724,12 +751,16 @@ class Weighed:
                         texts[r, e] = number(v)
             rows.append((forms, texts, bool(_C1.search(t))))
         logs = likelihoods(shapes, counts) - np.array(odds) if shapes else np.zeros(0)
+        often = np.array(often)
         for i, (forms, texts, control) in enumerate(rows):
             if not len(texts):
                 continue
             # where UTF-8 shows by its form, the pair has to beat that too
             base = max([logs[forms[0]] - CONTROL * control, *(logs[v] for v in forms[1:])])
             value = np.where(texts < 0, AGAINST, np.maximum(AGAINST, logs[texts] - base))
+            n = often[forms[0]]
+            if n >= OFTEN:
+                value = np.where((texts >= 0) & (often[texts] <= n), np.minimum(value, 0), value)
             value[texts == forms[0]] = 0.0
             of = self.read[i][_PAIR_READ]
             self.odds[i] = np.where(of < 0, AGAINST, value[of, _PAIR_MEANT])
@@ -748,7 +779,7 @@ class Weighed:
 def least_needed(prior: np.ndarray) -> float:
     """Log odds that a document's tokens must give together before any pair of encodings can be likelier than none."""
     known = np.log(prior[:, _PAIR_CHAIN]).max() - np.log(prior[:, IDENTITY]).min()
-    return -max(UNKNOWN, float(known))
+    return -min(KNOWN, max(UNKNOWN, float(known)))
 
 
 def best_pieces(odds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -803,13 +834,13 @@ def _turned(model):
     """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, prior = model.value
+        counts, prior, words = model.value
         names = ["doc_id", "line", "place", "score", "n_turn", "repaired"]
         types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.string()]
         for b in batches:
             docs = b.column(1).to_pylist()
             tokens = sorted({x["token"] for xs in docs for x in xs if "\ufffd" not in x["token"]})
-            weighed = Weighed(tokens, counts)
+            weighed = Weighed(tokens, counts, words)
             odds = weighed.odds
             number = {t: i for i, t in enumerate(tokens)}
             # the lines of all documents, with the document of each
@@ -835,7 +866,7 @@ def _turned(model):
             chains, scores, rows = {}, {}, []
             for n in sorted(set(of)):
                 known = np.log(prior[fields[n]][:, _PAIR_CHAIN]).max(0) - np.log(prior[fields[n], IDENTITY]).max()
-                log_odds = total[n] + np.maximum(known, UNKNOWN)
+                log_odds = total[n] + np.clip(known, UNKNOWN, KNOWN)
                 k = int(np.argmax(log_odds))
                 if log_odds[k] >= 0:
                     chains[n], scores[n] = k, float(1 / (1 + np.exp(-log_odds[k])))
@@ -954,7 +985,9 @@ def find_garbled(docs: DataFrame, rounds: int = ROUNDS) -> Garbled:
     # a document's suspect lines: never more than its own text
     near = lookup_join(occ.select("doc_id", "line", "sf", "place", "token"), suspects, ["doc_id", "line"], "left_semi", spread=F.xxhash64("doc_id", "line"))
     whole = near.groupBy("doc_id").agg(F.collect_set(F.struct("line", "place", "sf", "token")).alias("x"))
-    model = docs.sparkSession.sparkContext.broadcast(arrays)
+    counted = occ.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    words = _gather(counted.mapInArrow(_word_counts, "place int, weight double"), 2 * WORDS).astype(np.float32)
+    model = docs.sparkSession.sparkContext.broadcast((*arrays, words))
     turned = cut(whole.mapInArrow(_turned(model), TURNED), "turned")
     model.destroy()
     scores = cut(_scores(hits, turned).where(F.col("score") >= 0.5), "scores")
