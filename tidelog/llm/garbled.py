@@ -222,10 +222,11 @@ _JOINT = "\x03\x02\x02"
 def shape(v: str) -> str:
     """What the character model sees: digits as one, and lower case where case is as in ordinary writing.
 
-    A character repeated on and on is seen three times. Soft hyphens are not seen, and words joined by a space that does not break are seen one by one.
+    A character repeated on and on is seen three times. Words joined by a space that does not break, or by
+    a soft hyphen, are seen one by one.
     """
     if "\xad" in v or "\xa0" in v:
-        return _JOINT.join(shape(w) for w in v.replace("\xad", "").split("\xa0")) if "\xa0" in v else shape(v.replace("\xad", ""))
+        return _JOINT.join(shape(w) for w in v.replace("\xad", "\xa0").split("\xa0") if w)
     v = _RUN.sub(r"\1\1\1", _DIGITS.sub("0", v))
     low = v.lower()
     if v != low:
@@ -244,7 +245,8 @@ def features(shapes: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     which = np.repeat(np.arange(len(shapes)), np.diff(ends, prepend=0))
     start = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     at = np.arange(len(c))
-    real = at - start[which] >= 2
+    # what stands between joined words is no event
+    real = (at - start[which] >= 2) & (c != 2)
     p1, p2 = np.roll(c, 1), np.roll(c, 2)
     mix = lambda x, m: ((x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - m)).astype(np.int64)
     k21 = (p2 << np.uint64(21)) | p1
@@ -711,7 +713,7 @@ class Weighed:
         self.raws: list[list[bytes]] = []
         self.odds = np.full((len(tokens), len(_PAIRS)), AGAINST)
         self.read = np.full((len(tokens), len(_ENCODINGS)), -1)
-        shapes, odds, often, at = [], [], [], {}
+        shapes, odds, often, joints, at = [], [], [], [], {}
 
         def number(v: str) -> int:
             if v not in at:
@@ -720,6 +722,7 @@ class Weighed:
                 odds.append(odd(v))
                 a, b = word_places(v)
                 often.append(min(words[a], words[b]))
+                joints.append(v.count("\xa0") + v.count("\xad"))
             return at[v]
 
         rows = []
@@ -751,7 +754,7 @@ class Weighed:
                         texts[r, e] = number(v)
             rows.append((forms, texts, bool(_C1.search(t))))
         logs = likelihoods(shapes, counts) - np.array(odds) if shapes else np.zeros(0)
-        often = np.array(often)
+        often, joints = np.array(often), np.array(joints)
         for i, (forms, texts, control) in enumerate(rows):
             if not len(texts):
                 continue
@@ -759,8 +762,9 @@ class Weighed:
             base = max([logs[forms[0]] - CONTROL * control, *(logs[v] for v in forms[1:])])
             value = np.where(texts < 0, AGAINST, np.maximum(AGAINST, logs[texts] - base))
             n = often[forms[0]]
-            if n >= OFTEN:
-                value = np.where((texts >= 0) & (often[texts] <= n), np.minimum(value, 0), value)
+            # to fall apart into words speaks for no reading
+            nothing = (joints[texts] > joints[forms[0]]) | ((often[texts] <= n) & (n >= OFTEN))
+            value = np.where((texts >= 0) & nothing, np.minimum(value, 0), value)
             value[texts == forms[0]] = 0.0
             of = self.read[i][_PAIR_READ]
             self.odds[i] = np.where(of < 0, AGAINST, value[of, _PAIR_MEANT])
