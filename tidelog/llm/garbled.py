@@ -134,6 +134,11 @@ _STEP = {d: {e: NUMBER[c] for e in [*SINGLE, *MULTI, "utf-8"] if (c := f"{d}>{e}
 _STEPS = {a: {b: NUMBER[f"{a}>utf-8 {b}>utf-8"] for b in TWICE} for a in SINGLE}
 
 
+def _joints(v: str) -> int:
+    """Unbreakable spaces and soft hyphens; a letter that is read as one of these is no repair, the words would only fall apart."""
+    return v.count("\xa0") + v.count("\xad")
+
+
 def repairs(token: str) -> dict[str, list[int]]:
     """Each text that the token may have been, with the chains that lead from it to the token."""
     out: dict[str, list[int]] = {}
@@ -159,7 +164,7 @@ def repairs(token: str) -> dict[str, list[int]]:
     for raw, ds in read.items():
         for e in SINGLE:
             v = codecs.charmap_decode(raw, "strict", TABLE[e])[0]
-            if v != token and not _C1.search(v):
+            if v != token and not _C1.search(v) and _joints(v) <= _joints(token):
                 for d in ds:
                     if d != e:
                         add(v, _STEP[d][e])
@@ -184,7 +189,7 @@ def repairs(token: str) -> dict[str, list[int]]:
             # words of Latin scripts are mostly of letters that every encoding leaves as they are
             for e in SINGLE if _LETTER.search(token) else OTHER_SCRIPTS:
                 v = codecs.charmap_decode(raw, "strict", TABLE[e])[0]
-                if not _C1.search(v) and "\xad" not in v:
+                if not _C1.search(v) and not _joints(v):
                     add(v, _STEP[d][e])
     return out
 
@@ -648,8 +653,8 @@ def _spread(df: DataFrame, purpose: str) -> DataFrame:
     return packed_read(df.sparkSession, path, target_bytes=SPLIT_BYTES, open_cost=64 << 10)
 
 
-def learn(occ: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
-    """EM over the token types of occ: the verdicts, in a table, and the model: counts and priors."""
+def learn(occ: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """EM over the token types of occ: the verdicts, in a table, and the model: counts, priors and how often words occur."""
     spark = occ.sparkSession
     sc = spark.sparkContext
     counted = occ.groupBy("token", "sf").agg(F.count(F.lit(1)).alias("n"))
@@ -671,7 +676,9 @@ def learn(occ: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, tuple[np.nda
         model = sc.broadcast((counts, prior))
     verdicts = cut(cands.mapInArrow(_verdicts(model), HITS), "verdicts")
     model.destroy()
-    return verdicts, (counts, prior)
+    number = F.aggregate("n", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("n")
+    words = _gather(types.select("token", number).mapInArrow(_word_counts, "place int, weight double"), 2 * WORDS).astype(np.float32)
+    return verdicts, (counts, prior, words)
 
 
 _ENCODINGS = SINGLE + MULTI
@@ -722,7 +729,7 @@ class Weighed:
                 odds.append(odd(v))
                 a, b = word_places(v)
                 often.append(min(words[a], words[b]))
-                joints.append(v.count("\xa0") + v.count("\xad"))
+                joints.append(_joints(v))
             return at[v]
 
         rows = []
@@ -989,9 +996,7 @@ def find_garbled(docs: DataFrame, rounds: int = ROUNDS) -> Garbled:
     # a document's suspect lines: never more than its own text
     near = lookup_join(occ.select("doc_id", "line", "sf", "place", "token"), suspects, ["doc_id", "line"], "left_semi", spread=F.xxhash64("doc_id", "line"))
     whole = near.groupBy("doc_id").agg(F.collect_set(F.struct("line", "place", "sf", "token")).alias("x"))
-    counted = occ.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    words = _gather(counted.mapInArrow(_word_counts, "place int, weight double"), 2 * WORDS).astype(np.float32)
-    model = docs.sparkSession.sparkContext.broadcast((*arrays, words))
+    model = docs.sparkSession.sparkContext.broadcast(arrays)
     turned = cut(whole.mapInArrow(_turned(model), TURNED), "turned")
     model.destroy()
     scores = cut(_scores(hits, turned).where(F.col("score") >= 0.5), "scores")
