@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.llm import garbled as G
 
@@ -191,3 +192,26 @@ def test_chains_over_several_bytes(spark, lang, right, read):
     bad = [(9300 + i, "\n".join(wrong(" ".join(rng.choice(words) for _ in range(8)).encode(right, "ignore").decode(right), right, read).replace("\ufffd", "") for _ in range(4)), "s1") for i in range(4)]
     found = {r["doc_id"] for r in G.find_garbled(spark.createDataFrame([*docs, *bad], "doc_id bigint, text string, source string")).documents.collect()}
     assert {d[0] for d in bad} <= found and not found & {d[0] for d in docs if d[0] < 360 or d[0] >= 9400}
+
+
+def test_model_comes_to_the_driver_in_blocks(spark, monkeypatch):
+    """However many places of the model are taken, few rows of it come to the driver, and the sums are right."""
+    docs, _ = corpus()
+    rows, frame = [], type(spark.range(1))
+    to_arrow = frame.toArrow
+    monkeypatch.setattr(frame, "toArrow", lambda df: rows.append((t := to_arrow(df)).num_rows) or t)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string").repartition(5)
+    occ = df.select("doc_id", "source", "text").mapInArrow(G._find_occurrences, G.OCC).cache()
+    _, (counts, _, words) = G.learn(occ, 1)
+    assert rows and max(rows) <= 256
+    tokens = [w for _, text, _ in docs for _, _, w, *_ in G.occurrences(text or "")]
+    expected = np.zeros(2 * G.WORDS)
+    np.add.at(expected, np.array([G.word_places(w) for w in tokens]).ravel(), 1)
+    assert words.dtype == np.float32 and (words == expected).all()
+    types = occ.groupBy("token", "sf").count().groupBy("token").agg(F.collect_list("sf"), F.collect_list("count")).repartition(3)
+    first = np.zeros(G.SIZE)
+    G.expected_counts([G.shape(w) for w in tokens], np.ones(len(tokens)), first)
+    gathered = G._gather(types.mapInArrow(G._first_counts, G.PART))
+    assert len(gathered) == G.STATS and np.allclose(gathered[: G.SIZE], first) and not gathered[G.SIZE :].any()
+    assert not G._gather(types.limit(0).mapInArrow(G._first_counts, G.PART)).any()
+    occ.unpersist()

@@ -462,9 +462,39 @@ def _find_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield flush(columns)
 
 
+#: Places of a model that travel as one row, so that a model is few rows wherever it goes.
+BLOCK = 1 << 14
+PART = "block int, places binary, weights binary"
+
+
 def _sparse(stats: np.ndarray) -> pa.RecordBatch:
+    """What a task has to add to a model: by block, the places within it (16 bits each) and their weights."""
     at = np.flatnonzero(stats > 1e-6)
-    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(stats[at])], ["place", "weight"])
+    blocks, edges = np.unique(at // BLOCK, return_index=True)
+    places, weights = (at % BLOCK).astype(np.uint16), stats[at]
+    cut_at = [*edges.tolist(), len(at)]
+    rows = [(places[a:z].tobytes(), weights[a:z].tobytes()) for a, z in zip(cut_at, cut_at[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([p for p, _ in rows], pa.binary()), pa.array([w for _, w in rows], pa.binary())], ["block", "places", "weights"])
+
+
+def _added(kind: str):
+    """The sums of all rows of each block, as numbers of that kind; without places where the whole block is no longer."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, block in enumerate(b.column(0).to_pylist()):
+                into = sums.setdefault(block, np.zeros(BLOCK))
+                # a row has a place once
+                into[np.frombuffer(b.column(1)[i].as_buffer(), np.uint16)] += np.frombuffer(b.column(2)[i].as_buffer(), np.float64)
+        for block, x in sums.items():
+            at = np.flatnonzero(x)
+            x = x.astype(kind)
+            few = len(at) * (2 + x.itemsize) < x.nbytes
+            places, weights = (at.astype(np.uint16).tobytes(), x[at].tobytes()) if few else (None, x.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([places], pa.binary()), pa.array([weights], pa.binary())], ["block", "places", "weights"])
+
+    return go
 
 
 def _flat(a: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -628,12 +658,20 @@ def _verdicts(model):
     return go
 
 
-def _gather(parts: DataFrame, size: int | None = None) -> np.ndarray:
-    """Sum of the sparse parts: at most `size` rows, by default STATS, come to the driver, whatever the corpus."""
-    t = parts.groupBy("place").agg(F.sum("weight").alias("weight")).toArrow()
-    stats = np.zeros(STATS if size is None else size)
-    stats[t.column("place").to_numpy()] = t.column("weight").to_numpy()
-    return stats
+def _gather(parts: DataFrame, size: int | None = None, kind: str = "float64") -> np.ndarray:
+    """Sum of the parts of a model of `size` places, by default STATS: it comes to the driver as one row per block and as
+    numbers of the kind that is kept, so that the driver has it twice at most, whatever the corpus."""
+    size = STATS if size is None else size
+    spark = parts.sparkSession
+    t = parts.repartition(max(1, spark.sparkContext.defaultParallelism), "block").mapInArrow(_added(kind), PART).toArrow()
+    stats = np.zeros(-(-size // BLOCK) * BLOCK, kind)
+    for b in t.to_batches():
+        for block, places, weights in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            at = np.frombuffer(places.as_buffer(), np.uint16) if places.is_valid else slice(None)
+            stats[block * BLOCK : (block + 1) * BLOCK][at] += np.frombuffer(weights.as_buffer(), kind)
+    b = places = weights = at = t = None
+    pa.default_memory_pool().release_unused()
+    return stats[:size]
 
 
 @dataclass
@@ -660,12 +698,12 @@ def learn(occ: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, tuple[np.nda
     counted = occ.groupBy("token", "sf").agg(F.count(F.lit(1)).alias("n"))
     types = counted.groupBy("token").agg(F.collect_list(F.struct("sf", "n")).alias("x")).select("token", "x.sf", "x.n")
     types = _spread(types.repartition(max(1, sc.defaultParallelism), "token"), "types")
-    counts = _gather(types.mapInArrow(_first_counts, "place int, weight double"))[:SIZE]
+    counts = _gather(types.mapInArrow(_first_counts, PART))[:SIZE]
     prior = start_prior()
     model = sc.broadcast((counts, prior))
     cands = _spread(types.mapInArrow(_candidates(model), CANDIDATES), "candidates")
     for _ in range(rounds):
-        stats = _gather(cands.mapInArrow(_round(model), "place int, weight double"))
+        stats = _gather(cands.mapInArrow(_round(model), PART))
         model.destroy()
         got = stats[SIZE:].reshape(SOURCE_BUCKETS * FIELDS, len(CHAINS))
         everywhere = got.sum(0) + 0.01
@@ -677,7 +715,7 @@ def learn(occ: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, tuple[np.nda
     verdicts = cut(cands.mapInArrow(_verdicts(model), HITS), "verdicts")
     model.destroy()
     number = F.aggregate("n", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("n")
-    words = _gather(types.select("token", number).mapInArrow(_word_counts, "place int, weight double"), 2 * WORDS).astype(np.float32)
+    words = _gather(types.select("token", number).mapInArrow(_word_counts, PART), 2 * WORDS, "float32")
     return verdicts, (counts, prior, words)
 
 
@@ -694,10 +732,12 @@ def word_places(v: str) -> tuple[int, int]:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    stats = np.zeros(2 * WORDS)
     for b in batches:
         if b.num_rows:
-            places = [word_places(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([p for both in places for p in both], pa.int32()), pa.array(np.repeat(b.column(1).to_numpy().astype(float), 2))], ["place", "weight"])
+            places = np.array([word_places(t) for t in b.column(0).to_pylist()])
+            np.add.at(stats, places.ravel(), np.repeat(b.column(1).to_numpy().astype(float), 2))
+    yield _sparse(stats)
 
 
 _PAIR_CHAIN = np.array([NUMBER[f"{d}>{e}"] for d, e in _PAIRS])
@@ -992,11 +1032,13 @@ def find_garbled(docs: DataFrame, rounds: int = ROUNDS) -> Garbled:
     # documents whose tokens, each once, can give what a pair of encodings needs; in the others none can be likelier than none
     gains = hits.where(F.col("kind") != LOST).groupBy("doc_id", "h").agg(F.max("most").alias("most"))
     able = gains.groupBy("doc_id").agg(F.sum("most").alias("most")).where(F.col("most") >= least_needed(arrays[1])).select("doc_id")
+    model = docs.sparkSession.sparkContext.broadcast(arrays)
+    # from here on the workers alone need it
+    del arrays
     suspects = cut(hits.where(F.col("kind") == "turn").select("doc_id", "line").distinct().join(able, "doc_id", "left_semi"), "suspects")
     # a document's suspect lines: never more than its own text
     near = lookup_join(occ.select("doc_id", "line", "sf", "place", "token"), suspects, ["doc_id", "line"], "left_semi", spread=F.xxhash64("doc_id", "line"))
     whole = near.groupBy("doc_id").agg(F.collect_set(F.struct("line", "place", "sf", "token")).alias("x"))
-    model = docs.sparkSession.sparkContext.broadcast(arrays)
     turned = cut(whole.mapInArrow(_turned(model), TURNED), "turned")
     model.destroy()
     scores = cut(_scores(hits, turned).where(F.col("score") >= 0.5), "scores")
