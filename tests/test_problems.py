@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -330,6 +331,16 @@ def test_lookup_join_on_either_side_of_its_bound(spark, bound):
         assert lookup_join(left, right, ["k"], how, bound, 4).count() == left.join(right, "k", how).count()
 
 
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_lookup_join_never_broadcasts_the_repeated_side(spark, how):
+    # the engine, whose bound is 10 MB here, takes the 16 copies of the right side for one
+    left = spark.range(3000).select((F.col("id") % 700).alias("k"), F.col("id").alias("a"))
+    right = spark.range(500).select(F.col("id").alias("k"), F.lit("x").alias("b"))
+    got = lookup_join(left, right, ["k"], how, max_rows=10)
+    assert Counter(got.collect()) == Counter(left.join(right, "k", how).collect())
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_heavy_join(spark):
     left = spark.createDataFrame([("hot", i) for i in range(900)] + [(f"k{i}", i) for i in range(100)], "k string, v int")
     state = left.groupBy("k").agg(F.count("v").alias("n"))

@@ -24,6 +24,8 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
     so that a key with a third of all rows is spread over that many tasks. how: left, inner,
     left_semi or left_anti. Null keys match nothing. `spread` is what deals the rows (default: a
     hash of the left columns, so that a repeated task deals them alike).
+
+    The repeated side is never broadcast: what the engine takes for its size leaves out the repetition.
     """
     if at_most(right, max_rows):
         return left.join(F.broadcast(right), on, how)
@@ -31,7 +33,7 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
     dealt = spread if spread is not None else F.xxhash64(*[F.col(c) for c in left.columns if c not in on] or [F.lit(0)])
     l = left.withColumn(salt, F.pmod(dealt, F.lit(salts)).cast("int"))
     r = right.withColumn(salt, F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return l.join(r, [*on, salt], how).drop(salt)
+    return l.join(r.hint("merge"), [*on, salt], how).drop(salt)
 
 
 def heavy_join(left: DataFrame, state: DataFrame, on: list[str], count_col: str, total: int, parts: int = 1000) -> DataFrame:
