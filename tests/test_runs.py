@@ -12,6 +12,7 @@ from tidelog.operators import compaction as C
 from tidelog.operators import dictionary as D
 from tidelog.operators import limiter, lru
 from tidelog.operators import merkle as M
+from tidelog.operators import skew
 from tidelog.operators.ordered import asof, running
 
 SCHEMA = "store_id bigint, level int, table_id int, key string, value string, tombstone boolean, ts bigint"
@@ -130,6 +131,16 @@ def test_running_sums_by_group(spark):
             total += v or 0
 
 
+def test_running_repeats_only_heavy_groups(spark, monkeypatch):
+    # as with more groups than may be broadcast
+    monkeypatch.setattr(skew, "at_most", lambda df, rows: False)
+    rows = [("hot", i) for i in range(3000)] + [(f"g{i % 400}", i) for i in range(1200)] + [(None, 1)]
+    df = running(spark.createDataFrame(rows, "g string, i int").repartition(7), ["g", "i"], None, ["g"])
+    got = {(r["g"], r["i"]): (r["idx"], r["group_rows"]) for r in df.collect()}
+    assert got == {(g, i): (i, 3000) if g == "hot" else (i // 400, 3) for g, i in rows if g}
+    assert "explode(CASE WHEN" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_running_on_nothing(spark):
     assert running(spark.createDataFrame([], "g string, v bigint"), ["g"], "v", ["g"]).count() == 0
 

@@ -58,7 +58,7 @@ def running(df: DataFrame, order: list[str], value: str | None = None, group: li
     from tidelog.operators.skew import lookup_join
 
     start = out.groupBy(*group).agg(F.min("idx").alias("__i0"), F.min("before").alias("__b0"), F.count(F.lit(1)).alias("group_rows"))
-    led = lookup_join(out, start, group, "inner", spread=F.col("idx"))
+    led = lookup_join(out, start, group, "inner", spread=F.col("idx"), rows="group_rows")
     return led.select(*df.columns, (F.col("idx") - F.col("__i0")).alias("idx"), (F.col("before") - F.col("__b0")).alias("before"), "group_rows")
 
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.session import cut
+
 #: Rows up to which a side with a few narrow columns is broadcast (about 10 MB at 100 bytes a row).
 BROADCAST_ROWS = 100_000
 #: Shares into which the rows of one key are dealt where they are salted.
 SALTS = 16
+#: A key with more than one of so many parts of all rows is heavy.
+PARTS = 1000
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
@@ -16,7 +20,7 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS, salts: int = SALTS, spread: Column | None = None) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS, salts: int = SALTS, spread: Column | None = None, rows: str | None = None) -> DataFrame:
     """left joined to a keyed side `right` (unique in `on`).
 
     The right side is broadcast only where its counted rows are at most max_rows. Beyond that, the
@@ -26,13 +30,28 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
     hash of the left columns, so that a repeated task deals them alike).
 
     The repeated side is never broadcast: what the engine takes for its size leaves out the repetition.
+
+    With rows, a column of right that says how many rows of left its key has, right having every key of
+    left, only keys with more than one of PARTS rows are dealt and repeated; these are fewer than PARTS
+    by counting. right is then kept as a table.
     """
     if at_most(right, max_rows):
         return left.join(F.broadcast(right), on, how)
     salt = "__salt"
     dealt = spread if spread is not None else F.xxhash64(*[F.col(c) for c in left.columns if c not in on] or [F.lit(0)])
-    l = left.withColumn(salt, F.pmod(dealt, F.lit(salts)).cast("int"))
-    r = right.withColumn(salt, F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    share, shares = F.pmod(dealt, F.lit(salts)).cast("int"), F.array(*[F.lit(i) for i in range(salts)])
+    if rows is None:
+        l = left.withColumn(salt, share)
+    else:
+        right = cut(right, "lookup")
+        heavy = F.col(rows) > max(1, (right.agg(F.sum(rows)).first()[0] or 0) // PARTS)
+        hot = right.where(heavy).select(*on, F.lit(True).alias("__hot"))
+        apart = F.col("__hot").isNotNull()
+        for c in on:
+            apart = apart | F.col(c).isNull()
+        l = left.join(F.broadcast(hot), on, "left").withColumn(salt, F.when(apart, share).otherwise(0)).drop("__hot")
+        shares = F.when(heavy, shares).otherwise(F.array(F.lit(0)))
+    r = right.withColumn(salt, F.explode(shares))
     return l.join(r.hint("merge"), [*on, salt], how).drop(salt)
 
 
