@@ -1,6 +1,7 @@
 """Hashes and sketches against plain versions."""
 
 import random
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -11,6 +12,7 @@ from tidelog.operators import bloom as B
 from tidelog.operators import cms as K
 from tidelog.operators import hll as H
 from tidelog.operators import simhash as S
+from tidelog.operators import skew
 
 # Two texts whose fingerprints' distance is known.
 APPLE = "If you wish to make an apple pie from scratch, you must first invent the universe."
@@ -64,6 +66,17 @@ def test_bloom_has_no_false_negatives(spark):
     assert B.deserialize(blob)[:4] == (m, k, 1000, list(range(1, k + 1)))
 
 
+def test_joined_probe_repeats_only_heavy_keys(spark, monkeypatch):
+    # as with more keys than may be broadcast
+    monkeypatch.setattr(skew, "at_most", lambda df, rows: False)
+    m, k = B.sizing(100, 0.01)
+    keys = spark.createDataFrame([("hot",)] * 900 + [(None,)] * 50 + [(str(i),) for i in range(300)], "key string")
+    bits = B.build(spark.createDataFrame([("hot",), *[(str(i),) for i in range(99)]], "key string"), "key", m, k)
+    df = B.probe(keys, "key", bits, m, k, most_bits=0)
+    assert Counter(df.collect()) == Counter(B.probe(keys, "key", bits, m, k).collect())
+    assert "explode(CASE WHEN" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_bloom_of_nothing(spark):
     none = spark.createDataFrame([(None,)], "key string")
     bits = B.build(none, "key", 100, 3)

@@ -68,10 +68,10 @@ def probe(df: DataFrame, key: str, bits: DataFrame, m: int, k: int, seed: int =
         return df.withColumn("maybe", has(F.col(key).cast("string")))
     from tidelog.operators.skew import lookup_join
 
-    keys = df.select(F.col(key).cast("string").alias("__k")).where("__k IS NOT NULL").distinct()
-    places = keys.select("__k", F.explode(fnv1a64_many(F.col("__k"), [seed + i for i in range(k)])).alias("h")).select("__k", umod(F.col("h"), m).alias("pos"))
-    hits = places.join(bits.withColumn("hit", F.lit(True)), "pos", "left").groupBy("__k").agg(F.bool_and(F.coalesce("hit", F.lit(False))).alias("maybe"))
-    out = lookup_join(df.withColumn("__k", F.col(key).cast("string")), hits, ["__k"], "left").drop("__k")
+    keys = df.select(F.col(key).cast("string").alias("__k")).where("__k IS NOT NULL").groupBy("__k").agg(F.count(F.lit(1)).alias("__n"))
+    places = keys.select("__k", "__n", F.explode(fnv1a64_many(F.col("__k"), [seed + i for i in range(k)])).alias("h")).select("__k", "__n", umod(F.col("h"), m).alias("pos"))
+    hits = places.join(bits.withColumn("hit", F.lit(True)), "pos", "left").groupBy("__k").agg(F.bool_and(F.coalesce("hit", F.lit(False))).alias("maybe"), F.first("__n").alias("__n"))
+    out = lookup_join(df.withColumn("__k", F.col(key).cast("string")), hits, ["__k"], "left", rows="__n").drop("__k", "__n")
     return out.withColumn("maybe", F.coalesce("maybe", F.lit(False)))
 
 
