@@ -219,6 +219,15 @@ def test_token_bucket(spark):
     assert [r["seq"] for r in each.where("NOT allowed").collect()] == [10]
 
 
+def test_admit_each_repeats_only_heavy_seconds(spark, monkeypatch):
+    monkeypatch.setattr(skew, "at_most", lambda df, rows: False)
+    rows = [("a", 5, i) for i in range(500)] + [(f"k{i}", 7, i) for i in range(300)]
+    df = limiter.admit_each(spark.createDataFrame(rows, "k string, t bigint, s int"), "k", "t", "s", 10, 1)
+    assert sorted((r["limiter"], r["seq"], r["allowed"]) for r in df.collect()) == sorted((k, s, k != "a" or s < 10) for k, _, s in rows)
+    # the groups of the places, and the seconds
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("explode(CASE WHEN") == 2
+
+
 @pytest.mark.parametrize("capacity", [1, 3, 10])
 def test_lru_hits(spark, capacity):
     rng = random.Random(capacity)

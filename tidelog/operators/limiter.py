@@ -70,6 +70,6 @@ def admit_each(df: DataFrame, key: str, ts: str, seq: str, most: int = 1024, int
     Places within a second are numbered by many tasks, so one second of one limiter may hold any share of the rows.
     """
     each = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).cast("string").alias("limiter"), F.col(ts).cast("bigint").alias("ts"), F.col(seq).alias("seq"))
-    got = admit(df, key, ts, most, interval).select("limiter", "ts", F.col("allowed").alias("first"))
+    got = admit(df, key, ts, most, interval).select("limiter", "ts", "n", F.col("allowed").alias("first"))
     placed = running(each, ["limiter", "ts", "seq"], None, ["limiter", "ts"])
-    return lookup_join(placed, got, ["limiter", "ts"], "inner", spread=F.col("idx")).select("limiter", "ts", "seq", (F.col("idx") < F.col("first")).alias("allowed"))
+    return lookup_join(placed, got, ["limiter", "ts"], "inner", spread=F.col("idx"), rows="n").select("limiter", "ts", "seq", (F.col("idx") < F.col("first")).alias("allowed"))
